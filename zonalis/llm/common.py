@@ -1,15 +1,17 @@
-"""Helpers shared by the text operators: scratch tables, Arrow text access, labelled samples."""
+"""Helpers shared by the text operators: Arrow text access, labelled samples."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.sources.scratch import Scratch, new_path, remove_path, shared_folder
+
+__all__ = ["Scratch", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "utf8"]
+
 #: Rows that a Python stage holds as Python objects at a time.
 SLICE_ROWS = 256
 
@@ -18,45 +20,6 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 WORD_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="zonalis-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, {}
-
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
-        """Write ``df`` and return it as read back; an older table of that tag is removed afterwards."""
-        path = new_path(self.spark, tag)
-        df.write.parquet(path)
-        old = self.paths.get(tag)
-        self.paths[tag] = path
-        if old:
-            remove_path(self.spark, old)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *tags: str) -> None:
-        for tag in tags:
-            remove_path(self.spark, self.paths.pop(tag))
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
