@@ -44,7 +44,7 @@ UNION ALL SELECT 'v', a_id, b_id, {rnd(f'({v}) * 1e6', 'wind', 6)} FROM (SELECT
 
 
 def _step(source: str) -> str:
-    return f"SELECT tracer, cell_id, {rnd('q', 'q', 7)}, {rnd('mass', 'mass', 7)} FROM {source}"
+    return f"SELECT tracer, cell_id, {rnd('q', 'q', 10)}, {rnd('mass', 'mass', 7)} FROM {source}"
 
 
 DEG = "(180 / pi())"
@@ -76,9 +76,9 @@ FINALS: dict[str, str] = {
     "mass_by_row": f"SELECT tracer, i, {rnd('sum(area * q)', 'mass', 6)} FROM means JOIN cells USING (cell_id) GROUP BY tracer, i",
     "equator_band": "SELECT tracer, j, q FROM field WHERE i = n",
     "peak_ratio": "SELECT tracer, max(q) AS q, min(cell_id) FILTER (q = top) AS cell_id FROM (SELECT *, max(q) OVER (PARTITION BY tracer) AS top FROM means) GROUP BY tracer",
-    "zonal_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope')} FROM zon_b",
+    "zonal_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope', 10)} FROM zon_b",
     "zonal_gradient": f"SELECT tracer, cell_id, {rnd('gradient', 'gradient')} FROM msl_g",
-    "merid_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope')} FROM msl",
+    "merid_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope', 10)} FROM msl",
     "limiter_cases": f"""SELECT event_id, {rnd('''CASE WHEN value >= a AND b >= value THEN least(abs(b - a) / 2, 2 * abs(value - a), 2 * abs(b - value))
       WHEN value < a AND b < value THEN -least(abs(b - a) / 2, 2 * abs(value - a), 2 * abs(b - value)) ELSE 0::DOUBLE END''', 'slope')}
       FROM (SELECT event_id, value, lag(value) OVER w AS a, lead(value) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE a IS NOT NULL AND b IS NOT NULL""",

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from math import floor, sqrt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonalis.functions import clock, fields
 from zonalis.functions import geometry as G
-from zonalis.jobs.oracle import rnd, sql
+from zonalis.jobs.oracle import sql
 from zonalis.operators import diagnostics as D
 from zonalis.operators import partition as P
 from zonalis.operators import remap as R
@@ -173,10 +173,10 @@ def _around(kind):
         n = grid_size(spark, sf_dir)
         field = event_field(spark, sf_dir, n)
         if kind == "slope":
-            return rounded(T.zonal_slopes(field).select("tracer", "cell_id", "slope"), "slope")
+            return rounded(T.zonal_slopes(field).select("tracer", "cell_id", "slope"), "slope", digits=10)
         if kind == "gradient":
             return rounded(T.zonal_gradients(field, n).select("tracer", "cell_id", "gradient"), "gradient")
-        return rounded(T.meridional_slopes(field, n).select("tracer", "cell_id", "slope"), "slope")
+        return rounded(T.meridional_slopes(field, n).select("tracer", "cell_id", "slope"), "slope", digits=10)
 
     return query
 
@@ -193,7 +193,7 @@ def _stepped(part, limited=True):
         n = grid_size(spark, sf_dir)
         u, v = first_winds(spark, n)
         out = T.step(event_field(spark, sf_dir, n), u, v, n, time_step(n), part, limited)
-        return rounded(out.select("tracer", "cell_id", "q", "mass"), "q", "mass", digits=7)
+        return rounded(rounded(out.select("tracer", "cell_id", "q", "mass"), "mass", digits=7), "q", digits=10)
 
     return query
 
@@ -443,6 +443,3 @@ def oracle_sql() -> dict[str, str]:
     from zonalis.jobs.oracle_queries import FINALS
 
     return {k: sql(q) for k, q in FINALS.items()}
-
-
-__all__ = ["Column", "oracle_sql", "queries", "rnd"]
