@@ -27,13 +27,15 @@ from zonalis.llm.common import keyed_text, labelled_sample, remainder, slices
 TOXIC_ROWS, ORDINARY_ROWS = 3_000, 6_000
 MAX_FIT_CHARS = 20_000
 WINDOW_BYTES = 64
-ORDINARY_DICT, TOXIC_DICT = 8_192, 4_096
-LEVEL, MIN_MATCH = 3, 5
+ORDINARY_DICT, TOXIC_DICT = 8_192, 2_048
+LEVEL, MIN_MATCH = 6, 5
 #: Byte strings of this length are compared between the classes.
 GRAM, GRAM_BITS = 5, 20
 #: A string marks toxic passages if it stands in this share of the toxic documents at least, and its share there is
 #: e ** LOG_ODDS times that in ordinary documents.
 LEAST_SHARE, LOG_ODDS = 0.005, 4.0
+#: Strings of a run that are less common than this share of its commonest are its surroundings.
+CORE = 0.5
 #: Savings of 1, 2, ... bytes that are counted apart.
 SAVINGS = 8
 
@@ -55,24 +57,34 @@ def _grams(text: bytes) -> np.ndarray:
 
 
 def marked_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
-    """For each toxic text its passages that strings of the toxic class cover."""
+    """For each toxic text its passages that strings of the toxic class cover.
+
+    Of a run of such strings only those count that are nearly as common as its commonest: the rest is its surroundings.
+    """
     share = np.zeros((2, 1 << GRAM_BITS))
     for k, texts in enumerate((ordinary, toxic)):
         for t in texts:
             share[k, np.unique(_grams(t))] += 1
     odds = np.log((share[1] + 0.5) / (len(toxic) + 1)) - np.log((share[0] + 0.5) / (len(ordinary) + 1))
-    marks = (share[1] >= max(3, LEAST_SHARE * len(toxic))) & (odds > LOG_ODDS)
+    marks = np.where((share[1] >= max(3, LEAST_SHARE * len(toxic))) & (odds > LOG_ODDS), share[1], 0)
     out = []
     for t in toxic:
-        hit = marks[_grams(t)]
-        cover = np.zeros(len(t) + 2, np.int8)
+        common = marks[_grams(t)]
+        hit = np.zeros(len(common), np.int8)
+        for a, b in _runs(common > 0):
+            hit[a:b] = common[a:b] >= CORE * common[a:b].max()
+        cover = np.zeros(len(t), np.int8)
         for k in range(GRAM):
-            cover[1 + k : 1 + k + len(hit)] |= hit.view(np.int8)
-        edges = np.flatnonzero(np.diff(cover))
-        out.append([t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+            cover[k : k + len(hit)] |= hit
+        out.append([t[a:b] for a, b in _runs(cover > 0)])
     return out
 
 
+def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
     """Content of a trained dictionary; where the samples are too few to train on, the samples themselves."""
     try:
@@ -91,7 +103,7 @@ class Distances:
     def compressors(self) -> tuple:
         rules = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MIN_MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
         out = []
-        for content in (self.ordinary, self.ordinary + self.toxic):
+        for content in (self.ordinary, self.toxic + self.ordinary):  # ordinary matches stay as near as they were
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=rules)
             out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=rules).compress)
@@ -139,8 +151,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out:
     """Learn from ``labels.toxic`` of documents whose crc32(id) mod ``modulus`` is not ``held_out``.
 
     The ids of the bounded sample are broadcast, and its distinct texts (each under MAX_FIT_CHARS) come to the driver: half
-    of them train the dictionaries, the others the calibration, and then the other way round. With a class
-    missing all scores are those of the other class.
+    of them train the dictionaries, the others the calibration. With a class missing all scores are those of the other
+    class.
     """
     sample = labelled_sample(labels, "toxic", {0: ordinary_rows, 1: toxic_rows}, remainder("doc_id", modulus) != held_out, id_col)
     known = keyed_text(docs, id_col, text_col).filter(F.length("text") <= MAX_FIT_CHARS).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("label").alias("label"))
@@ -149,14 +161,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out:
     if not toxic or not ordinary:
         zero = np.zeros(2 * SAVINGS + 3)
         return ToxicityModel(Distances(b" ", b" "), zero, zero + 1, zero, 3.0 if toxic else -3.0)
-    x, y = [], []
-    for half in (0, 1):
-        distances = fit_distances(toxic[half::2], ordinary[half::2])
-        own = distances.compressors()
-        for label, texts in ((1, toxic[1 - half :: 2]), (0, ordinary[1 - half :: 2])):
-            x += [distance_features(t, own) for t in texts]
-            y += [label] * len(texts)
-    return calibrate(fit_distances(toxic, ordinary), np.array(x), np.array(y))
+    distances = fit_distances(toxic[::2], ordinary[::2])
+    own = distances.compressors()
+    unseen = [(t, 1) for t in toxic[1::2] or toxic] + [(t, 0) for t in ordinary[1::2] or ordinary]
+    return calibrate(distances, np.array([distance_features(t, own) for t, _ in unseen]), np.array([y for _, y in unseen], float))
 
 
 def fit_distances(toxic: list[bytes], ordinary: list[bytes]) -> Distances:
