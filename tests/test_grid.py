@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import clock, fields
 from zonalis.functions import geometry as G
-from zonalis.jobs.simulate import RunConfig, initial_field, run, simulate
+from zonalis.jobs.simulate import RunConfig, initial_field, run, simulate, sweep
 from zonalis.operators import diagnostics as D
 from zonalis.operators import partition as P
 from zonalis.operators import remap as R
@@ -157,3 +157,9 @@ def test_unknown_names():
     for f in (fields.case, fields.wind):
         with pytest.raises(ValueError):
             f("nothing")
+
+
+def test_sweep_converges(spark):
+    """One solid turn by a quarter of the sphere moves the field; finer grids and shorter steps err less per step."""
+    rows = sweep(spark, "gaussian", [RunConfig(n=4, steps=1, dt=3000.0), RunConfig(n=8, steps=1, dt=1500.0)]).orderBy("n").collect()
+    assert [r.n for r in rows] == [4, 8] and rows[1].l2 < rows[0].l2

@@ -192,7 +192,7 @@ def _stepped(part, limited=True):
     def query(spark, sf_dir):
         n = grid_size(spark, sf_dir)
         u, v = first_winds(spark, n)
-        out = T.step(event_field(spark, sf_dir, n), u, v, n, time_step(n), part, limited)
+        out = T.step(event_field(spark, sf_dir, n), u, v, n, time_step(n), part, limited, Scratch(spark).table)
         return rounded(rounded(out.select("tracer", "cell_id", "q", "mass"), "mass", digits=7), "q", digits=10)
 
     return query

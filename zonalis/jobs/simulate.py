@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions import fields
+from zonalis.functions import geometry as G
 from zonalis.functions.clock import emits, period_minutes
+from zonalis.operators import diagnostics as D
 from zonalis.operators import transport as T
 from zonalis.sources import grid
 from zonalis.sources.scratch import Scratch
@@ -81,21 +83,11 @@ def run(spark: SparkSession, field: DataFrame, config: RunConfig, process: Calla
         order = config.splitting
         if order == "alternate":
             order = "zonal-first" if k % 2 else "meridional-first"
-        moved = _cut_step(field, u, v, config, dt, order, scratch)
+        moved = T.step(field, u, v, config.n, dt, order, config.limited, scratch.table)
         field = scratch.table(process(moved).select("tracer", "cell_id", "i", "j", "q"), f"step-{k % 2}")
         yield k, field
 
 
-def _cut_step(field: DataFrame, u: DataFrame, v: DataFrame, config: RunConfig, dt: float, order: str, scratch: Scratch) -> DataFrame:
-    """A step in two plans where it has two parts: what the second part reads several times is written between them."""
-    fresh = T.with_mass(field.select("tracer", "cell_id", "i", "j", "q"), config.n)
-    if order == "zonal-first":
-        return T.meridional_step(scratch.table(T.zonal_step(fresh, u, config.n, dt, config.limited), "half"), v, config.n, dt, config.limited)
-    if order == "meridional-first":
-        return T.zonal_step(scratch.table(T.meridional_step(fresh, v, config.n, dt, config.limited), "half"), u, config.n, dt, config.limited)
-    return T.step(field, u, v, config.n, dt, order, config.limited)
-
-
 def simulate(spark: SparkSession, field: DataFrame, config: RunConfig) -> DataFrame:
     """The field after the last step; with a path, fields that are due go there, a folder for each step."""
     last = field
@@ -105,6 +97,17 @@ def simulate(spark: SparkSession, field: DataFrame, config: RunConfig) -> DataFr
     return last
 
 
+def sweep(spark: SparkSession, case: str, configs: list[RunConfig]) -> DataFrame:
+    """(n, dt, l2, l_inf, quadratic) of a run of each configuration from ``case``, against its own start."""
+    rows = None
+    for c in configs:
+        first = initial_field(spark, c.n, case)
+        norms = D.error_norms(D.paired(first, simulate(spark, first, c)), G.cell_area_steradian(F.col("i"), c.n))
+        own = norms.select(F.lit(c.n).alias("n"), F.lit(c.dt).alias("dt"), "l2", "l_inf", "quadratic")
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
+
+
 def initial_field(spark: SparkSession, n: int, *cases: str) -> DataFrame:
     """The analytic cases as tracers, at cell centres."""
     each = [grid.cells(spark, n).select(F.lit(c).alias("tracer"), "cell_id", "i", "j", fields.case(c)(F.col("lat"), F.col("lon")).cast("double").alias("q")) for c in cases]

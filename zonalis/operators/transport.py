@@ -7,6 +7,8 @@ so it shuffles once; meridional work is equality joins on cell ids and one sum a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,13 @@ from zonalis.sources import grid
 #: Fixed value: below this mass a cell counts as empty.
 TINY = 1e-13
 
+#: Writes a table that several later plans read, and returns it as read back.
+Cut = Callable[[DataFrame, str], DataFrame]
+
+
+def uncut(df: DataFrame, tag: str) -> DataFrame:
+    return df
+
 
 def limited_slope(west: Column, here: Column, east: Column) -> Column:
     """Van Leer's limiter: 0 at an extremum, else the least of half the span and twice each difference, with its sign."""
@@ -131,9 +140,12 @@ def meridional_slopes(field: DataFrame, n: int, limited: bool = True) -> DataFra
     return both.withColumn("slope", F.when(inner, slope(F.col("q_north"), F.col("q"), F.col("q_south"))).otherwise(F.lit(0.0)))
 
 
-def meridional_step(field: DataFrame, v: DataFrame, n: int, dt: float, limited: bool = True) -> DataFrame:
-    """Upwind fluxes across the interfaces; each cell's fluxes are summed once, for mass and tracer together."""
-    sloped = meridional_slopes(field, n, limited)
+def meridional_step(field: DataFrame, v: DataFrame, n: int, dt: float, limited: bool = True, cut: Cut = uncut) -> DataFrame:
+    """Upwind fluxes across the interfaces; each cell's fluxes are summed once, for mass and tracer together.
+
+    The slopes are read from both sides of the interfaces: ``cut`` may write them in between.
+    """
+    sloped = cut(meridional_slopes(field, n, limited).select("tracer", "cell_id", "q", "slope"), "slopes")
     north = sloped.select("tracer", F.col("cell_id").alias("a_id"), F.col("q").alias("qa"), F.col("slope").alias("sa"))
     south = sloped.select("tracer", F.col("cell_id").alias("b_id"), F.col("q").alias("qb"), F.col("slope").alias("sb"))
     flow = v.select("a_id", "b_id", "v", "length").join(north, "a_id").join(south, ["tracer", "b_id"])
@@ -155,19 +167,22 @@ def with_mass(field: DataFrame, n: int) -> DataFrame:
     return field.withColumn("mass", G.cell_area(F.col("i"), n))
 
 
-def step(field: DataFrame, u: DataFrame, v: DataFrame, n: int, dt: float, order: str = "zonal-first", limited: bool = True) -> DataFrame:
-    """One step from (tracer, cell_id, i, j, q): zonal and meridional parts in the given order, or the mean of both orders."""
+def step(field: DataFrame, u: DataFrame, v: DataFrame, n: int, dt: float, order: str = "zonal-first", limited: bool = True, cut: Cut = uncut) -> DataFrame:
+    """One step from (tracer, cell_id, i, j, q): zonal and meridional parts in the given order, or the mean of both orders.
+
+    With ``cut`` what is read more than once (the field between the parts, the meridional slopes) is written once.
+    """
     fresh = with_mass(field.select("tracer", "cell_id", "i", "j", "q"), n)
     if order == "zonal":
         return zonal_step(fresh, u, n, dt, limited)
     if order == "meridional":
-        return meridional_step(fresh, v, n, dt, limited)
+        return meridional_step(fresh, v, n, dt, limited, cut)
     if order == "zonal-first":
-        return meridional_step(zonal_step(fresh, u, n, dt, limited), v, n, dt, limited)
+        return meridional_step(cut(zonal_step(fresh, u, n, dt, limited), "half"), v, n, dt, limited, cut)
     if order == "meridional-first":
-        return zonal_step(meridional_step(fresh, v, n, dt, limited), u, n, dt, limited)
+        return zonal_step(meridional_step(fresh, v, n, dt, limited, cut), u, n, dt, limited)
     if order == "symmetric":
-        a, b = (step(field, u, v, n, dt, o, limited) for o in ("zonal-first", "meridional-first"))
+        a, b = (cut(step(field, u, v, n, dt, o, limited, cut), o) for o in ("zonal-first", "meridional-first"))
         other = b.select("tracer", "cell_id", F.col("q").alias("q_b"), F.col("mass").alias("mass_b"))
         return a.join(other, ["tracer", "cell_id"]).select("tracer", "cell_id", "i", "j", ((F.col("q") + F.col("q_b")) / 2).alias("q"), ((F.col("mass") + F.col("mass_b")) / 2).alias("mass"))
     raise ValueError(f"no order of splitting {order!r}")

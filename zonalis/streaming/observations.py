@@ -43,7 +43,7 @@ def assimilate(stream: DataFrame, field: DataFrame, n: int, winds: tuple[DataFra
     u, v = winds
 
     def one(batch: DataFrame, k: int) -> None:
-        moved = T.step(state[0], u, v, n, dt).select("tracer", "cell_id", "i", "j", "q")
+        moved = T.step(state[0], u, v, n, dt, cut=scratch.table).select("tracer", "cell_id", "i", "j", "q")
         seen = R.cell_means(batch, n, F.col("ratio")).withColumnRenamed("q", "seen")
         mixed = moved.join(seen, ["tracer", "cell_id"], "left").withColumn("q", F.coalesce((1 - weight) * F.col("q") + weight * F.col("seen"), F.col("q")))
         state[0] = scratch.table(mixed.select("tracer", "cell_id", "i", "j", "q"), f"batch-{k % 2}")
