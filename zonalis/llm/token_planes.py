@@ -39,14 +39,14 @@ CACHE_WORDS = 1_000_000
 
 
 class WordCache:
-    """Encodes texts with the tokenizers library, each distinct piece of a text once.
+    """Encodes texts with the tokenizers library, each distinct word of a text once.
 
-    The byte-level pre-tokenizer never joins characters across a space that stands before a non-space, so a text may
-    be cut there: the ids of the pieces, one after another, are the ids of the text.
+    The byte-level pre-tokenizer never joins characters across a blank that stands before a non-space, so a text may
+    be cut there: the ids of the parts, one after another, are the ids of the text. New words are encoded together, as one
+    text, whose ids are told apart by the bytes that they stand for. Texts with other blanks are encoded whole.
     """
 
     _odd = re.compile(r" (?!\S)")
-    _cut = re.compile(r"(?= \S)")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -54,28 +54,54 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ids: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # one character a byte
+        self.heads: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # after a blank
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        ids = self._ids(" " + " ".join(words))
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + 1)
+        cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4
+        data, at = ids.tobytes(), 0
+        for word, cut in zip(words, cuts.tolist(), strict=True):
+            self.words[word] = data[at:cut]
+            at = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._pieces(t) for t in texts]
-        ids = self.ids
-        if len(ids) > CACHE_WORDS:
-            ids.clear()
-        new = list({p for pieces in cut for p in pieces if p not in ids})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            ids[piece] = np.array(e.ids, "<u4").tobytes()
-        get = ids.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
-
-    def _pieces(self, text: str) -> list[str]:
-        if not text:
-            return []
-        if self._odd.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        spaced = [" " + w for w in rest]
-        return [first, *spaced] if first else spaced
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+            self.heads.clear()
+        out: list = []
+        holes, new, get = [], set(), self.words.get
+        for text in texts:
+            if not text or self._odd.search(text):
+                out.append([self._ids(text).tobytes()] if text else [])
+                continue
+            words = text.split(" ")
+            parts = list(map(get, words))
+            head = self.heads.get(words[0])
+            if head is None:
+                head = self.heads[words[0]] = self._ids(words[0]).tobytes() if words[0] else b""
+            parts[0] = head
+            missing = [k for k, p in enumerate(parts) if p is None]
+            if missing:
+                new.update(words[k] for k in missing)
+                holes.append((parts, words, missing))
+            out.append(parts)
+        if new:
+            self._learn(list(new))
+            known = self.words
+            for parts, words, missing in holes:
+                for k in missing:
+                    parts[k] = known[words[k]]
+        return [b"".join(parts) for parts in out]
 
 
 def to_planes(ids: np.ndarray, kind: int) -> list[bytes]:
