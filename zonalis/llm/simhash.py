@@ -123,28 +123,44 @@ def shingle_set(text: bytes | None, width: int = SET_WORDS) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)], "<u8").view("<i8"))  # noqa: B905
 
 
+def word_prints(text: bytes | None, seeds: tuple[int, ...] = SEEDS) -> tuple[bytes, list[int]]:
+    """Digest of the normal form (lower case, single blanks), and SimHashes of the words.
+
+    There is one of all words for each seed, and one of the distinct words for the first: a word that makes up half of a
+    text, such as a column mark, sets all bits of the others.
+    """
+    words = (text or b"").lower().split()
+    line = b" ".join(words)
+    return xxhash.xxh3_128_digest(line), [*(fingerprint(line, 1, s) for s in seeds), fingerprint(b" ".join(sorted(set(words))), 1, seeds[0])]
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, width: int = SET_WORDS, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component): documents with a near copy, and the least id of the group that they are linked to.
 
-    Candidates are documents whose word fingerprints differ in three bits or fewer, for either seed: near copies at
-    this similarity are that close in at least 93 of 100 cases for one seed. Documents of equal fingerprint are linked to the
-    least of them, so a group of k copies has k - 1 candidate links. A link counts if the sets of ``width``-word shingles have a
-    Jaccard similarity of ``similarity`` or more, computed in full. Texts without words are copies of each
-    other. Rows with a null id take no part.
+    Equal normal forms are linked to the least of their ids, which alone goes on. Candidates are then documents whose word
+    fingerprints differ in three bits or fewer, for any of three fingerprints; documents of equal fingerprint are linked to the least
+    of them, so a group of k copies has k - 1 candidate links. A candidate counts if the sets of ``width``-word
+    shingles have a Jaccard similarity of ``similarity`` or more, computed in full. Texts without words are copies of
+    each other. Rows with a null id take no part.
     """
     scratch = Scratch(spark)
     texts = keyed_text(docs, id_col, text_col).filter("doc_id is not null")
+    names = [*(f"fp_{s}" for s in seeds), "fp_distinct"]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            own = utf8(part, "text")
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([fingerprint(t, 1, s) for t in own], pa.int64()) for s in seeds)], names=["doc_id", *(f"fp_{s}" for s in seeds)])
-
-    fps = scratch.table(texts.mapInArrow(prints, f"doc_id long, {', '.join(f'fp_{s} long' for s in seeds)}"), "prints")
+            own = [word_prints(t, seeds) for t in utf8(part, "text")]
+            fps = zip(*(f for _, f in own), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([d for d, _ in own], pa.binary()), *(pa.array(f, pa.int64()) for f in fps)], names=["doc_id", "digest", *names])
+
+    every = scratch.table(texts.mapInArrow(prints, f"doc_id long, digest binary, {', '.join(f'{f} long' for f in names)}"), "prints")
+    firsts = every.groupBy("digest").agg(F.min(F.struct("doc_id", *names)).alias("f")).select("digest", "f.*")
+    firsts = scratch.table(firsts, "firsts")
+    equal = every.select(F.col("doc_id").alias("b"), "digest").join(firsts.select(F.col("doc_id").alias("a"), "digest"), "digest").filter("a <> b").select("a", "b")
     links = None
-    for s in seeds:
-        own = fps.select("doc_id", F.col(f"fp_{s}").alias("fp"))
-        reps = scratch.table(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"reps-{s}")
+    for name in names:
+        own = firsts.select("doc_id", F.col(name).alias("fp"))
+        reps = scratch.table(own.groupBy("fp").agg(F.min("doc_id").alias("rep")), f"reps-{name}")
         found = own.join(reps, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).unionByName(near_links(reps).select("a", "b"))
         links = found if links is None else links.unionByName(found)
     links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -161,8 +177,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILA
     both = F.size(F.array_intersect("x", "y"))
     alike = both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)
     same = links.join(left, "a").join(right, "b").filter(alike).select("a", "b")
-    out = scratch.table(connected_components(same, scratch), "groups")
-    scratch.drop("prints", *(f"reps-{s}" for s in seeds), "candidates", "ends", "sets", "edges", "least")
+    out = scratch.table(connected_components(same.unionByName(equal), scratch), "groups")
+    scratch.drop("prints", "firsts", *(f"reps-{f}" for f in names), "candidates", "ends", "sets", "edges", "least")
     return out
 
 
