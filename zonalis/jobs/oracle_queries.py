@@ -139,11 +139,11 @@ FINALS: dict[str, str] = {
       SELECT *, least(1::DOUBLE, greatest(0.1::DOUBLE, c + (13 / 75::DOUBLE - 5 / 12::DOUBLE * y) / c)) AS root FROM (
       SELECT *, power(65340 * x + 12 * sqrt(greatest(0, -1687296 + 12168000 * y - 29250000 * y * y + 23437500 * y * y * y + 29648025 * x * x)), 1 / 3::DOUBLE) / 60 AS c FROM (
       SELECT f.tracer, f.q AS x, round(-0.8::DOUBLE * f.q * f.q + 0.9::DOUBLE + 0.05::DOUBLE * sin(f.cell_id), 9) AS y, k.sr FROM field f JOIN ({_cell_area(AREA_SR)}) k USING (cell_id))))) GROUP BY tracer""",
-    "bounds": """SELECT tracer, count(*) FILTER (abs(v) > 1 + 1e-13) AS above, count(*) FILTER (v < -1e-13) AS negative, count(*) FILTER (v IS NULL OR v = -9999) AS undefined,
-      0::BIGINT AS empty FROM (SELECT tracer, CASE WHEN cell_id % 97 = 0 THEN -9999::DOUBLE WHEN cell_id % 89 = 0 THEN NULL WHEN cell_id % 83 = 0 THEN q + 1 ELSE q END AS v FROM field) GROUP BY tracer""",
+    "bounds": """SELECT tracer, count(*) FILTER (abs(v) > 1 + 1e-13) AS above, count(*) FILTER (v < -1e-13) AS negative, count(*) FILTER (v IS NULL OR v = -9999) AS undefined, 0::BIGINT AS empty
+      FROM (SELECT f.tracer, m.v FROM field f LEFT JOIN (SELECT b.tracer, b.cell_id, round(avg(e.value / 100 - 0.05::DOUBLE), 9) AS v FROM binned b JOIN events e USING (event_id) GROUP BY ALL) m USING (tracer, cell_id)) GROUP BY tracer""",
     "symmetry": f"SELECT a.tracer, {rnd('max(abs(a.q - b.q))', 'asymmetry')} FROM field a JOIN field b ON a.tracer = b.tracer AND b.i = 2 * a.n + 1 - a.i AND a.j = b.j GROUP BY a.tracer",
-    "run_compare": f"""SELECT a.tracer, count(*) AS cells, count(*) FILTER (b.q IS NULL) AS missing, count(*) FILTER (abs(b.q - a.q) > 2e-12) AS different, {rnd('max(abs(b.q - a.q))', 'largest')}
-      FROM field a LEFT JOIN (SELECT tracer, cell_id, CASE WHEN j = 1 THEN q + 1e-6 ELSE q END AS q FROM field WHERE cell_id % 11 <> 0) b USING (tracer, cell_id) GROUP BY a.tracer""",
+    "run_compare": f"""SELECT a.tracer, count(*) AS cells, count(*) FILTER (b.q IS NULL) AS missing, count(*) FILTER (abs(round(b.q, 6) - a.q) > 2e-12) AS different, {rnd('max(abs(round(b.q, 6) - a.q))', 'largest')}
+      FROM field a LEFT JOIN means b USING (tracer, cell_id) GROUP BY a.tracer""",
     "convergence_fit": f"""SELECT tracer, {rnd('regr_slope(y, x)', 'slope', 6)}, {rnd('regr_intercept(y, x)', 'intercept', 6)}, {rnd('var_pop(y) * (1 - regr_r2(y, x))', 'mse', 6)} FROM (
       SELECT tracer, ln(m * any_value(90::DOUBLE / n)) AS x, ln(stddev_samp(q)) AS y FROM (
       SELECT tracer, n, m, floor((90 - lat) / (90::DOUBLE / n * m)) AS band, round(avg(ratio), 9) AS q FROM pts JOIN p ON true JOIN (SELECT unnest([1, 2, 4]) AS m) ON true GROUP BY ALL) GROUP BY tracer, m) GROUP BY tracer""",

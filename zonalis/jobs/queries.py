@@ -244,7 +244,7 @@ def timestep_from_cfl(spark, sf_dir):
 
 
 def wind_interp_time(spark, sf_dir):
-    """Hourly mean values of each event type, read as winds at the times of all events: between the hours before and after."""
+    """Daily mean values of each event type, read as winds at the times of all events: between the days before and after."""
     events = _read(spark, sf_dir, "events")
     t = F.unix_timestamp("ts")
     winds = events.groupBy((F.floor(t / 86400) * 86400).alias("ts"), F.col("event_type").alias("key")).agg(F.round(F.avg("value"), 6).alias("value"))
@@ -312,8 +312,10 @@ def mixing(spark, sf_dir):
 
 
 def bounds(spark, sf_dir):
+    """Bounds of the mean values on a scale that some leave; cells without an event are not set."""
     n = grid_size(spark, sf_dir)
-    return D.bounds(event_field(spark, sf_dir, n).withColumn("q", F.expr("case when cell_id % 97 = 0 then -9999D when cell_id % 89 = 0 then null when cell_id % 83 = 0 then q + 1 else q end")), n)
+    means = R.cell_means(observations(spark, sf_dir).join(_read(spark, sf_dir, "events").select("event_id", "value"), "event_id"), n, F.col("value") / 100 - 0.05)
+    return D.bounds(R.full_field(spark, Scratch(spark).table(means, "means"), n, None), n)
 
 
 def symmetry(spark, sf_dir):
@@ -322,10 +324,10 @@ def symmetry(spark, sf_dir):
 
 
 def run_compare(spark, sf_dir):
+    """The filled field against the observed cells, with six digits."""
     n = grid_size(spark, sf_dir)
-    field = event_field(spark, sf_dir, n)
-    other = field.filter("cell_id % 11 <> 0").withColumn("q", F.when(F.col("j") == 1, F.col("q") + 1e-6).otherwise(F.col("q")))
-    return rounded(D.compare_runs(field, other), "largest")
+    means = R.cell_means(observations(spark, sf_dir), n, F.col("ratio"))
+    return rounded(D.compare_runs(event_field(spark, sf_dir, n), means.withColumn("q", F.round("q", 6))), "largest")
 
 
 def convergence_fit(spark, sf_dir):

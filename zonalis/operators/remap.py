@@ -21,14 +21,14 @@ def cell_means(points: DataFrame, n: int, value: Column, digits: int = 9) -> Dat
     return bin_points(points, n).groupBy("tracer", "cell_id").agg(F.round(F.avg(value), digits).alias("q"))
 
 
-def full_field(spark: SparkSession, means: DataFrame, n: int) -> DataFrame:
-    """(tracer, cell_id, i, j, q) with every cell of the grid, 0 where a tracer has no point.
+def full_field(spark: SparkSession, means: DataFrame, n: int, fill: float | None = 0.0) -> DataFrame:
+    """(tracer, cell_id, i, j, q) with every cell of the grid, ``fill`` (None: null) where a tracer has no point.
 
     The tracers are few (a dimension of the run); each cell is spread over them before the join with the means.
     """
     tracers = means.select("tracer").distinct().agg(F.sort_array(F.collect_set("tracer")).alias("all"))
     spread = grid.cells(spark, n).select("cell_id", "i", "j").join(F.broadcast(tracers)).select("cell_id", "i", "j", F.explode("all").alias("tracer"))
-    return spread.join(means, ["tracer", "cell_id"], "left").select("tracer", "cell_id", "i", "j", F.coalesce("q", F.lit(0.0)).alias("q"))
+    return spread.join(means, ["tracer", "cell_id"], "left").select("tracer", "cell_id", "i", "j", F.coalesce("q", F.lit(fill).cast("double")).alias("q"))
 
 
 def overlap_links(spark: SparkSession, n: int, factor: int = 2) -> DataFrame:
