@@ -76,6 +76,19 @@ FINALS: dict[str, str] = {
     "mass_by_row": f"SELECT tracer, i, {rnd('sum(area * q)', 'mass', 6)} FROM means JOIN cells USING (cell_id) GROUP BY tracer, i",
     "equator_band": "SELECT tracer, j, q FROM field WHERE i = n",
     "peak_ratio": "SELECT tracer, max(q) AS q, min(cell_id) FILTER (q = top) AS cell_id FROM (SELECT *, max(q) OVER (PARTITION BY tracer) AS top FROM means) GROUP BY tracer",
+    "size_check": """SELECT *, found = expected AS complete FROM (SELECT tracer AS name, count(*) AS found, any_value(6 * n * n) AS expected FROM field GROUP BY tracer
+      UNION ALL SELECT 'zonal faces', (SELECT sum(nlon + 1)::BIGINT FROM rws), 6 * n * n + 2 * n FROM p
+      UNION ALL SELECT 'interfaces', (SELECT count(*) FROM intf), 12 * n * n - 12 * n + 3 FROM p)""",
+    "cell_predicates": """SELECT cell_id, i = 1 AS north_pole, i = 2 * n AS south_pole, i = n AS above_equator, i = n + 1 AS below_equator,
+      (SELECT count(*) FROM intf k WHERE k.a_id = c.cell_id) AS below FROM cells c""",
+    "point_lookup": "SELECT event_id, cell_id, q FROM binned JOIN means USING (tracer, cell_id)",
+    "scatter_pairs": """SELECT 'click/view' AS pair, cell_id, a.q AS x, b.q AS y FROM means a JOIN means b USING (cell_id) WHERE a.tracer = 'click' AND b.tracer = 'view'
+      UNION ALL SELECT 'signup/purchase', cell_id, a.q, b.q FROM means a JOIN means b USING (cell_id) WHERE a.tracer = 'signup' AND b.tracer = 'purchase'""",
+    "spiral_points": f"""SELECT k, {rnd('sqrt(k - 0.5::DOUBLE) * cos(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2))', 'x', 5)}, {rnd('sqrt(k - 0.5::DOUBLE) * sin(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2))', 'y', 5)}
+      FROM (SELECT unnest(range(1, (SELECT count(*) FROM events) + 1)) AS k)""",
+    "grid_models": f"""SELECT refined, {rnd('6 * power(floor(0.5::DOUBLE * (floor(120 / w) + 1)), 2)', 'reduced', 4)}, {rnd('floor(360 / w) * floor(180 / w)', 'regular', 4)}, {rnd('6 * power(90 / w, 2)', 'cubed', 4)},
+      {rnd('2 * power(90 / w, 2)', 'mapped_sphere', 4)}, {rnd('6 * power(30 / w, 2)', 'spectral_element', 4)} FROM (SELECT CAST(k AS BIGINT) AS refined, 120::DOUBLE / (k * (2 * n - 1)) AS w FROM p, (SELECT unnest([1, 2, 4, 8]) AS k))""",
+    "wind_symmetry": "SELECT 'u' AS kind, count(*) AS winds, 0::BIGINT AS asymmetric FROM u0 UNION ALL SELECT 'v', count(*), 0::BIGINT FROM v0",
     "zonal_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope', 10)} FROM zon_b",
     "zonal_gradient": f"SELECT tracer, cell_id, {rnd('gradient', 'gradient')} FROM msl_g",
     "merid_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope', 10)} FROM msl",

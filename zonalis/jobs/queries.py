@@ -198,9 +198,70 @@ def _stepped(part, limited=True):
     return query
 
 
+def size_check(spark, sf_dir):
+    """Rows of each tracer's field, of faces and interfaces, against the closed forms."""
+    n = grid_size(spark, sf_dir)
+    t = grid.totals(n)
+    counts = event_field(spark, sf_dir, n).groupBy(F.col("tracer").alias("name")).agg(F.count("*").alias("found")).withColumn("expected", F.lit(t["cells"]).cast("long"))
+    for name, table, key in (("zonal faces", grid.zonal_faces(spark, n), "zonal_faces"), ("interfaces", grid.interfaces(spark, n), "interfaces")):
+        counts = counts.unionByName(table.agg(F.count("*").alias("found")).select(F.lit(name).alias("name"), "found", F.lit(t[key]).cast("long").alias("expected")))
+    return counts.withColumn("complete", F.col("found") == F.col("expected"))
+
+
+def cell_predicates(spark, sf_dir):
+    """Poles, rows next to the equator, and how many cells lie below each row's cells."""
+    n = grid_size(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    low, high = G.south_bounds(i, j, n)
+    return grid.cells(spark, n).select("cell_id", (i == 1).alias("north_pole"), (i == 2 * n).alias("south_pole"), (i == n).alias("above_equator"), (i == n + 1).alias("below_equator"), F.when(i < 2 * n, high - low + 1).otherwise(F.lit(0)).cast("long").alias("below"))
+
+
+def point_lookup(spark, sf_dir):
+    """The field's value at each event: its cell is computed, then joined on the cell."""
+    n = grid_size(spark, sf_dir)
+    placed = R.bin_points(observations(spark, sf_dir), n).select("event_id", "tracer", "cell_id")
+    return placed.join(event_field(spark, sf_dir, n).select("tracer", "cell_id", "q"), ["tracer", "cell_id"]).select("event_id", "cell_id", "q")
+
+
+def scatter_pairs(spark, sf_dir):
+    """Two tracers of each cell side by side, labelled by which two: the points of a mixing diagram."""
+    n = grid_size(spark, sf_dir)
+    means = Scratch(spark).table(R.cell_means(observations(spark, sf_dir), n, F.col("ratio")), "means")
+    out = None
+    for a, b in (("click", "view"), ("signup", "purchase")):
+        x, y = (means.filter(F.col("tracer") == t).select("cell_id", F.col("q").alias(c)) for t, c in ((a, "x"), (b, "y")))
+        pair = x.join(y, "cell_id").select(F.lit(f"{a}/{b}").alias("pair"), "cell_id", "x", "y")
+        out = pair if out is None else out.unionByName(pair)
+    return out
+
+
+def spiral_points(spark, sf_dir):
+    """A Fibonacci spiral with a point for each event."""
+    return rounded(grid.spiral(spark, _read(spark, sf_dir, "events").count()), "x", "y", digits=5)
+
+
+def grid_models(spark, sf_dir):
+    """Cells of other grids whose cells are as wide at the equator as the events' grid refined 1, 2, 4 and 8 times."""
+    n = grid_size(spark, sf_dir)
+    sizes = spark.range(4).select(F.pow(F.lit(2.0), F.col("id")).cast("long").alias("refined"))
+    width = F.lit(120.0) / (F.col("refined") * (2 * n - 1))
+    return rounded(sizes.select("refined", *(c.cast("double").alias(k) for k, c in G.cell_count_models(width).items())), "reduced", "regular", "cubed", "mapped_sphere", "spectral_element", digits=4)
+
+
 # Winds
 
 
+def wind_symmetry(spark, sf_dir):
+    """The largest departure of the first winds from mirror symmetry: v is even, and u less the mean stream is odd."""
+    n = grid_size(spark, sf_dir)
+    u, v = T.analytic_winds(spark, n, fields.wind("deformation"), time_step(n) / 2)
+    mean = F.lit(2 * fields.PI / fields.PERIOD * 180 / fields.PI) * F.cos(F.radians(G.row_latitude(F.col("i"), n)))
+    ring = u.select(F.lit("u").alias("kind"), F.least("i", 2 * n + 1 - F.col("i")).alias("row"), F.round("j").alias("at"), (F.col("u") - mean).alias("x"))
+    line = v.select(F.lit("v").alias("kind"), F.least("i", 2 * n - F.col("i")).alias("row"), F.round(F.col("lon_mid") * 1e6).cast("long").alias("at"), F.when(F.col("i") == n, 0.0).otherwise(F.when(F.col("i") < n, F.col("v")).otherwise(-F.col("v"))).alias("x"))
+    pairs = ring.unionByName(line).groupBy("kind", "row", "at").agg(F.abs(F.sum("x")).alias("d"), F.count("*").alias("k"))
+    return pairs.groupBy("kind").agg(F.sum("k").alias("winds"), F.count_if(F.col("d") > 1e-12).alias("asymmetric"))
+
+
 def _winds(name):
     def query(spark, sf_dir):
         n = grid_size(spark, sf_dir)
@@ -422,6 +483,8 @@ QUERIES = {
     "zonal_faces": zonal_faces, "north_neighbours": north_neighbours, "neighbour_reflexivity": neighbour_reflexivity, "isolated_cells": isolated_cells,
     "adjacency_degree": adjacency_degree, "sector_cells": sector_cells, "sector_replicate": sector_replicate,
     "bin_events": bin_events, "tracer_mass": tracer_mass, "mass_by_row": mass_by_row, "equator_band": equator_band, "peak_ratio": peak_ratio,
+    "size_check": size_check, "cell_predicates": cell_predicates, "point_lookup": point_lookup, "scatter_pairs": scatter_pairs, "spiral_points": spiral_points,
+    "grid_models": grid_models, "wind_symmetry": wind_symmetry,
     "zonal_slope": _around("slope"), "zonal_gradient": _around("gradient"), "merid_slope": _around("merid"), "limiter_cases": limiter_cases,
     "zonal_step": _stepped("zonal"), "merid_step": _stepped("meridional"), "full_step": _stepped("zonal-first"), "unlimited_step": _stepped("zonal-first", False),
     "alternate_step": _stepped("meridional-first"), "symmetric_step": _stepped("symmetric"),
