@@ -505,3 +505,17 @@ def test_permutation(size):
 
 def test_digest_is_md5():
     assert hashlib.md5(b"a b").hexdigest() == hashlib.md5(" ".join(unit_dedup.normal_words("A b.\n")).encode()).hexdigest()
+
+
+def test_bitmap_holds_all_ids(spark):
+    from zonalis.llm import common
+
+    ids = spark.range(5000).select((F.col("id") * 7919 - 10_000_000).alias("doc_id"))
+    bitmap = common.id_bitmap(ids, "doc_id")
+    places = ids.select(common.bitmap_place("doc_id").alias("p")).toPandas()["p"].to_numpy()
+    import pyarrow as pa
+
+    assert common.in_bitmap(bitmap, pa.array(places)).all()
+    strangers = spark.range(5000).select((F.col("id") + 10**12).alias("doc_id")).select(common.bitmap_place("doc_id").alias("p")).toPandas()["p"].to_numpy()
+    assert common.in_bitmap(bitmap, pa.array(strangers)).mean() < 0.01
+    assert not common.id_bitmap(ids.filter("false"), "doc_id").any()

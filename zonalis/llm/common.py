@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.sources.scratch import Scratch, new_path, remove_path, shared_folder
 
-__all__ = ["Scratch", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "utf8"]
+__all__ = ["Scratch", "bitmap_place", "id_bitmap", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "utf8"]
 
 #: Rows that a Python stage holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -37,6 +38,32 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+#: Bits of an id bitmap: it takes BITMAP_BITS / 8 bytes (8 MB) on the driver and on each executor, whatever the number of ids.
+BITMAP_BITS = 1 << 26
+
+
+def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of the hashes of ``column``: ids that are not in it are not among them, others may be.
+
+    With many ids more strangers pass, so whoever uses it still joins exactly what it lets through. Words of the bitmap are
+    put together by a pre-aggregated group-by and number BITMAP_BITS / 64 at most.
+    """
+    place = bitmap_place(column)
+    rows = ids.select(place.alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
+def bitmap_place(column: str):
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITMAP_BITS))
+
+
+def in_bitmap(bitmap: np.ndarray, places: pa.Array) -> np.ndarray:
+    p = places.to_numpy(zero_copy_only=False).astype(np.int64)
+    return (bitmap[p >> 6] >> (p & 63)) & 1 == 1
+
+
 def remainder(id_col: str, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)

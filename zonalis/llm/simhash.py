@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import Scratch, keyed_text, slices, utf8
+from zonalis.llm.common import Scratch, bitmap_place, id_bitmap, in_bitmap, keyed_text, slices, utf8
 from zonalis.llm.components import connected_components
 
 SEED = 42
@@ -104,48 +104,62 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The deduplication stage: similarity of five-word shingle sets from which texts are near copies, and the seeds of the
-#: word fingerprints that find candidates.
+#: The deduplication stage: similarity of five-word shingle sets from which texts are near copies; the seeds of the word
+#: hashes, each good for two fingerprints; and the bits that no fingerprint of near copies differs in more than.
 SET_WORDS = 5
 SIMILARITY = 0.8
 SEEDS = (42, 43)
+FAR_BITS = 16
 
 
 def shingle_set(text: bytes | None, width: int = SET_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles (signed); a text of fewer words is one shingle, one without words has none."""
+    """Distinct 32-bit hashes of the shingles; a text of fewer words is one shingle, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)], "<u8").view("<i8"))  # noqa: B905
+    return np.unique(np.array([xxhash.xxh32_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)], "<u4").view("<i4"))  # noqa: B905
 
 
 def word_prints(text: bytes | None, seeds: tuple[int, ...] = SEEDS) -> tuple[bytes, list[int]]:
-    """Digest of the normal form (lower case, single blanks), and SimHashes of the words.
+    """Digest of the normal form (lower case, single blanks), and SimHashes of its words, two for each seed.
 
-    There is one of all words for each seed, and one of the distinct words for the first: a word that makes up half of a
-    text, such as a column mark, sets all bits of the others.
+    A word that stands k times weighs 1 + log k, in whole sixteenths: by its count, the commonest words of a language
+    would set most bits of all its texts.
     """
     words = (text or b"").lower().split()
-    line = b" ".join(words)
-    return xxhash.xxh3_128_digest(line), [*(fingerprint(line, 1, s) for s in seeds), fingerprint(b" ".join(sorted(set(words))), 1, seeds[0])]
+    digest, prints = xxhash.xxh3_128_digest(b" ".join(words)), 2 * len(seeds)
+    counts: dict[bytes, int] = {}
+    for w in words:
+        counts[w] = counts.get(w, 0) + 1
+    if not words:
+        return digest, [0] * prints
+    distinct, ones, total = list(counts), np.zeros(64 * prints), 0.0
+    for at in range(0, len(distinct), BLOCK // 8):
+        part = distinct[at : at + BLOCK // 8]
+        hashes = b"".join([xxhash.xxh3_128_digest(w, s) for w in part for s in seeds])
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(part), 8 * prints), axis=1, bitorder="little")
+        weights = np.rint(16 + 16 * np.log([counts[w] for w in part]))
+        ones += weights @ bits
+        total += weights.sum()
+    return digest, np.packbits(2 * ones > total, bitorder="little").view("<i8").tolist()
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, width: int = SET_WORDS, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component): documents with a near copy, and the least id of the group that they are linked to.
 
-    Equal normal forms are linked to the least of their ids, which alone goes on. Candidates are then documents whose word
-    fingerprints differ in three bits or fewer, for any of three fingerprints; documents of equal fingerprint are linked to the least
-    of them, so a group of k copies has k - 1 candidate links. A candidate counts if the sets of ``width``-word
-    shingles have a Jaccard similarity of ``similarity`` or more, computed in full. Texts without words are copies of
-    each other. Rows with a null id take no part.
+    Equal normal forms are linked to the least of their ids, which alone goes on. Candidates are then documents one of whose
+    word fingerprints differs in three bits or fewer, and none in more than FAR_BITS; documents of equal fingerprint are
+    linked to the least of them, so a group of k copies has k - 1 candidate links. A candidate counts if the sets of
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more, computed in full. Texts without words
+    are copies of each other. Rows with a null id take no part.
     """
     scratch = Scratch(spark)
     texts = keyed_text(docs, id_col, text_col).filter("doc_id is not null")
-    names = [*(f"fp_{s}" for s in seeds), "fp_distinct"]
+    names = [f"fp_{k}" for k in range(2 * len(seeds))]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -164,21 +178,28 @@ def near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILA
         found = own.join(reps, "fp").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).unionByName(near_links(reps).select("a", "b"))
         links = found if links is None else links.unionByName(found)
     links = links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = scratch.table(links, "links")
+    fps = firsts.select("doc_id", F.array(*names).alias("fps"))
+    far = F.expr(f"exists(zip_with(x, y, (p, q) -> bit_count(p ^ q)), d -> d > {FAR_BITS})")
+    links = links.join(fps.select(F.col("doc_id").alias("a"), F.col("fps").alias("x")), "a").join(fps.select(F.col("doc_id").alias("b"), F.col("fps").alias("y")), "b").filter(~far).select("a", "b")
     links = scratch.table(links, "candidates")
 
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    wanted = spark.sparkContext.broadcast(id_bitmap(ends, "doc_id"))
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, width) for t in utf8(part, "text")], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            part = part.filter(pa.array(in_bitmap(wanted.value, part.column(2))))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, width) for t in utf8(part, "text")], pa.list_(pa.int32()))], names=["doc_id", "shingles"])
 
-    ends = scratch.table(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    held = texts.join(ends, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, shingles array<long>")
+    held = texts.withColumn("place", bitmap_place("doc_id")).mapInArrow(sets, "doc_id long, shingles array<int>")
     held = scratch.table(held, "sets")
     left, right = held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     alike = both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)
     same = links.join(left, "a").join(right, "b").filter(alike).select("a", "b")
     out = scratch.table(connected_components(same.unionByName(equal), scratch), "groups")
-    scratch.drop("prints", "firsts", *(f"reps-{f}" for f in names), "candidates", "ends", "sets", "edges", "least")
+    scratch.drop("prints", "firsts", *(f"reps-{f}" for f in names), "links", "candidates", "sets", "edges", "least")
     return out
 
 
@@ -188,7 +209,20 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = S
     Rows with a null id stay. Of rows that repeat an id one stays; the check for them is an aggregate of ids.
     """
     gone = near_copies(spark, docs, similarity, width, id_col=id_col, text_col=text_col).filter("node <> component").select(F.col("node").alias("__gone"))
-    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    bits, n = spark.sparkContext.broadcast(id_bitmap(gone, "__gone")), len(docs.columns)
+
+    def side(doubtful: bool) -> DataFrame:
+        """Rows that the bitmap of removed ids lets pass, or those that it doesn't: only these need a join."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kept = batch.filter(pa.array(in_bitmap(bits.value, batch.column(n)) == doubtful))
+                yield pa.RecordBatch.from_arrays(kept.columns[:n], names=batch.schema.names[:n])
+
+        return docs.select("*", bitmap_place(id_col).alias("__place")).mapInArrow(run, docs.schema)
+
+    doubtful = side(True)
+    kept = side(False).unionByName(doubtful.join(gone, doubtful[id_col].cast("long") == F.col("__gone"), "left_anti"))
     repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
     if repeats.isEmpty():
         return kept
