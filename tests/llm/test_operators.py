@@ -243,6 +243,39 @@ def test_kept_text(spark, odd, nothing):
     assert {(r.doc_id, r.keep_doc_id) for r in unit_dedup.repeated_units(spark, odd).collect()} == {(21, 20)}
 
 
+def test_repeated_passages(spark, docs, odd, nothing):
+    """Repeats made of short sentences go, whole; first places stay whole; all that op5's sentences find is found."""
+    short = " ".join(f"w{k}!!" for k in range(60))
+    lines = "One two. Three four? Five. Six seven."
+    rows = [(1, f"{short}\n"), (2, f"Own words here: {short} and so it ends."), (3, f"{lines}\nA line of its own words, not short."), (4, f"Before.\n{lines}\nAfter."), (5, "ha! " * 30), (6, "wrapped words of one\nparagraph that stands twice\n\nx"), (7, "wrapped words of\none paragraph that stands twice")]
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in unit_dedup.kept_text(made, unit_dedup.repeated_passages(spark, made)).collect()}
+    assert out[1] == rows[0][1] and out[3] == rows[2][1] and out[6] == rows[5][1]
+    assert "w1!!" not in out[2] and "w59" not in out[2] and out[2].startswith("Own words") and out[4] == "Before.\nAfter." and out[7] == ""
+    assert out[5].count("ha!") == 6
+    wider = {}
+    for r in unit_dedup.repeated_passages(spark, docs).collect():
+        wider.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_chars))
+    for r in unit_dedup.repeated_units(spark, docs).collect():
+        left = set(range(r.start, r.start + r.n_chars)) - wider.get(r.doc_id, set())
+        assert not left or r.doc_id == r.keep_doc_id
+    assert unit_dedup.repeated_passages(spark, nothing).count() == 0
+    assert {(r.doc_id, r.keep_doc_id) for r in unit_dedup.repeated_passages(spark, odd).collect()} <= {(21, 20), (8, 8)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a. ", "b b! ", "c c c c c c c.\n", "d ", "\n\n", "e.e "]), max_size=12).map("".join), st.text("xy .\n", max_size=10))
+def test_runs_cover_a_passage(passage, before):
+    """Any stretch of whole sentences with enough words is covered by units that are the same wherever it stands."""
+    passage += "."
+    host = f"{before}.\n\n{passage} \n\nz"
+    at = len(before) + 3
+    alone = {d for *_, d in unit_dedup.passage_units(passage, 6)}
+    inside = {d for s, n, _, d in unit_dedup.passage_units(host, 6)}
+    if len(re.findall(r"[a-e]+", passage.replace("e.e", "e"))) >= 6:
+        assert alone and alone & inside and host[at:].startswith(passage)
+
+
 # Token planes
 
 

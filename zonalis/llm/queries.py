@@ -45,6 +45,10 @@ def repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unit_dedup.repeated_units(spark, _table(spark, sf_dir, "documents"))
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unit_dedup.repeated_passages(spark, _table(spark, sf_dir, "documents"))
+
+
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes(spark, _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
@@ -75,6 +79,7 @@ def queries() -> dict:
         "op3_simhash_components": simhash,
         "op4_benchmark_leaks": benchmark_leaks,
         "op5_repeated_units": repeated_units,
+        "op5_repeated_passages": repeated_passages,
         "op6_token_planes": planes,
         "op7_quality_rules": rules,
         "op8_quality_ranking": ranking,

@@ -108,6 +108,98 @@ def kept_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_co
     return joined.mapInArrow(run, "doc_id long, text string, kept array<struct<start: long, n_chars: long>>")
 
 
+#: What the words of a passage's unit are cut out of: end marks and blanks at its end don't count.
+_TAIL = ".!?\n \t\x0b\x0c\r"
+_CUTS = re.compile(ENDS["sentence"])
+_BREAKS = {"line": re.compile(r"\n+"), "paragraph": re.compile(r"\n\n+")}
+_SOLID = re.compile(r"[^ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r.!?][^ \t\n\x0b\x0c\r]*")
+_BLANK = frozenset(" \t\n\x0b\x0c\r")
+
+
+def passage_units(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, bytes]]:
+    """(start, n_chars, n_words, digest) of each paragraph, line and run of sentences of at least ``min_words`` words.
+
+    A run takes in as many sentences as make up ``min_words`` words: one starts at every sentence and one ends at every
+    sentence, so all sentences of any stretch of so many words stand in a run inside it, short ones too. A sentence that
+    is long enough is a run of its own. Units with the same words at the same place are one, the longest.
+    """
+    low = text.lower() if text.isascii() else text.translate(_UPPER)
+    starts, sums, at, total = [], [0], 0, 0
+    for m in _CUTS.finditer(low):
+        at = m.start()
+        n = len(_SOLID.findall(m[0]))
+        if n and at and low[at - 1] not in _BLANK and low[at] not in _BLANK:
+            n -= 1
+        total += n
+        starts.append(at)
+        sums.append(total)
+    starts.append(len(low))
+    spans, i = set(), 0
+    for e in range(1, len(starts)):
+        # The shortest run that ends here, and those that start at the sentences left behind and could not end earlier.
+        while sums[e] - sums[i] >= min_words:
+            spans.add((starts[i], starts[e]))
+            i += 1
+        if i and sums[e] - sums[i - 1] >= min_words:
+            spans.add((starts[i - 1], starts[e]))
+    for ends in _BREAKS.values():
+        at = 0
+        for m in ends.finditer(low):
+            spans.add((at, m.end()))
+            at = m.end()
+        if at < len(low):
+            spans.add((at, len(low)))
+    found: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+    for start, end in spans:
+        piece = low[start:end].rstrip(_TAIL)
+        words = _WORDS.findall(piece)
+        if len(words) < min_words:
+            continue
+        first = start
+        while low[first] in _BLANK:
+            first += 1
+        key = first, hashlib.md5(" ".join(words).encode()).digest()
+        old = found.get(key)
+        if old:
+            left = min(start, old[0])
+            found[key] = left, max(end, old[0] + old[1]) - left, len(words)
+        else:
+            found[key] = start, end - start, len(words)
+    return sorted((*place, digest) for (_, digest), place in found.items())
+
+
+def passage_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``passage_units`` of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            rows = []
+            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                rows += [(doc_id, *unit) for unit in passage_units(text or "", min_words)]
+                if len(rows) >= 20_000:
+                    yield _batch(rows)
+                    rows = []
+            if rows:
+                yield _batch(rows)
+
+    return keyed_text(docs, id_col, text_col).filter("doc_id is not null").mapInArrow(run, SCHEMA)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """``repeated_units`` over paragraphs, lines and runs of sentences at once: the same columns, spans that may overlap.
+
+    Equal words are one group at whatever level they stand, and the earliest place stays. A repeat that overlaps that place
+    in the same text is not reported: it would cut into what stays. Every word of a span has a copy at an earlier
+    place, so the first of its copies is never removed. Nulls, empty texts and repeated rows are as in ``repeated_units``.
+    """
+    scratch = Scratch(spark)
+    found = scratch.table(passage_digests(docs, id_col, text_col, min_words), "passages")
+    first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "n_chars")).alias("keep")).filter("n > 1")
+    first = scratch.table(first.select("digest", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"), F.expr("keep.start + keep.n_chars").alias("keep_end")), "passage-firsts")
+    again = found.join(first, "digest").filter("doc_id <> keep_doc_id or start >= keep_end")
+    return again.select("doc_id", "start", "n_chars", "n_words", "keep_doc_id", "keep_start")
+
+
 #: The same spans in DuckDB SQL, for units cut at sentence ends.
 ORACLE_SQL = f"""
 WITH cut AS (
