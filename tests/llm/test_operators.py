@@ -377,6 +377,14 @@ def test_quality_rules_edges(spark, odd, nothing):
     assert not empty.ratios.any() and quality_rules.quality_rules(spark, nothing, empty).count() == 0
 
 
+def test_all_trusted_text_counts(spark):
+    """If all of many documents are trusted, both multinomials are the same, whatever their number; a stranger is not."""
+    docs = spark.range(20_500).selectExpr("id as doc_id", "lpad(id, 8, '0') as text")
+    labels = spark.range(20_500).selectExpr("id as doc_id", "1 as quality")
+    assert not quality_rules.fit_ratios(docs, labels).ratios.any()
+    assert quality_rules.fit_ratios(docs.unionByName(spark.createDataFrame([(99_999, "strange")], docs.schema)), labels).ratios.any()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "c"]), max_size=60))
 def test_repeated_words(words):

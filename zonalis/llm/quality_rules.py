@@ -15,12 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import ASCII_SPACE, keyed_text, labelled_sample, slices
+from zonalis.llm.common import ASCII_SPACE, bitmap_place, id_bitmap, in_bitmap, keyed_text, slices
 
 NGRAM = 4
 BUCKETS = 1 << 16
-#: The trusted multinomial is fitted on at most so many labelled documents, those with the smallest hashes of their ids.
-TRUSTED_ROWS = 20_000
 #: Pseudo-count of every bucket, in both multinomials.
 SMOOTHING = 0.5
 #: A document passes if its mean log ratio is this or more.
@@ -136,15 +134,28 @@ def _gathered(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, threshold: float = MIN_RATIO) -> RatioModel:
-    """Count the n-grams of all documents, and of the trusted ones (label ``quality`` 1), in one pass.
+def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, buckets: int = BUCKETS, threshold: float = MIN_RATIO) -> RatioModel:
+    """Count the n-grams of all documents, and of all trusted ones (label ``quality`` 1).
 
-    A task adds its counts up before the shuffle, which gets at most ``buckets`` rows a task; the driver gets ``buckets``
-    rows. Only the ids of the trusted sample, at most ``trusted_rows``, are broadcast. With no trusted document
+    An id with several label rows counts once, with its largest label. Documents are flagged by an equality join on their ids; a
+    bitmap of the trusted ids (8 MB) keeps most texts of others out of its shuffle. A task adds its counts up before
+    the last shuffle, which gets at most ``buckets`` rows a task; the driver gets ``buckets`` rows. With no trusted document
     all ratios are zero, and every document passes.
     """
-    trusted = labelled_sample(labels, "quality", {1: trusted_rows}).select("doc_id", F.lit(1).alias("trusted"))
-    flagged = keyed_text(docs, id_col, text_col).join(F.broadcast(trusted), "doc_id", "left").select("text", "trusted")
+    known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label"))
+    known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    trusted = known.filter("label = 1").select("doc_id", F.lit(1).alias("trusted"))
+    texts = keyed_text(docs, id_col, text_col).withColumn("place", bitmap_place("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(trusted, "doc_id"))
+
+    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield part.filter(pa.array(in_bitmap(bits.value, part.column(2)))).select([0, 1])
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            part = part.filter(pa.array(~in_bitmap(bits.value, part.column(2))))
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.nulls(part.num_rows, pa.int32())], names=["text", "trusted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), np.int64)
@@ -156,7 +167,10 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
 
-    rows = flagged.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counted = "bucket long, raw long, target long"
+    plain = texts.mapInArrow(lambda batches: run(others(batches)), counted)
+    flagged = texts.mapInArrow(doubtful, "doc_id long, text string").join(trusted, "doc_id", "left").select("text", "trusted").mapInArrow(run, counted)
+    rows = plain.unionByName(flagged).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     if not target.any():
