@@ -168,6 +168,27 @@ def test_near_copies_edges(spark, odd, nothing):
     assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([0, 3, 4, 5, 6, 7, 8, 20, None], key=str)
 
 
+def jaccard(a, b):
+    x, y = (set(simhash.shingle_set(t.encode()).tolist()) for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_far_in_every_print(spark):
+    """Pairs of similarity 0.8 or more whose word fingerprints are all more than three bits apart are found."""
+    rng, rows = np.random.RandomState(5), []
+    while len(rows) < 60:
+        words = [f"w{k}" for k in rng.randint(0, 5000, 150)]
+        other = list(words)
+        for at in (30, 100):
+            other[at : at + 4] = [f"v{k}" for k in rng.randint(0, 5000, 4)]
+        a, b = " ".join(words), " ".join(other)
+        bits = [(x ^ y) & (2**64 - 1) for x, y in zip(simhash.word_prints(a.encode())[1], simhash.word_prints(b.encode())[1], strict=True)]
+        if jaccard(a, b) >= 0.8 and min(d.bit_count() for d in bits) > 3:
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 60, 2))
+
+
 # Decontamination
 
 
