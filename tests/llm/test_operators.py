@@ -189,6 +189,18 @@ def test_near_copies_far_in_every_print(spark):
     assert kept == set(range(0, 60, 2))
 
 
+def test_near_copies_beside_the_least(spark):
+    """Texts of the same words share all word fingerprints; those that are no copies of the least are compared with each other."""
+    rng = np.random.RandomState(6)
+    words, rows = [f"w{k}" for k in range(200)], []
+    for k in range(8):
+        own = [words[i] for i in rng.permutation(200)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[60:120] + own[:60] + own[120:]))]
+    assert len({tuple(simhash.word_prints(t.encode())[1]) for _, t in rows}) == 1 and all(jaccard(rows[k][1], rows[k + 1][1]) >= 0.8 for k in range(0, 16, 2))
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 16, 2))
+
+
 # Decontamination
 
 
