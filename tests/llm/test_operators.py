@@ -201,6 +201,54 @@ def test_near_copies_beside_the_least(spark):
     assert kept == set(range(0, 16, 2))
 
 
+def edited(rng, words, edits):
+    out = list(words)
+    for at in rng.choice(len(out), edits, replace=False):
+        out[at] = f"v{rng.randint(0, 10**9)}"
+    return " ".join(out)
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Many edited copies of one text: the groups of brute force, few pairs compared in full, far fewer than all."""
+    rng, words = np.random.RandomState(8), [f"w{k}" for k in range(160)]
+    rows = [(k, edited(rng, words, int(rng.randint(1, 9)))) for k in range(500)]
+    rows += [(500 + k, " ".join(f"u{x}" for x in rng.randint(0, 10**6, 100))) for k in range(50)]
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for _, t in rows]
+    alike = [(a, b) for a in range(550) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    expected, compared, verified = components_by_hand(range(550), alike), [], simhash._NearCopies.verified
+    assert len(alike) > 5_000
+
+    def counted(self, pairs, held):
+        compared.append(pairs.count())
+        return verified(self, pairs, held)
+
+    monkeypatch.setattr(simhash._NearCopies, "verified", counted)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = {r.doc_id: r.kept_id for r in simhash.near_copies(spark, table).collect()}
+    assert {i: groups.get(i, i) for i in range(550)} == expected
+    assert sum(compared) < 12 * 550
+
+
+def test_sketches_never_part_what_is_alike():
+    rng = np.random.RandomState(9)
+    for size in (1, 5, 40, 150, 3000):
+        words = [f"w{k}" for k in rng.randint(0, 10**6, size + 4)]
+        for edits in range(0, max(2, size // 20)):
+            a, b = (simhash.shingle_set(t.encode()) for t in (" ".join(words), edited(rng, words, min(edits, len(words)))))
+            apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(simhash.sketch(a), simhash.sketch(b), strict=True))
+            assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_rows_that_share_an_id(spark):
+    """A text that is a copy of nothing stays, whatever its id; of equal rows one stays."""
+    rows = [(1, "a text that stands twice", 1, 0), (5, "A text  that stands twice", 2, 0), (5, "another text of the same id", 3, 0), (6, "a third one", 4, 0), (6, "a third one", 5, 0), (None, "a third one", 6, 0), (None, "a third one", 6, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, own_id int, __place int")
+    got = sorted(((r.doc_id or 0, r.text, r.own_id) for r in simhash.drop_near_copies(spark, table).collect()))
+    assert got == [(0, "a third one", 6), (0, "a third one", 6), (1, "a text that stands twice", 1), (5, "another text of the same id", 3), (6, "a third one", 4)]
+    renamed = table.selectExpr("cast(doc_id as string) as Digest", "text as own_text", "own_id as place", "__place as rank")
+    assert simhash.drop_near_copies(spark, renamed, id_col="Digest", text_col="own_text").count() == 5
+
+
 # Decontamination
 
 
@@ -586,10 +634,10 @@ def test_bitmap_holds_all_ids(spark):
 
     ids = spark.range(5000).select((F.col("id") * 7919 - 10_000_000).alias("doc_id"))
     bitmap = common.id_bitmap(ids, "doc_id")
-    places = ids.select(common.bitmap_place("doc_id").alias("p")).toPandas()["p"].to_numpy()
+    places = ids.select(common.id_hash(F.col("doc_id")).alias("p")).toPandas()["p"].to_numpy()
     import pyarrow as pa
 
     assert common.in_bitmap(bitmap, pa.array(places)).all()
-    strangers = spark.range(5000).select((F.col("id") + 10**12).alias("doc_id")).select(common.bitmap_place("doc_id").alias("p")).toPandas()["p"].to_numpy()
+    strangers = spark.range(5000).select((F.col("id") + 10**12).alias("doc_id")).select(common.id_hash(F.col("doc_id")).alias("p")).toPandas()["p"].to_numpy()
     assert common.in_bitmap(bitmap, pa.array(strangers)).mean() < 0.01
     assert not common.id_bitmap(ids.filter("false"), "doc_id").any()

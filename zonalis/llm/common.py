@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from zonalis.sources.scratch import Scratch, new_path, remove_path, shared_folder
 
-__all__ = ["Scratch", "bitmap_place", "id_bitmap", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "utf8"]
+__all__ = ["Scratch", "fresh_names", "id_bitmap", "id_hash", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "utf8"]
 
 #: Rows that a Python stage holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -38,32 +38,46 @@ def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-#: Bits of an id bitmap: it takes BITMAP_BITS / 8 bytes (8 MB) on the driver and on each executor, whatever the number of ids.
-BITMAP_BITS = 1 << 26
+#: Bits of an id bitmap, for each id, and at least and at most (64 MB on the driver and on each Python worker, whatever the number of ids).
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
 
 
 def id_bitmap(ids: DataFrame, column: str) -> np.ndarray:
     """A bitmap of the hashes of ``column``: ids that are not in it are not among them, others may be.
 
-    With many ids more strangers pass, so whoever uses it still joins exactly what it lets through. Words of the bitmap are
-    put together by a pre-aggregated group-by and number BITMAP_BITS / 64 at most.
+    It has BITS_PER_ID bits for an id, up to MOST_BITS; past that more strangers pass, so whoever uses it still joins exactly
+    what it lets through. Words of the bitmap are put together by a pre-aggregated group-by. Null ids are left out.
     """
-    place = bitmap_place(column)
-    rows = ids.select(place.alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BITMAP_BITS // 64, np.int64)
+    known = ids.filter(F.col(column).isNotNull())
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_ID * known.count()).bit_length()))
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    rows = known.select(place.alias("place")).selectExpr("shiftright(place, 6) as word", "shiftleft(1L, cast(place & 63 as int)) as bits").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
     out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return out
 
 
-def bitmap_place(column: str):
-    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITMAP_BITS))
+def id_hash(id_column):
+    """What ``in_bitmap`` looks up; 0 for null ids."""
+    return F.when(id_column.isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(id_column.cast("long")))
 
 
-def in_bitmap(bitmap: np.ndarray, places: pa.Array) -> np.ndarray:
-    p = places.to_numpy(zero_copy_only=False).astype(np.int64)
+def in_bitmap(bitmap: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    p = hashes.to_numpy(zero_copy_only=False).astype(np.int64) & (64 * len(bitmap) - 1)
     return (bitmap[p >> 6] >> (p & 63)) & 1 == 1
 
 
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, with underscores before those that ``taken`` has already (in any case of letters)."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(id_col: str, modulus: int):
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import ASCII_SPACE, bitmap_place, id_bitmap, in_bitmap, keyed_text, slices
+from zonalis.llm.common import ASCII_SPACE, id_bitmap, id_hash, in_bitmap, keyed_text, slices
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -145,7 +145,7 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     trusted = known.filter("label = 1").select("doc_id", F.lit(1).alias("trusted"))
-    texts = keyed_text(docs, id_col, text_col).withColumn("place", bitmap_place("doc_id"))
+    texts = keyed_text(docs, id_col, text_col).withColumn("place", id_hash(F.col("doc_id")))
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(trusted, "doc_id"))
 
     def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

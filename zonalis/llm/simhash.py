@@ -8,15 +8,16 @@ verified in the join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from zonalis.llm.common import Scratch, bitmap_place, id_bitmap, in_bitmap, keyed_text, slices, utf8
+from zonalis.llm.common import Scratch, fresh_names, id_bitmap, id_hash, in_bitmap, keyed_text, slices, utf8
 from zonalis.llm.components import connected_components
 
 SEED = 42
@@ -59,7 +60,7 @@ def _variants(fps: DataFrame, side: int) -> DataFrame:
     each = fps.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(65))))
     half, bit = F.expr("cast(n >= 33 as int)"), F.expr("n % 33")
     segment = F.expr("if(n >= 33, fp & 4294967295L, shiftrightunsigned(fp, 32))")
-    own = ["part"] if "part" in fps.columns else []
+    own = [c for c in fps.columns if c not in ("fp", "rep")]
     each = each.select("fp", "rep", *own, half.alias("half"), bit.alias("bit"), segment.alias("segment"))
     each = each.filter((F.col("bit") == 32) | (F.expr("shiftright(segment, bit) & 1") == side))
     masked = F.expr("if(bit = 32, segment, segment & ~shiftleft(1L, bit))")
@@ -67,25 +68,24 @@ def _variants(fps: DataFrame, side: int) -> DataFrame:
     return each.select(key.alias("key"), F.col("fp").alias(f"fp{side}"), F.col("rep").alias(f"rep{side}"), *(F.col(c).alias(f"{c}{side}") for c in own))
 
 
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """Links (a, b, bits) between distinct fingerprints ``fps`` (fp, rep) at ``max_bits`` (3 at most) or fewer bits.
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, also: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """Links (a, b, bits) between different fingerprints of ``fps`` (fp, rep) at ``max_bits`` (3 at most) or fewer bits.
 
     Each link comes once: by the upper segment, or by the lower one if the upper ones differ in two bits or more. For
     segments that are equal each pair stands once, and under a wildcard only fingerprints of opposite bits meet, so a
-    group of k fingerprints that share a segment is compared once, not once for every wildcard. If ``fps`` has a column
-    ``part``, only links between different parts come.
+    group of k fingerprints that share a segment is compared once, not once for every wildcard. Further columns c of
+    ``fps`` stand as x.c0 and y.c1 in the join, and ``also("0", "1")``, given these suffixes, is a further condition of it.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one wildcard find distances up to 3")
     apart = F.expr("bit_count(fp0 ^ fp1)")
-    others = F.col("x.part0") != F.col("y.part1") if "part" in fps.columns else F.lit(True)
     joined = _variants(fps, 0).alias("x").join(
         _variants(fps, 1).alias("y"),
         (F.col("x.key") == F.col("y.key"))
-        & others
         & (F.expr("bit_count(x.fp0 ^ y.fp1)") <= max_bits)
         & (~F.expr("shiftrightunsigned(x.key, 32) % 33 = 32") | (F.col("x.fp0") < F.col("y.fp1")))
-        & (F.expr("shiftrightunsigned(x.key, 32) < 33") | (F.expr("bit_count(shiftrightunsigned(x.fp0 ^ y.fp1, 32))") > 1)),
+        & (F.expr("shiftrightunsigned(x.key, 32) < 33") | (F.expr("bit_count(shiftrightunsigned(x.fp0 ^ y.fp1, 32))") > 1))
+        & (also("0", "1") if also else F.lit(True)),
     )
     return joined.select(F.col("rep0").alias("a"), F.col("rep1").alias("b"), apart.alias("bits"))
 
@@ -108,28 +108,38 @@ def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The deduplication stage: similarity of five-word shingle sets from which texts are near copies; and the seeds of the word
-#: hashes, each good for two fingerprints.
+#: The deduplication stage: similarity of five-word shingle sets from which texts are near copies.
 SET_WORDS = 5
 SIMILARITY = 0.8
-SEEDS = (42, 43)
 #: Prints of parts of the shingle set: BANDS hashes, each of the least values of the set under BAND_ROWS hash functions. Sets of
-#: similarity 0.8 share none of them in 2 of 1,000 cases.
-BANDS = 16
+#: similarity 0.8 share none of them in 1 of 2,800 cases.
+BANDS = 20
 BAND_ROWS = 5
 _MIX = np.random.RandomState(SEED).randint(0, 2**63, (2, BANDS * BAND_ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bits of the sketch of a shingle set: bit k is the parity of the number of shingles hashed to k. Sketches of two sets differ in
+#: no more bits than the sets have shingles that stand in one of them only, so far sketches prove that sets are not alike.
+SKETCH_WORDS = 4
+_SKETCH_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: In the first round each document of a bucket is compared with one other, and in each further round with so many times more.
+GROWTH = 16
 
 
-def shingle_set(text: bytes | None, width: int = SET_WORDS) -> np.ndarray:
-    """Distinct 32-bit hashes of the shingles; a text of fewer words is one shingle, one without words has none."""
-    words = (text or b"").lower().split()
+def normal_words(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def shingle_set(text: bytes | list[bytes] | None, width: int = SET_WORDS) -> np.ndarray:
+    """Distinct 32-bit hashes of the shingles of a text or its words; fewer words than ``width`` are one shingle, no words have none."""
+    words = text if isinstance(text, list) else normal_words(text)
     if not words:
         return np.zeros(0, np.int32)
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    return np.unique(np.array([xxhash.xxh32_intdigest(line[s:e], SEED) for s, e in zip(starts, ends)], "<u4").view("<i4"))  # noqa: B905
+    digest = xxhash.xxh32_intdigest
+    hashes = np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, ends)), np.uint32, len(ends))  # noqa: B905
+    return np.unique(hashes.view(np.int32))
 
 
 def band_prints(shingles: np.ndarray) -> list[int]:
@@ -144,130 +154,227 @@ def band_prints(shingles: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(r.tobytes(), SEED), "little", signed=True) for r in rows]
 
 
-def word_prints(text: bytes | None, seeds: tuple[int, ...] = SEEDS) -> tuple[bytes, list[int]]:
-    """Digest of the normal form (lower case, single blanks), and SimHashes of its words, two for each seed.
+def sketch(shingles: np.ndarray) -> list[int]:
+    """Parity sketch of a shingle set, as SKETCH_WORDS longs."""
+    bits = 64 * SKETCH_WORDS
+    places = (shingles.view(np.uint32).astype(np.uint64) * _SKETCH_MIX >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1, bitorder="little").view("<i8").tolist()
 
-    A word that stands k times weighs 1 + log k, in whole sixteenths: by its count, the commonest words of a language
-    would set most bits of all its texts.
+
+def word_print(words: list[bytes]) -> int:
+    """SimHash of the words; a word that stands k times weighs 1 + log k, in whole sixteenths. 0 without words.
+
+    By its count alone the commonest words of a language would set most bits of all its texts.
     """
-    words = (text or b"").lower().split()
-    digest, prints = xxhash.xxh3_128_digest(b" ".join(words)), 2 * len(seeds)
+    if not words:
+        return 0
     counts: dict[bytes, int] = {}
     for w in words:
         counts[w] = counts.get(w, 0) + 1
-    if not words:
-        return digest, [0] * prints
-    distinct, ones, total = list(counts), np.zeros(64 * prints), 0.0
+    distinct, ones, total = list(counts), np.zeros(64), 0.0
     for at in range(0, len(distinct), BLOCK // 8):
         part = distinct[at : at + BLOCK // 8]
-        hashes = b"".join([xxhash.xxh3_128_digest(w, s) for w in part for s in seeds])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(len(part), 8 * prints), axis=1, bitorder="little")
+        hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in part], "<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         weights = np.rint(16 + 16 * np.log([counts[w] for w in part]))
         ones += weights @ bits
         total += weights.sum()
-    return digest, np.packbits(2 * ones > total, bitorder="little").view("<i8").tolist()
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, width: int = SET_WORDS, seeds: tuple[int, ...] = SEEDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, component): documents with a near copy, and the least id of the group that they are linked to.
+def digest_of(words: list[bytes]) -> bytes:
+    """Digest of the normal form: lower case, single blanks."""
+    return xxhash.xxh3_128_digest(b" ".join(words))
 
-    Equal normal forms are linked to the least of their ids, which alone goes on. Candidates are documents that share a word
-    fingerprint or a print of a part of their shingles, and those with a word fingerprint within three bits. A
-    candidate counts if the sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more, computed in full.
 
-    Of documents that share a print each is compared with the least; those that fail stay and are compared with the least four of them,
-    then sixteen and so on, until none is left. Fingerprints are then compared only between groups that aren't linked
-    yet, one document for each fingerprint of a group: the links in a group of near copies don't grow with the square
-    of its size. Texts without words are copies of each other. Rows with a null id take no part.
-    """
-    scratch = Scratch(spark)
-    texts = keyed_text(docs, id_col, text_col).filter("doc_id is not null")
-    names = [f"fp_{k}" for k in range(2 * len(seeds))]
+def word_prints(text: bytes | None) -> tuple[bytes, list[int]]:
+    """Digest of the normal form, and the SimHashes of the words (one)."""
+    words = normal_words(text)
+    return digest_of(words), [word_print(words)]
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            own = [(*word_prints(t, seeds), band_prints(shingle_set(t, width))) for t in utf8(part, "text")]
-            fps = zip(*(f for _, f, _ in own), strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([d for d, _, _ in own], pa.binary()), *(pa.array(f, pa.int64()) for f in fps), pa.array([b for *_, b in own], pa.list_(pa.int64()))], names=["doc_id", "digest", *names, "bands"])
 
-    def sets(ids: DataFrame) -> DataFrame:
-        """The shingle sets of ``ids`` (doc_id), and of others that their bitmap lets pass."""
-        wanted = spark.sparkContext.broadcast(id_bitmap(ids, "doc_id"))
+def _may_be_alike(similarity: float, x: str, y: str, words: list[str]) -> Column:
+    """False only for sets whose sketches prove a Jaccard similarity under ``similarity``; x and y stand for (prefix, suffix)."""
+    apart = " + ".join(f"bit_count({x.format(w)} ^ {y.format(w)})" for w in words)
+    return F.expr(f"{apart} <= ({x.format('size')} + {y.format('size')}) * {(1 - similarity) / (1 + similarity)!r}D + 1e-6D")
+
+
+class _NearCopies:
+    """The search for near copies among the distinct normal forms of a table; its tables are in the shared folder."""
+
+    def __init__(self, spark: SparkSession, docs: DataFrame, similarity: float, width: int, id_col: str, text_col: str):
+        self.spark, self.similarity, self.width, self.scratch = spark, similarity, width, Scratch(spark)
+        self.texts = keyed_text(docs, id_col, text_col).filter("doc_id is not null")
+        self.sketch = [f"s{k}" for k in range(SKETCH_WORDS)]
+
+    def prints(self) -> DataFrame:
+        """(doc_id, digest, size, sketch, fp, bands) of every row."""
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches):
+                rows = []
+                for text in utf8(part, "text"):
+                    words = normal_words(text)
+                    shingles = shingle_set(words, width)
+                    rows.append((digest_of(words), len(shingles), *sketch(shingles), word_print(words), band_prints(shingles)))
+                columns, kinds = zip(*rows, strict=True), [pa.binary(), pa.int32(), *[pa.int64()] * (SKETCH_WORDS + 1), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "digest", "size", *(f"s{k}" for k in range(SKETCH_WORDS)), "fp", "bands"])
+
+        return self.texts.mapInArrow(run, f"doc_id long, digest binary, size int, {', '.join(f'{s} long' for s in self.sketch)}, fp long, bands array<long>")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(digest, shingles) of the rows of ``ids`` (doc_id), and of others that their bitmap lets pass."""
+        wanted, width = self.spark.sparkContext.broadcast(id_bitmap(ids, "doc_id")), self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
                 part = part.filter(pa.array(in_bitmap(wanted.value, part.column(2))))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, width) for t in utf8(part, "text")], pa.list_(pa.int32()))], names=["doc_id", "shingles"])
+                words = [normal_words(t) for t in utf8(part, "text")]
+                yield pa.RecordBatch.from_arrays([pa.array([digest_of(w) for w in words], pa.binary()), pa.array([shingle_set(w, width) for w in words], pa.list_(pa.int32()))], names=["digest", "shingles"])
 
-        return texts.withColumn("place", bitmap_place("doc_id")).mapInArrow(run, "doc_id long, shingles array<int>")
+        return self.texts.withColumn("place", id_hash(F.col("doc_id"))).mapInArrow(run, "digest binary, shingles array<int>")
 
-    def verified(links: DataFrame, held: DataFrame) -> DataFrame:
-        left, right = held.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), held.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    def verified(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """The rows of ``pairs`` (a, b, ...) whose shingle sets, counted in full, are alike."""
+        left, right = held.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), held.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        alike = both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)
-        return links.join(left, "a").join(right, "b").filter(alike).select("a", "b")
-
-    every = scratch.table(texts.mapInArrow(prints, f"doc_id long, digest binary, {', '.join(f'{f} long' for f in names)}, bands array<long>"), "prints")
-    firsts = every.groupBy("digest").agg(F.min(F.struct("doc_id", *names, "bands")).alias("f")).select("digest", "f.*")
-    firsts = scratch.table(firsts, "firsts")
-    equal = every.select(F.col("doc_id").alias("b"), "digest").join(firsts.select(F.col("doc_id").alias("a"), "digest"), "digest").filter("a <> b").select("a", "b")
-
-    shared = firsts.select("doc_id", F.posexplode(F.concat(F.array(*names), "bands")).alias("slot", "value"))
-    least = scratch.table(shared.groupBy("slot", "value").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "least-of-print")
-    tried = scratch.table(shared.join(least, ["slot", "value"]).filter("doc_id <> a").select("slot", "value", "a", F.col("doc_id").alias("b")), "tried")
-    held = scratch.table(sets(tried.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
-    found, tables, few, firsts_of = equal, [], 1, None
-    while not tried.isEmpty():
-        tables.append(f"alike-{few}")
-        alike = scratch.table(verified(tried.select("a", "b").distinct(), held), tables[-1])
-        found = found.unionByName(alike)
-        done = tried.join(alike, ["a", "b"]).select("slot", "value", "b")
-        if firsts_of is not None:  # these have met all others of their print
-            done = done.unionByName(firsts_of.withColumnRenamed("a", "b"))
-        left = tried.select("slot", "value", "b").distinct().join(done.distinct(), ["slot", "value", "b"], "left_anti")
-        left = scratch.table(left, "left")
-        few *= 4
-        rank = F.row_number().over(Window.partitionBy("slot", "value").orderBy("b"))
-        firsts_of = scratch.table(left.withColumn("k", rank).filter(F.col("k") <= few).select("slot", "value", F.col("b").alias("a")), "next")
-        tried = scratch.table(left.join(firsts_of, ["slot", "value"]).filter("a < b"), "tried")
-
-    parts = scratch.table(connected_components(found, scratch), "parts")
-    owned = firsts.join(parts, firsts.doc_id == parts.node, "left").select("doc_id", F.coalesce("component", "doc_id").alias("part"), *names)
-    owned = scratch.table(owned, "owned")
-    links = None
-    for name in names:
-        reps = scratch.table(owned.groupBy(F.col(name).alias("fp"), "part").agg(F.min("doc_id").alias("rep")), f"reps-{name}")
-        near = near_links(reps).select("a", "b")
-        links = near if links is None else links.unionByName(near)
-    links = scratch.table(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    held = scratch.table(sets(links.select(F.explode(F.array("a", "b")).alias("doc_id"))), "sets")
-    same = scratch.table(verified(links, held), "same")
-    out = scratch.table(connected_components(same.unionByName(parts.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch), "groups")
-    scratch.drop("prints", "firsts", "least-of-print", "tried", "left", "next", *tables, "parts", "owned", *(f"reps-{f}" for f in names), "links", "sets", "same", "edges", "least")
-    return out
+        alike = both + F.lit(1e-6) >= F.lit(self.similarity) * (F.size("x") + F.size("y") - both)
+        return pairs.join(left, "a").join(right, "b").filter(alike).select(*pairs.columns).distinct()
+
+    def merged(self, parts: DataFrame | None, links: DataFrame) -> DataFrame:
+        """``parts`` (node, part), after the parts that ``links`` (pa, pb) name are put together. Nodes not in it are parts of their own."""
+        named = self.scratch.table(connected_components(links.select(F.col("pa").alias("a"), F.col("pb").alias("b")), self.scratch), "named")
+        if parts is None:
+            return self.scratch.table(named.select("node", F.col("component").alias("part")), "parts")
+        old = parts.join(named.withColumnRenamed("node", "part"), "part", "left").select("node", F.coalesce("component", "part").alias("part"))
+        new = named.join(parts, "node", "left_anti").select("node", F.col("component").alias("part"))
+        return self.scratch.table(old.unionByName(new), "parts")
+
+    def within_buckets(self, firsts: DataFrame) -> DataFrame | None:
+        """Parts after all pairs that share a print are settled: alike, in one part already, or proved or found not to be alike."""
+        prints = firsts.select("digest", F.posexplode(F.concat(F.array("fp"), "bands")).alias("slot", "value"))
+        members = prints.select(F.xxhash64("slot", "value").alias("bucket"), F.col("digest").alias("node"))
+        shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        own = firsts.select(F.col("digest").alias("node"), F.col("digest").alias("part"), "size", *self.sketch)
+        left = self.scratch.table(members.join(shared, "bucket").join(own, "node").select("bucket", "n", "node", "part", "size", *self.sketch), "left")
+        held, parts, before, few = None, None, 0, 1
+        while not left.isEmpty():
+            if held is None:
+                ids = firsts.join(left.select(F.col("node").alias("digest")).distinct(), "digest", "left_semi")
+                held = self.scratch.table(self.sets(ids.select("doc_id")), "sets")
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
+            heads = left.withColumn("k", rank).filter((F.col("k") <= few) & (F.col("k") > before))
+            open_pair = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & _may_be_alike(self.similarity, "x.{}", "y.{}", self.sketch)
+            tried = heads.alias("x").join(left.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & open_pair)
+            tried = tried.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.part").alias("pa"), F.col("y.part").alias("pb")).distinct()
+            alike = self.scratch.table(self.verified(self.scratch.table(tried, "tried"), held), "alike")
+            if not alike.isEmpty():
+                parts = self.merged(parts, alike)
+                left = left.join(parts.withColumnRenamed("part", "now"), "node", "left").withColumn("part", F.coalesce("now", "part")).drop("now")
+            several = left.groupBy("bucket").agg(F.min("part").alias("l"), F.max("part").alias("m")).filter("l <> m").select("bucket")
+            left = self.scratch.table(left.filter(F.col("n") > few).join(several, "bucket", "left_semi"), "left")
+            before, few = few, few * GROWTH
+        return parts
+
+    def across_buckets(self, firsts: DataFrame, parts: DataFrame | None) -> DataFrame | None:
+        """Parts after those with word fingerprints within three bits of each other are compared too."""
+        folded = [F.expr(f"s{k} ^ s{k + 1}").alias(f"s{k}") for k in range(0, SKETCH_WORDS, 2)]
+        rows = firsts.select("fp", F.col("digest").alias("rep"), "size", *folded)
+        rows = rows.join(parts, rows.rep == parts.node, "left").drop("node") if parts is not None else rows.withColumn("part", F.lit(None).cast("binary"))
+        rows = self.scratch.table(rows.withColumn("part", F.coalesce("part", "rep")), "owned")
+
+        def open_pair(x: str, y: str) -> Column:
+            words = [f"s{k}" for k in range(0, SKETCH_WORDS, 2)]
+            return (F.col(f"part{x}") != F.col(f"part{y}")) & _may_be_alike(self.similarity, f"{{}}{x}", f"{{}}{y}", words)
+
+        links = self.scratch.table(near_links(rows, also=open_pair).select("a", "b").distinct(), "links")
+        if links.isEmpty():
+            return parts
+        nodes = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+        held = self.scratch.table(self.sets(firsts.join(nodes, "digest", "left_semi").select("doc_id")), "sets")
+        alike = self.scratch.table(self.verified(links, held), "alike")
+        if alike.isEmpty():
+            return parts
+        part = rows.select(F.col("rep").alias("node"), "part")
+        named = alike.join(part.toDF("a", "pa"), "a").join(part.toDF("b", "pb"), "b").select("pa", "pb")
+        return self.merged(parts, named)
+
+    def groups(self) -> DataFrame:
+        every = self.scratch.table(self.prints(), "prints")
+        rest = ["size", *self.sketch, "fp", "bands"]
+        firsts = self.scratch.table(every.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in rest)), "firsts")
+        parts = self.across_buckets(firsts, self.within_buckets(firsts))
+        rows = every.select("doc_id", "digest")
+        if parts is not None:
+            rows = rows.join(parts, rows.digest == parts.node, "left").select("doc_id", "digest", F.coalesce("part", "digest").alias("part"))
+        else:
+            rows = rows.withColumn("part", F.col("digest"))
+        rows = self.scratch.table(rows, "rows")
+        kept = rows.groupBy("part").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
+        kept = self.scratch.table(kept, "kept")
+        out = self.scratch.table(rows.join(kept, "part").select("doc_id", "digest", F.col("kept.doc_id").alias("kept_id"), F.col("kept.digest").alias("kept_digest")), "groups")
+        self.scratch.drop("prints", "firsts", "left", "tried", "alike", "sets", "named", "parts", "owned", "links", "rows", "kept", "edges", "least")
+        return out
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, width: int = SET_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest, kept_id, kept_digest): the rows of ``docs`` that have a copy or near copy, and the row of its group that stays.
+
+    Rows are told apart by id and digest of the normal form (lower case, single blanks); a group's least pair stays. Equal
+    normal forms are one document. Candidates are documents that share the SimHash of their words or a print of a part of
+    their shingle set, and those whose SimHashes differ in three bits or fewer. A candidate counts if the sets of
+    ``width``-word shingles have a Jaccard similarity of ``similarity`` or more, computed in full, unless sketches of the sets prove
+    that they haven't.
+
+    In a bucket of one print each document is compared with the first, then with the next 15, the next 240 and so on,
+    until all are in one part or all pairs are settled; after each round what is alike becomes one part, and within a part nothing is
+    compared again, so in a group of near copies compared pairs grow with its size, not with the square. SimHashes
+    are then compared between parts only. No candidate is left out.
+
+    Texts without words are copies of each other. Rows with a null id take no part. An empty table gives no rows. Equal
+    rows come as often as they stand.
+    """
+    return _NearCopies(spark, docs, similarity, width, id_col, text_col).groups()
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY, width: int = SET_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, less those of near copies but the least id of each group.
+    """The rows of ``docs``, all columns, less those of near copies but the least (id, digest) of each group.
 
-    Rows with a null id stay. Of rows that repeat an id one stays; the check for them is an aggregate of ids.
+    Rows with a null id stay. Rows that share an id but not a text are documents of their own: a text that is a copy of nothing
+    stays. Of rows with equal id and normal form one stays, the least by text, then by its other plain columns.
     """
-    gone = near_copies(spark, docs, similarity, width, id_col=id_col, text_col=text_col).filter("node <> component").select(F.col("node").alias("__gone"))
-    bits, n = spark.sparkContext.broadcast(id_bitmap(gone, "__gone")), len(docs.columns)
+    groups = near_copies(spark, docs, similarity, width, id_col, text_col)
+    scratch = Scratch(spark)
+    gone = scratch.table(groups.filter("doc_id <> kept_id or digest <> kept_digest").select("doc_id", "digest").distinct(), "gone")
+    again = groups.groupBy("doc_id", "digest").count().filter("count > 1").select("doc_id").distinct()
+    repeats = not again.isEmpty()
+    bits = spark.sparkContext.broadcast(id_bitmap(gone.select("doc_id").unionByName(again), "doc_id"))
+    n, schema = len(docs.columns), docs.schema
+    text_at, own_id, digest = n, *fresh_names(docs.columns, "own_id", "digest")
+    keyed = docs.select("*", docs[text_col].cast("string").alias(fresh_names(docs.columns, "own_text")[0]), docs[id_col].cast("long").alias(own_id), id_hash(docs[id_col].cast("long")).alias(fresh_names(docs.columns, "place")[0]))
 
     def side(doubtful: bool) -> DataFrame:
-        """Rows that the bitmap of removed ids lets pass, or those that it doesn't: only these need a join."""
+        """Rows that the bitmap lets pass, with id and digest, or those that it doesn't: only the former need a join."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                kept = batch.filter(pa.array(in_bitmap(bits.value, batch.column(n)) == doubtful))
-                yield pa.RecordBatch.from_arrays(kept.columns[:n], names=batch.schema.names[:n])
+                known = np.asarray(batch.column(n + 1).is_valid())
+                part = batch.filter(pa.array((in_bitmap(bits.value, batch.column(n + 2)) & known) == doubtful))
+                columns, names = part.columns[:n], batch.schema.names[:n]
+                if doubtful:
+                    digests = [digest_of(normal_words(t)) for t in utf8(part, batch.schema.names[text_at])]
+                    columns, names = [*columns, part.column(n + 1), pa.array(digests, pa.binary())], [*names, own_id, digest]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return docs.select("*", bitmap_place(id_col).alias("__place")).mapInArrow(run, docs.schema)
+        more = T.StructType([*schema.fields, T.StructField(own_id, T.LongType()), T.StructField(digest, T.BinaryType())]) if doubtful else schema
+        return keyed.mapInArrow(run, more)
 
     doubtful = side(True)
-    kept = side(False).unionByName(doubtful.join(gone, doubtful[id_col].cast("long") == F.col("__gone"), "left_anti"))
-    repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
-    if repeats.isEmpty():
-        return kept
-    return kept.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.filter(F.col(id_col).isNull()))
+    kept = doubtful.join(gone, (doubtful[own_id] == gone.doc_id) & (doubtful[digest] == gone.digest), "left_anti")
+    if repeats:
+        plain = [f.name for f in schema.fields if f.name != text_col and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+        (rank,) = fresh_names([*docs.columns, own_id, digest], "rank")
+        order = Window.partitionBy(own_id, digest).orderBy(text_col, *plain)
+        kept = kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
+    return side(False).unionByName(kept.select(*docs.columns))
