@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from zonalis.sources.scratch import Scratch, new_path, remove_path, shared_folder
 
-__all__ = ["Scratch", "fresh_names", "id_bitmap", "id_hash", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "utf8"]
+__all__ = ["Scratch", "fresh_names", "id_bitmap", "id_hash", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "small_batches", "utf8"]
 
 #: Rows that a Python stage holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -21,6 +22,22 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 WORD_TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
+#: Bytes and rows of a batch of texts on its way to Python: a batch is held several times, by the JVM and by Python, and a task that
+#: reads very long texts would else hold ten thousand of them.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's limits on Arrow batches are lowered to the bounds above; lower ones stay."""
+    conf = docs.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.match(r"-?\d+", conf.get(key))[0])
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return docs
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -35,7 +52,7 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 
 def keyed_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id and text, under names of this library: other columns of ``docs`` can't clash."""
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    return small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
 #: Bits of an id bitmap, for each id, and at least and at most (64 MB on the driver and on each Python worker, whatever the number of ids).

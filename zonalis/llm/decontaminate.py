@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm.common import WORD_TABLE, keyed_text, slices, utf8
+from zonalis.llm.common import WORD_TABLE, keyed_text, slices, small_batches, utf8
 
 ERROR_RATE = 0.05
 #: Characters of item text that one automaton holds; a larger benchmark is matched block by block.
@@ -188,6 +188,7 @@ def _runner(block: _Shared, rate: float):
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, in which no item stands. Rows are judged where they lie: nothing is shuffled."""
+    docs = small_batches(docs)
     for k, block in enumerate(_blocks(items, item_id_col, item_text_col, block_chars)):
         docs = docs.mapInArrow(_filter(_Shared(spark.sparkContext.broadcast((k, block)), f"{id(block)}-{k}-{hash(tuple(block))}"), rate, docs.columns.index(text_col)), docs.schema)
     return docs

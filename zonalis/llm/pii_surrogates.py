@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import Scratch, keyed_text, slices
+from zonalis.llm.common import Scratch, keyed_text, slices, small_batches
 
 #: Moved entities that are broadcast at most; if there are more, they are joined to the documents that mention them.
 MOVED_ROWS = 200_000
@@ -283,4 +283,4 @@ def surrogate_documents(spark: SparkSession, docs: DataFrame, key: bytes, id_col
             columns[at] = pa.array(new, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import ASCII_SPACE, id_bitmap, id_hash, in_bitmap, keyed_text, slices
+from zonalis.llm.common import ASCII_SPACE, id_bitmap, id_hash, in_bitmap, keyed_text, slices, small_batches
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -213,4 +213,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, model: RatioModel, text_col:
             texts = part.column(at).to_pylist()
             yield part.filter(pa.array([verdict((t or "").encode(), shared.value)[6] for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from zonalis.llm.common import Scratch, fresh_names, id_bitmap, id_hash, in_bitmap, keyed_text, slices, utf8
+from zonalis.llm.common import Scratch, fresh_names, id_bitmap, id_hash, in_bitmap, keyed_text, slices, small_batches, utf8
 from zonalis.llm.components import connected_components
 
 SEED = 42
@@ -352,7 +352,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = S
     bits = spark.sparkContext.broadcast(id_bitmap(gone.select("doc_id").unionByName(again), "doc_id"))
     n, schema = len(docs.columns), docs.schema
     text_at, own_id, digest = n, *fresh_names(docs.columns, "own_id", "digest")
-    keyed = docs.select("*", docs[text_col].cast("string").alias(fresh_names(docs.columns, "own_text")[0]), docs[id_col].cast("long").alias(own_id), id_hash(docs[id_col].cast("long")).alias(fresh_names(docs.columns, "place")[0]))
+    keyed = small_batches(docs).select("*", docs[text_col].cast("string").alias(fresh_names(docs.columns, "own_text")[0]), docs[id_col].cast("long").alias(own_id), id_hash(docs[id_col].cast("long")).alias(fresh_names(docs.columns, "place")[0]))
 
     def side(doubtful: bool) -> DataFrame:
         """Rows that the bitmap lets pass, with id and digest, or those that it doesn't: only the former need a join."""
