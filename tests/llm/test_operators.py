@@ -79,7 +79,11 @@ def test_license_scan(spark, docs, texts, odd):
     [
         ("mit or apache-2.0 and bsd", ["mit", "apache-2.0", "bsd", "and", "or"]),
         ("(mit or apache-2.0) and gpl with x", ["mit", "apache-2.0", "or", "gpl", "x", "with", "and"]),
-        ("mit. and more words", ["mit.", "more", "and"]),
+        ("mit. and more words", ["mit"]),
+        ("mit and more words", ["mit"]),
+        ("bsd-3-clause or isc and prose", ["bsd-3-clause", "isc", "or"]),
+        ("licenseref-own and (mit or prose)", None),
+        ("hello world", None),
         ("(mit", None),
         ("or mit", None),
         ("", None),
@@ -365,8 +369,8 @@ def test_token_planes(spark, texts, docs, odd, planes):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(BPE)
-    whole.encode_special_tokens = True
-    for table in (docs, odd.filter("doc_id is not null").dropDuplicates(["doc_id"])):
+    special = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x<|endoftext|><|endoftext|> y  z")], "doc_id long, text string")
+    for table in (docs, odd.filter("doc_id is not null").dropDuplicates(["doc_id"]), special):
         start, expected = 0, {}
         for r in sorted(table.collect(), key=lambda r: r.doc_id):
             ids = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -374,6 +378,9 @@ def test_token_planes(spark, texts, docs, odd, planes):
             start += len(ids)
         got = token_planes.token_planes(spark, table, BPE, 2, planes=planes, block_ids=1000)
         assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got.collect()} == expected
+        files = token_planes.write_shards(spark, table, token_planes.new_path(spark, "planes"), BPE, 2, planes=planes, block_ids=1000, shard_ids=3000)
+        assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_planes.read_shards(spark, files).collect()} == expected
+        assert all(r.n_ids < 3000 + max(n for _, n, _ in expected.values()) for r in files.collect())
 
 
 def test_token_planes_edges(spark, odd, nothing):
@@ -390,7 +397,7 @@ def test_planes_round_trip(ids, kind):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.text("ab'é1,. \n\t <|endoftext|>", max_size=30), max_size=4))
+@given(st.lists(st.lists(st.text("ab'é1,. \n\t <|endoftext|>", max_size=12) | st.just("<|endoftext|>"), max_size=4).map("".join), max_size=4))
 def test_word_cache_is_the_tokenizer(texts):
     cache = _cache()
     assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode(texts)] == [e.ids for e in cache.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -602,6 +609,45 @@ def test_surrogates(spark):
     assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[1].text)
 
 
+PLAIN_MAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab.@c- 1", max_size=40))
+def test_emails_are_those_of_the_plain_pattern(text):
+    assert list(pii_surrogates.emails(text)) == [m.span() for m in PLAIN_MAIL.finditer(text)]
+
+
+def test_surrogates_of_all_documents(spark, docs, texts):
+    """The text outside the spans stays; one entity has one surrogate everywhere, two have two, of the same form; no address stays."""
+    seen, taken = {}, {}
+    for r in pii_surrogates.surrogate_texts(spark, docs, b"k").collect():
+        text, out, at = texts[r.doc_id] or "", [], 0
+        mails = {m.span() for m in PLAIN_MAIL.finditer(text)}
+        for x in r.spans:
+            old = text[x.start : x.start + x.n_chars]
+            out += [text[at : x.start], x.surrogate]
+            at = x.start + x.n_chars
+            mails.discard((x.start, at))
+            value = old if x.kind in ("secret", "ip") or x.kind.startswith("cjk") else old.lower() if x.kind == "email" or x.kind.startswith("name") else re.sub(r"[^0-9A-Z+]", "", old)
+            new = x.surrogate if x.kind in ("secret", "ip") or x.kind.startswith("cjk") else x.surrogate.lower() if x.kind == "email" or x.kind.startswith("name") else re.sub(r"[^0-9A-Z+]", "", x.surrogate)
+            assert seen.setdefault((x.kind, value), new) == new != value and taken.setdefault((x.kind, new), value) == value
+            if x.kind not in ("ip",) and not x.kind.startswith(("name", "cjk")):
+                assert [c.isdigit() for c in old] == [c.isdigit() for c in x.surrogate] or x.kind == "secret" and len(old) == len(x.surrogate)
+        assert "".join([*out, text[at:]]) == (r.text or "") and not mails
+    assert len(seen) > 10
+
+
+def test_long_entities_and_names_without_a_title(spark):
+    secret, mail = "aB3xY9" * 170_000, "b" * 1_000_000 + "@example.com"
+    rows = [(1, f"token={secret}"), (2, f"token={secret[:-1]}z and"), (3, mail), (4, "q@" * 200_000 + "y" * 600_000), (5, "Mrs. Anna Smith came. Anna said that Smith's hat is Annabel's.")]
+    out = {r.doc_id: r for r in pii_surrogates.surrogate_texts(spark, spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    assert len(out[1].text) == len(rows[0][1]) and out[1].text[6:] != out[2].text[6:-4] and secret[:64] not in out[1].text
+    assert len(out[3].text) == len(mail) and out[3].text != mail and out[4].text == rows[3][1]
+    given, surname = out[5].text.split()[1:3]
+    assert out[5].text == f"Mrs. {given} {surname} came. {given} said that {surname}'s hat is Annabel's." and given != "Anna" and surname != "Smith"
+
+
 def test_surrogates_stay_distinct(spark, odd, nothing):
     """Many names share few first surrogates: all are distinct in the end, by the broadcast and by the join."""
     names = [f"Mr. N{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]

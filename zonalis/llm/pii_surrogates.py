@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import Scratch, keyed_text, slices, small_batches
+from zonalis.llm.common import Scratch, fresh_names, keyed_text, slices, small_batches
 
 #: Moved entities that are broadcast at most; if there are more, they are joined to the documents that mention them.
 MOVED_ROWS = 200_000
 
+#: Characters that are permuted as one number: keeps the numbers small and the time linear.
+SHAPED_BLOCK = 128
+
 #: Forms of address with their gender.
 TITLES = {
     "Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Herrn": "m", "Señor": "m", "Sr": "m", "Monsieur": "m",
@@ -43,7 +46,8 @@ NAME_PARTS = {
     },
 }
 
-_EMAIL = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-."
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
 _DIGIT = re.compile(r"\d")
 _NUMBERS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
@@ -57,6 +61,9 @@ _SECRET = re.compile(r"(?i:password|passwd|token|secret|api[_-]?key|access[_-]?k
 _PREFIXED = re.compile(r"(?<!\w)(?:AKIA(?=[A-Z0-9]{16}(?!\w))|ghp_|sk-)([A-Za-z0-9]{16,})")
 _NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ([A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+)(?: ([A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+))?")
 _CJK_NAME = re.compile(r"([一-鿿])([一-鿿]{1,2})(先生|女士|小姐)")
+_WORD = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*(?:[-'’]\w+)*")
+#: Given names of a later attempt are of one of these stretches of ideographs, in which signs of one radical stand together.
+CJK_STRETCH = {"m": (0x5C71, 0x5DD4), "f": (0x5973, 0x5B32)}
 CJK_SURNAMES, CJK_GIVEN = "王李张刘陈杨赵黄周吴", {"m": "伟强军磊勇杰涛明", "f": "芳娜敏静丽艳娟霞"}
 
 
@@ -65,11 +72,43 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the e-mail addresses: from each ``@`` over one run to the left and a domain to the right, in linear time."""
+    at, floor = -1, 0
+    for part in text.split("@")[:-1]:
+        start, at = at + 1, at + 1 + len(part)
+        run = text[max(floor, start + len(part.rstrip(_LOCAL))) : at]
+        local = run[run.rfind("..") + 2 if ".." in run else 0 :].lstrip(".")
+        if local and local[-1] != "." and (domain := _DOMAIN.match(text, at + 1)):
+            yield at - len(local), domain.end()
+            floor = domain.end()
+
+
+def _bare(name: str) -> str:
+    """A name without a genitive's ending."""
+    return name[:-2] if name[-2:] in ("'s", "’s") else name.rstrip("'’-")
+
+
+def names(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Names after a form of address, and the places where one of these names stands alone."""
+    known: dict[str, tuple[str, str]] = {}
+    for m in _NAME.finditer(text):
+        gender, given = TITLES[m[1]], m[3] and 2
+        for group in (2, 3) if given else (2,):
+            kind, name = f"name-{gender if group == given else 's'}", _bare(m[group])
+            known.setdefault(name, (kind, name.lower()))
+            yield m.start(group), m.start(group) + len(name), kind, name.lower()
+    for m in _WORD.finditer(text) if known else ():
+        name = m[0] if m[0] in known else _bare(m[0])
+        if name in known:
+            yield m.start(), m.start() + len(name), *known[name]
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of the entities of a text, in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
+        found += [(a, b, "email", text[a:b].lower()) for a, b in emails(text)]
     low = text.lower()
     if any(w in low for w in _SECRET_WORDS):
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text)]
@@ -79,11 +118,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         for kind, pattern in _NUMBERS:
             found += [(m.start(), m.end(), kind, m[0] if kind == "ip" else re.sub(r"[^0-9A-Z+]", "", m[0])) for m in pattern.finditer(text)]
     if any(t in text for t in TITLES):
-        for m in _NAME.finditer(text):
-            gender, given = TITLES[m[1]], m[3] and 2
-            for group in (2, 3) if given else (2,):
-                kind = f"name-{gender if group == given else 's'}"
-                found.append((m.start(group), m.end(group), kind, m[group].lower()))
+        found += names(text)
     if "先生" in text or "女士" in text or "小姐" in text:
         for m in _CJK_NAME.finditer(text):
             found.append((m.start(1), m.end(2), f"cjk-{'m' if m[3] == '先生' else 'f'}", m[1] + m[2]))
@@ -99,7 +134,7 @@ class Surrogates:
         self.key = key
 
     def _number(self, tweak: str, *values: int) -> int:
-        return int.from_bytes(hashlib.blake2b(repr((tweak, *values)).encode(), key=self.key, digest_size=16).digest())
+        return int.from_bytes(hashlib.blake2b("|".join([tweak, *map(hex, values)]).encode(), key=self.key, digest_size=16).digest())
 
     def permute(self, value: int, size: int, tweak: str) -> int:
         """A keyed permutation of range(size): Feistel rounds over a rectangle, walked until inside."""
@@ -117,9 +152,20 @@ class Surrogates:
                 return value
 
     def shaped(self, text: str, tweak: str) -> str:
-        """Another string of the same form: digits for digits, letters for letters of the same case, other signs kept."""
+        """Another string of the same form: digits for digits, letters for letters of the same case, other signs kept.
+
+        A long string is permuted block by block, each block under the digest of those before it: different strings stay different.
+        """
         hexa = len(text) >= 16 and not re.search(r"[^0-9a-f]", text)
         sets = ["0123456789abcdef"] * len(text) if hexa else ["0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c for c in text]
+        out, before = [], hashlib.blake2b(key=self.key, digest_size=16)
+        for at in range(0, len(text), SHAPED_BLOCK):
+            block = text[at : at + SHAPED_BLOCK]
+            out.append(self._shaped_block(block, sets[at : at + SHAPED_BLOCK], f"{tweak}|{before.hexdigest()}" if at else tweak))
+            before.update(block.encode())
+        return "".join(out)
+
+    def _shaped_block(self, text: str, sets: list[str], tweak: str) -> str:
         value, size, form = 0, 1, "".join(s[:1] if len(s) > 1 else f"={s}" for s in sets)
         for c, s in zip(text, sets, strict=True):
             value, size = value * len(s) + s.index(c), size * len(s)
@@ -157,7 +203,9 @@ class Surrogates:
             return f"{parts[0][n % len(parts[0])]}{middle}{parts[1][(n >> 8) % len(parts[1])]}".lower()
         if kind.startswith("cjk-"):
             n = self._number(tweak, *value.encode())
-            return CJK_SURNAMES[n % 10] + "".join(CJK_GIVEN[kind[4:]][(n >> (8 + 8 * k)) % 8] for k in range(len(value) - 1 + attempt // 4))
+            low, high = CJK_STRETCH[kind[4:]]
+            given = CJK_GIVEN[kind[4:]] if attempt < 2 else [chr(c) for c in range(low, high)]
+            return CJK_SURNAMES[n % 10] + "".join(given[(n >> (8 + 16 * k)) % len(given)] for k in range(len(value) - 1 + attempt // 16))
         return self.shaped(value, tweak)
 
     def write(self, mention: str, kind: str, surrogate: str) -> str:
@@ -272,7 +320,8 @@ def surrogate_documents(spark: SparkSession, docs: DataFrame, key: bytes, id_col
     shared, own = _moved(spark, docs, key, id_col, text_col, moved_rows)
     names, at, schema = docs.columns, docs.columns.index(text_col), docs.schema
     if own is not None:
-        docs = docs.join(own.select(F.col("doc_id").alias("__own_id"), F.col("moved").alias("__moved")), docs[id_col].eqNullSafe(F.col("__own_id")), "left").drop("__own_id")
+        own_id, own_moved = fresh_names(docs.columns, "own_id", "moved")
+        docs = docs.join(own.select(F.col("doc_id").alias(own_id), F.col("moved").alias(own_moved)), docs[id_col].cast("long").eqNullSafe(F.col(own_id)), "left").drop(own_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Surrogates(key)
