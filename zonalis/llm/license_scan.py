@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -58,6 +59,8 @@ TAGS = ("spdx-license-identifier:", "license-expression:")
 GRANTS = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
 #: The family of an identifier is its first part if that is listed here.
 FAMILIES = ("agpl", "apache", "bsd", "epl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense", "zlib")
+#: First parts of further identifiers; what starts with none of these is no licence, and an expression stops before it.
+OTHERS = ("0bsd", "afl", "artistic", "blueoak", "bsl", "busl", "cc", "cc0", "cddl", "cpl", "curl", "ecl", "eupl", "gfdl", "ijg", "json", "licenseref", "lppl", "ms", "ncsa", "none", "ofl", "openssl", "osl", "php", "postgresql", "psf", "public", "python", "ruby", "sspl", "upl", "vim", "w3c", "wtfpl", "x11", "zpl")
 #: Identifiers that the default policy accepts.
 PERMISSIVE = frozenset({"apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "public-domain", "unlicense", "zlib"})
 
@@ -68,8 +71,9 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 def parse_expression(text: str) -> list[str] | None:
     """Shunting-yard: the licence expression at the start of ``text`` in postfix order; None if there is none.
 
-    ``with`` binds tighter than ``and``, ``and`` tighter than ``or``. The expression ends where no operator follows
-    an operand outside parentheses.
+    ``with`` binds tighter than ``and``, ``and`` tighter than ``or``. Operands are identifiers of known licences, and any
+    exception after ``with``. Outside parentheses the expression ends where no operator follows an operand, at an operand that a
+    full stop or colon closes, and before an operator that prose follows; inside them prose makes it no expression.
     """
     out: list[str] = []
     ops: list[str] = []
@@ -83,8 +87,17 @@ def parse_expression(text: str) -> list[str] | None:
             elif word == ")" or word in _RANK:
                 return None
             else:
-                out.append(word)
+                name = word.rstrip(".:")
+                if not (known(name) or ops and ops[-1] == "with"):
+                    if not ops or depth:
+                        return None
+                    ops.pop()
+                    operand = False
+                    break
+                out.append(name)
                 operand = False
+                if name != word and not depth:
+                    break
         elif word in _RANK:
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[word]:
                 out.append(ops.pop())
@@ -103,6 +116,11 @@ def parse_expression(text: str) -> list[str] | None:
     return out + ops[::-1]
 
 
+def known(identifier: str) -> bool:
+    first = re.split(r"[-:]", identifier)[0].rstrip("+")
+    return first in FAMILIES or first in OTHERS
+
+
 def family(identifier: str) -> str:
     if identifier.startswith("cc-by"):
         return re.sub(r"-\d.*$", "", identifier)
@@ -155,7 +173,7 @@ class Scanner:
         for end, phrase in self.phrases.iter(line):
             start = end - len(phrase) - 1
             if phrase in BASE_PHRASES:
-                base.append((line.count(" ", 0, start), BASE_PHRASES[phrase]))
+                base.append((start, BASE_PHRASES[phrase]))
             if len(phrase) > len(notices.get(start, "")):
                 notices[start] = phrase
         score, labels = 0.0, {x for _, x in base}
@@ -176,7 +194,8 @@ class Scanner:
                     if expression is None:
                         expression, permitted = written, ok
                     permitted = permitted and ok
-        at = [p for p, _ in base]
+        blanks = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32) if base else None
+        at = np.searchsorted(blanks, [p for p, _ in base]).tolist() if base else []  # words before a place
         return (
             len(words),
             len(base),
