@@ -27,6 +27,7 @@ import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from zonalis.llm.common import keyed_text, new_path, slices
 
@@ -38,22 +39,26 @@ BLOCK_IDS = 1 << 16
 CACHE_WORDS = 1_000_000
 
 
+#: Ids (those of the document that passes the limit included) and documents of a shard file at most.
+SHARD_IDS, SHARD_DOCS = 1 << 28, 1 << 20
+
+
 class WordCache:
     """Encodes texts with the tokenizers library, each distinct word of a text once.
 
     The byte-level pre-tokenizer never joins characters across a blank that stands before a non-space, so a text may
     be cut there: the ids of the parts, one after another, are the ids of the text. New words are encoded together, as one
-    text, whose ids are told apart by the bytes that they stand for. Texts with other blanks are encoded whole.
+    text, whose ids are told apart by the bytes that they stand for. Texts with other blanks, and those that hold the
+    string of an added token, which the library takes for that token, are encoded whole.
     """
 
-    _odd = re.compile(r" (?!\S)")
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._odd = re.compile("|".join([r" (?!\S)", *added]))
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -222,12 +227,13 @@ class ShardReader:
 _caches: dict[str, WordCache] = {}
 
 
-def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", block_ids: int = BLOCK_IDS) -> DataFrame:
+def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", block_ids: int = BLOCK_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode ``docs`` in ascending id order into shard files under ``folder``; returns (shard, path, n_docs, n_ids).
 
-    Rows are dealt out by range of id and sorted within the range (null ids first; equal ids by text), so shard numbers
-    follow id order. Null texts count as empty; every document ends with ``end_id``. The returned manifest is
-    one row a shard. A range is one shard file, whatever its length: it is written block by block.
+    Rows are dealt out by range of id and sorted within the range (null ids first; equal ids by the hash of the text, so that many
+    rows of one id are dealt out too), so shard numbers follow id order. Null texts count as empty; every document ends
+    with ``end_id``. A range is written block by block, and a new file begins after ``shard_ids`` ids or SHARD_DOCS documents:
+    neither writer nor reader holds the document entries of more. The returned manifest is one row a file.
     """
     kind = {"bit": BIT, "byte": BYTE}[planes]
     tail = np.array([end_id], "<u4").tobytes()
@@ -236,20 +242,28 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
         if tokenizer not in _caches:  # kept by the worker for its later tasks
             _caches[tokenizer] = WordCache(tokenizer)
         cache = _caches[tokenizer]
-        context, writer, shard = TaskContext.get(), None, 0
+        context, writer, files, total = TaskContext.get(), None, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([writer.path]), pa.array([len(writer.docs)]), pa.array([total])], names=["shard", "path", "n_docs", "n_ids"])
+
         for part in slices(batches, 64):
-            shard = context.partitionId()
-            if writer is None:
-                writer = ShardWriter(f"{folder}/shard-{shard:07d}.ztp", f"{context.taskAttemptId()}", kind, block_ids)
             ids = cache.encode([t or "" for t in part.column(1).to_pylist()])
             for doc_id, own in zip(part.column(0).to_pylist(), ids, strict=True):
+                if writer is None:
+                    shard, total = context.partitionId() << 32 | files, 0
+                    writer = ShardWriter(f"{folder}/shard-{context.partitionId():07d}-{files:05d}.ztp", f"{context.taskAttemptId()}", kind, block_ids)
                 writer.add(doc_id, own + tail)
+                total += len(own) // 4 + 1
+                if total >= shard_ids or len(writer.docs) >= SHARD_DOCS:
+                    yield closed()
+                    writer, files = None, files + 1
         if writer is not None:
-            writer.close()
-            total = sum(n for _, n in writer.docs)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([writer.path]), pa.array([len(writer.docs)]), pa.array([total])], names=["shard", "path", "n_docs", "n_ids"])
+            yield closed()
 
-    ordered = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
     rows = ordered.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").collect()
     return spark.createDataFrame([tuple(r) for r in sorted(rows)], "shard long, path string, n_docs long, n_ids long")
 
