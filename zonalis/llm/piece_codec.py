@@ -28,7 +28,7 @@ BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Parts that a worker's cache holds at most; then it starts anew.
-CACHE_PARTS = 1_000_000
+CACHE_PARTS = 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

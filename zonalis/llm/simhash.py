@@ -279,26 +279,28 @@ class _NearCopies:
 
     def across_buckets(self, firsts: DataFrame, parts: DataFrame | None) -> DataFrame | None:
         """Parts after those with word fingerprints within three bits of each other are compared too."""
+        owned = firsts.select("digest", F.col("digest").alias("part"))
+        if parts is not None:
+            owned = owned.drop("part").join(parts, owned.digest == parts.node, "left").select("digest", F.coalesce("part", "digest").alias("part"))
+        owned = self.scratch.table(owned.withColumn("rep", F.xxhash64("digest")), "owned")
+        words = [f"s{k}" for k in range(0, SKETCH_WORDS, 2)]
         folded = [F.expr(f"s{k} ^ s{k + 1}").alias(f"s{k}") for k in range(0, SKETCH_WORDS, 2)]
-        rows = firsts.select("fp", F.col("digest").alias("rep"), "size", *folded)
-        rows = rows.join(parts, rows.rep == parts.node, "left").drop("node") if parts is not None else rows.withColumn("part", F.lit(None).cast("binary"))
-        rows = self.scratch.table(rows.withColumn("part", F.coalesce("part", "rep")), "owned")
+        # 64 variants of each row are shuffled: digests stand there as hashes, and a hash that two digests share only adds candidates
+        rows = firsts.join(owned, "digest").select("fp", "rep", F.xxhash64("part").alias("part"), "size", *folded)
 
         def open_pair(x: str, y: str) -> Column:
-            words = [f"s{k}" for k in range(0, SKETCH_WORDS, 2)]
             return (F.col(f"part{x}") != F.col(f"part{y}")) & _may_be_alike(self.similarity, f"{{}}{x}", f"{{}}{y}", words)
 
         links = self.scratch.table(near_links(rows, also=open_pair).select("a", "b").distinct(), "links")
         if links.isEmpty():
             return parts
+        one, other = (owned.select(F.col("rep").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("part").alias(f"p{c}")) for c in "ab")
+        links = links.join(one, "a").join(other, "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "pa", "pb")
+        links = self.scratch.table(links, "links")
         nodes = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         held = self.scratch.table(self.sets(firsts.join(nodes, "digest", "left_semi").select("doc_id")), "sets")
         alike = self.scratch.table(self.verified(links, held), "alike")
-        if alike.isEmpty():
-            return parts
-        part = rows.select(F.col("rep").alias("node"), "part")
-        named = alike.join(part.toDF("a", "pa"), "a").join(part.toDF("b", "pb"), "b").select("pa", "pb")
-        return self.merged(parts, named)
+        return parts if alike.isEmpty() else self.merged(parts, alike)
 
     def groups(self) -> DataFrame:
         every = self.scratch.table(self.prints(), "prints")
