@@ -361,6 +361,25 @@ def test_runs_cover_a_passage(passage, before):
         assert alone and alone & inside and host[at:].startswith(passage)
 
 
+def test_units_of_a_row_given_twice(spark, duck):
+    text = "One sentence of six or more words. Another one."
+    table = spark.createDataFrame([(1, text), (2, text), (2, text), (2, text)], "doc_id long, text string")
+    assert [(r.doc_id, r.start, r.keep_doc_id) for r in unit_dedup.repeated_units(spark, table).collect()] == [(2, 0, 1)]
+
+
+def test_trusted_counts_with_a_full_bitmap(spark, monkeypatch):
+    """With a bitmap so small that it takes most ids for trusted ones, counts are the same."""
+    from zonalis.llm import common
+
+    docs = spark.createDataFrame([(k if k % 7 else None, f"some words {k % 5} of a text number {k} that has ten words") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int")
+    exact = quality_rules.fit_ratios(docs, labels)
+    monkeypatch.setattr(common, "LEAST_BITS", 64)
+    monkeypatch.setattr(common, "MOST_BITS", 64)
+    rough = quality_rules.fit_ratios(docs, labels)
+    assert (exact.ratios == rough.ratios).all() and exact.ratios.any()
+
+
 # Token planes
 
 

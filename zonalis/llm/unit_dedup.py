@@ -79,7 +79,7 @@ def repeated_units(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     first = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("keep"))
     first = scratch.table(first.filter("n > 1").select("digest", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start")), "firsts")
     again = found.join(first, "digest").filter("doc_id <> keep_doc_id or start <> keep_start")
-    return again.select("doc_id", "start", "n_chars", "n_words", "keep_doc_id", "keep_start")
+    return again.select("doc_id", "start", "n_chars", "n_words", "keep_doc_id", "keep_start").distinct()
 
 
 def kept_text(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
