@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import ASCII_SPACE, id_bitmap, id_hash, in_bitmap, keyed_text, slices, small_batches
+from zonalis.llm.common import ASCII_SPACE, Scratch, id_bitmap, id_hash, in_bitmap, keyed_text, slices, small_batches
 
 NGRAM = 4
 BUCKETS = 1 << 16
@@ -137,8 +137,9 @@ def _gathered(arrays: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
 def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, buckets: int = BUCKETS, threshold: float = MIN_RATIO) -> RatioModel:
     """Count the n-grams of all documents, and of all trusted ones (label ``quality`` 1).
 
-    An id with several label rows counts once, with its largest label. Documents are flagged by an equality join on their ids; a
-    bitmap of the trusted ids (8 MB) keeps most texts of others out of its shuffle. A task adds its counts up before
+    An id with several label rows counts once, with its largest label. Documents are flagged by a
+    bitmap of the trusted ids; those that it takes for trusted ones and that an equality join on ids says are not have
+    their texts counted once more, to be taken off. A task adds its counts up before
     the last shuffle, which gets at most ``buckets`` rows a task; the driver gets ``buckets`` rows. With no trusted document
     all ratios are zero, and every document passes.
     """
@@ -146,31 +147,49 @@ def fit_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     known = known.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     trusted = known.filter("label = 1").select("doc_id", F.lit(1).alias("trusted"))
     texts = keyed_text(docs, id_col, text_col).withColumn("place", id_hash(F.col("doc_id")))
+    scratch = Scratch(docs.sparkSession)
     bits = docs.sparkSession.sparkContext.broadcast(id_bitmap(trusted, "doc_id"))
 
-    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            yield part.filter(pa.array(in_bitmap(bits.value, part.column(2)))).select([0, 1])
+    def flagged(part: pa.RecordBatch, id_at: int = 0, place_at: int = 2) -> np.ndarray:
+        return in_bitmap(bits.value, part.column(place_at)) & np.asarray(part.column(id_at).is_valid())
 
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            part = part.filter(pa.array(~in_bitmap(bits.value, part.column(2))))
-            yield pa.RecordBatch.from_arrays([part.column(1), pa.nulls(part.num_rows, pa.int32())], names=["text", "trusted"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, buckets), np.int64)
-        for part in slices(batches):
-            for own in (0, 1):
-                texts = [(t or "").encode() for t, flag in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if (flag or 0) == own]
-                for found in _gathered((ngram_buckets(b, n, buckets) for t in texts for b in text_blocks(t, n))):
-                    counts[: own + 1] += np.bincount(found, minlength=buckets)
-        at = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
-
-    counted = "bucket long, raw long, target long"
-    plain = texts.mapInArrow(lambda batches: run(others(batches)), counted)
-    flagged = texts.mapInArrow(doubtful, "doc_id long, text string").join(trusted, "doc_id", "left").select("text", "trusted").mapInArrow(run, counted)
-    rows = plain.unionByName(flagged).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+            yield part.filter(pa.array(flagged(part, 0, 1))).select([0])
+
+    def counted(flag, sign: int):
+        """Adds up n-grams, as raw ones if ``sign`` is 1, and with ``sign`` as target ones where ``flag`` says so."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts = np.zeros((2, buckets), np.int64)
+            for part in slices(batches):
+                chosen = flag(part)
+                for own in (False, True):
+                    texts = [(t or "").encode() for t, f in zip(part.column(1).to_pylist(), chosen.tolist(), strict=True) if f == own]
+                    for found in _gathered((ngram_buckets(b, n, buckets) for t in texts for b in text_blocks(t, n))):
+                        add = np.bincount(found, minlength=buckets)
+                        counts[0] += add if sign > 0 else 0
+                        counts[1] += sign * add if own else 0
+            at = np.flatnonzero(counts.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
+
+        return run
+
+    sums = "bucket long, raw long, target long"
+    counts = texts.mapInArrow(counted(flagged, 1), sums)
+    # documents that the bitmap takes for trusted ones: few, so only their texts are shuffled, and their counts taken off again
+    wrong = scratch.table(texts.select("doc_id", "place").mapInArrow(passing, "doc_id long").join(trusted, "doc_id", "left_anti"), "wrong")
+    if not wrong.isEmpty():
+        suspects = docs.sparkSession.sparkContext.broadcast(id_bitmap(wrong, "doc_id"))
+
+        def suspected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                yield part.filter(pa.array(in_bitmap(suspects.value, part.column(2)) & flagged(part)))
+
+        again = texts.mapInArrow(suspected, "doc_id long, text string, place long").join(trusted.select(F.col("doc_id").alias("own")), F.col("doc_id") == F.col("own"), "left_anti")
+        counts = counts.unionByName(again.mapInArrow(counted(lambda part: np.ones(part.num_rows, bool), -1), sums))
+    rows = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    scratch.drop("wrong")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     if not target.any():
