@@ -118,8 +118,10 @@ BAND_ROWS = 5
 _MIX = np.random.RandomState(SEED).randint(0, 2**63, (2, BANDS * BAND_ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bits of the sketch of a shingle set: bit k is the parity of the number of shingles hashed to k. Sketches of two sets differ in
 #: no more bits than the sets have shingles that stand in one of them only, so far sketches prove that sets are not alike.
-SKETCH_WORDS = 4
+SKETCH_WORDS = 8
 _SKETCH_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs to verify that are broadcast (32 bytes each, and the names of their parts); more of them are joined by shuffles.
+BROADCAST_PAIRS = 50_000
 #: In the first round each document of a bucket is compared with one other, and in each further round with so many times more.
 GROWTH = 16
 
@@ -237,10 +239,14 @@ class _NearCopies:
 
     def verified(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The rows of ``pairs`` (a, b, ...) whose shingle sets, counted in full, are alike."""
-        left, right = held.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), held.select(F.col("digest").alias("b"), F.col("shingles").alias("y"))
+        few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+        wanted = F.broadcast(pairs) if few else pairs
+        # each side takes only the sets that pairs name: those alone are shuffled
+        left = held.select(F.col("digest").alias("a"), F.col("shingles").alias("x")).join(wanted, "a").select(*pairs.columns, "x")
+        right = held.select(F.col("digest").alias("b"), F.col("shingles").alias("y")).join(wanted, "b").select("a", "b", "y")
         both = F.size(F.array_intersect("x", "y"))
         alike = both + F.lit(1e-6) >= F.lit(self.similarity) * (F.size("x") + F.size("y") - both)
-        return pairs.join(left, "a").join(right, "b").filter(alike).select(*pairs.columns).distinct()
+        return left.join(right, ["a", "b"]).filter(alike).select(*pairs.columns).distinct()
 
     def merged(self, parts: DataFrame | None, links: DataFrame) -> DataFrame:
         """``parts`` (node, part), after the parts that ``links`` (pa, pb) name are put together. Nodes not in it are parts of their own."""
@@ -283,8 +289,8 @@ class _NearCopies:
         if parts is not None:
             owned = owned.drop("part").join(parts, owned.digest == parts.node, "left").select("digest", F.coalesce("part", "digest").alias("part"))
         owned = self.scratch.table(owned.withColumn("rep", F.xxhash64("digest")), "owned")
-        words = [f"s{k}" for k in range(0, SKETCH_WORDS, 2)]
-        folded = [F.expr(f"s{k} ^ s{k + 1}").alias(f"s{k}") for k in range(0, SKETCH_WORDS, 2)]
+        words = ["s0", "s1"]
+        folded = [F.expr(" ^ ".join(f"s{j}" for j in range(k, SKETCH_WORDS, 2))).alias(f"s{k}") for k in range(2)]
         # 64 variants of each row are shuffled: digests stand there as hashes, and a hash that two digests share only adds candidates
         rows = firsts.join(owned, "digest").select("fp", "rep", F.xxhash64("part").alias("part"), "size", *folded)
 
@@ -294,8 +300,10 @@ class _NearCopies:
         links = self.scratch.table(near_links(rows, also=open_pair).select("a", "b").distinct(), "links")
         if links.isEmpty():
             return parts
-        one, other = (owned.select(F.col("rep").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("part").alias(f"p{c}")) for c in "ab")
-        links = links.join(one, "a").join(other, "b").select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "pa", "pb")
+        named = firsts.join(owned, "digest")
+        one, other = (named.select(F.col("rep").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("part").alias(f"p{c}"), F.col("size").alias(f"size_{c}"), *(F.col(w).alias(f"{w}_{c}") for w in self.sketch)) for c in "ab")
+        links = links.join(one, "a").join(other, "b").filter(_may_be_alike(self.similarity, "{}_a", "{}_b", self.sketch))
+        links = links.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "pa", "pb")
         links = self.scratch.table(links, "links")
         nodes = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
         held = self.scratch.table(self.sets(firsts.join(nodes, "digest", "left_semi").select("doc_id")), "sets")
