@@ -120,8 +120,8 @@ _MIX = np.random.RandomState(SEED).randint(0, 2**63, (2, BANDS * BAND_ROWS, 1)).
 #: no more bits than the sets have shingles that stand in one of them only, so far sketches prove that sets are not alike.
 SKETCH_WORDS = 8
 _SKETCH_MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Pairs to verify that are broadcast (32 bytes each, and the names of their parts); more of them are joined by shuffles.
-BROADCAST_PAIRS = 50_000
+#: Pairs to verify (200 bytes each at most) and buckets (one long each) that are broadcast; more of them are joined by shuffles.
+BROADCAST_PAIRS, BROADCAST_BUCKETS = 50_000, 200_000
 #: In the first round each document of a bucket is compared with one other, and in each further round with so many times more.
 GROWTH = 16
 
@@ -201,6 +201,11 @@ def _may_be_alike(similarity: float, x: str, y: str, words: list[str]) -> Column
     return F.expr(f"{apart} <= ({x.format('size')} + {y.format('size')}) * {(1 - similarity) / (1 + similarity)!r}D + 1e-6D")
 
 
+def _small(table: DataFrame, most: int) -> DataFrame:
+    """``table``, marked for a broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 class _NearCopies:
     """The search for near copies among the distinct normal forms of a table; its tables are in the shared folder."""
 
@@ -239,8 +244,7 @@ class _NearCopies:
 
     def verified(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The rows of ``pairs`` (a, b, ...) whose shingle sets, counted in full, are alike."""
-        few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-        wanted = F.broadcast(pairs) if few else pairs
+        wanted = _small(pairs, BROADCAST_PAIRS)
         # each side takes only the sets that pairs name: those alone are shuffled
         left = held.select(F.col("digest").alias("a"), F.col("shingles").alias("x")).join(wanted, "a").select(*pairs.columns, "x")
         right = held.select(F.col("digest").alias("b"), F.col("shingles").alias("y")).join(wanted, "b").select("a", "b", "y")
@@ -262,6 +266,7 @@ class _NearCopies:
         prints = firsts.select("digest", F.posexplode(F.concat(F.array("fp"), "bands")).alias("slot", "value"))
         members = prints.select(F.xxhash64("slot", "value").alias("bucket"), F.col("digest").alias("node"))
         shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = _small(self.scratch.table(shared, "shared"), BROADCAST_BUCKETS)
         own = firsts.select(F.col("digest").alias("node"), F.col("digest").alias("part"), "size", *self.sketch)
         left = self.scratch.table(members.join(shared, "bucket").join(own, "node").select("bucket", "n", "node", "part", "size", *self.sketch), "left")
         held, parts, before, few = None, None, 0, 1
@@ -302,7 +307,9 @@ class _NearCopies:
             return parts
         named = firsts.join(owned, "digest")
         one, other = (named.select(F.col("rep").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("part").alias(f"p{c}"), F.col("size").alias(f"size_{c}"), *(F.col(w).alias(f"{w}_{c}") for w in self.sketch)) for c in "ab")
-        links = links.join(one, "a").join(other, "b").filter(_may_be_alike(self.similarity, "{}_a", "{}_b", self.sketch))
+        links = _small(links, BROADCAST_PAIRS)
+        halves = one.join(links, "a"), other.join(links, "b")
+        links = halves[0].join(halves[1], ["a", "b"]).filter(_may_be_alike(self.similarity, "{}_a", "{}_b", self.sketch))
         links = links.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), "pa", "pb")
         links = self.scratch.table(links, "links")
         nodes = links.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
@@ -324,7 +331,7 @@ class _NearCopies:
         kept = rows.groupBy("part").agg(F.min(F.struct("doc_id", "digest")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
         kept = self.scratch.table(kept, "kept")
         out = self.scratch.table(rows.join(kept, "part").select("doc_id", "digest", F.col("kept.doc_id").alias("kept_id"), F.col("kept.digest").alias("kept_digest")), "groups")
-        self.scratch.drop("prints", "firsts", "left", "tried", "alike", "sets", "named", "parts", "owned", "links", "rows", "kept", "edges", "least")
+        self.scratch.drop("prints", "firsts", "shared", "left", "tried", "alike", "sets", "named", "parts", "owned", "links", "rows", "kept", "edges", "least")
         return out
 
 
