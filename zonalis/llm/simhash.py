@@ -265,7 +265,9 @@ class _NearCopies:
         """Parts after all pairs that share a print are settled: alike, in one part already, or proved or found not to be alike."""
         prints = firsts.select("digest", F.posexplode(F.concat(F.array("fp"), "bands")).alias("slot", "value"))
         members = prints.select(F.xxhash64("slot", "value").alias("bucket"), F.col("digest").alias("node"))
-        shared = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        # near copies share many prints: buckets of the same members, told by 128 bits of their ids' hashes, are settled once
+        several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y")).filter("n > 1")
+        shared = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
         shared = _small(self.scratch.table(shared, "shared"), BROADCAST_BUCKETS)
         own = firsts.select(F.col("digest").alias("node"), F.col("digest").alias("part"), "size", *self.sketch)
         left = self.scratch.table(members.join(shared, "bucket").join(own, "node").select("bucket", "n", "node", "part", "size", *self.sketch), "left")
