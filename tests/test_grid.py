@@ -163,3 +163,15 @@ def test_sweep_converges(spark):
     """One solid turn by a quarter of the sphere moves the field; finer grids and shorter steps err less per step."""
     rows = sweep(spark, "gaussian", [RunConfig(n=4, steps=1, dt=3000.0), RunConfig(n=8, steps=1, dt=1500.0)]).orderBy("n").collect()
     assert [r.n for r in rows] == [4, 8] and rows[1].l2 < rows[0].l2
+
+
+def test_measures_of_zero_fields(spark):
+    pairs = spark.createDataFrame([("a", 1, 0.0, 0.0), ("a", 2, 0.0, 0.1), ("b", 1, 0.5, 0.25)], "tracer string, cell_id long, q0 double, q double")
+    norms = {r.tracer: r for r in D.error_norms(pairs, F.lit(1.0)).collect()}
+    assert norms["a"].l2 is None and norms["a"].l_inf is None and norms["a"].quadratic == pytest.approx(0.01)
+    assert norms["b"].l2 == pytest.approx(0.5) and norms["b"].l_inf == pytest.approx(0.5)
+    mixed = {r.tracer: r for r in D.mixing(pairs, F.lit(1.0)).collect()}
+    far = [math.hypot(0.1 / 0.9, (0.892 - y) / 0.792) for y in (0.0, 0.1)]
+    assert mixed["a"].real_mixing == 0 and mixed["a"].unmixing == 0 and mixed["a"].overshooting == pytest.approx(sum(far) / 2)
+    times = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0)], "procs int, proc int, seconds double")
+    assert {r.procs: r.speedup for r in D.timing_stats(times).collect()} == {1: None, 2: 0.0}

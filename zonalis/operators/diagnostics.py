@@ -29,11 +29,14 @@ def paired(first: DataFrame, last: DataFrame, how: str = "inner") -> DataFrame:
 
 
 def error_norms(pairs: DataFrame, area: Column) -> DataFrame:
-    """(tracer, l2, l_inf, quadratic): relative to q0, but the quadratic error, which is a plain sum."""
+    """(tracer, l2, l_inf, quadratic): relative to q0, but the quadratic error, which is a plain sum.
+
+    Where q0 is zero in all cells the relative errors are not defined: null.
+    """
     d = F.col("q") - F.col("q0")
     return pairs.groupBy("tracer").agg(
-        F.sqrt(F.sum(area * d * d) / F.sum(area * F.col("q0") * F.col("q0"))).alias("l2"),
-        (F.max(F.abs(d)) / F.max(F.abs("q0"))).alias("l_inf"),
+        F.sqrt(F.try_divide(F.sum(area * d * d), F.sum(area * F.col("q0") * F.col("q0")))).alias("l2"),
+        F.try_divide(F.max(F.abs(d)), F.max(F.abs("q0"))).alias("l_inf"),
         F.sum(area * d * d).alias("quadratic"),
     )
 
@@ -57,13 +60,14 @@ def mixing(pairs: DataFrame, area: Column, low: float = 0.1, high: float = 1.0)
     """(tracer, real_mixing, unmixing, overshooting) of ratios (q0, q) that started on the curve q = 0.9 - 0.8 q0^2.
 
     A cell's share is its distance to the curve; it counts as mixing between curve and chord, as unmixing within the
-    range of both tracers, else as overshooting.
+    range of both tracers, else as overshooting. Where the cubic for the nearest point of the curve has no root by its closed
+    form (c = 0: q0 = 0 and q small), the lower end of the curve stands for it.
     """
     x, y = F.col("q0"), F.col("q")
     top, bottom = 0.9 - 0.8 * low * low, 0.9 - 0.8 * high * high
     inside = -1687296.0 + 12168000.0 * y - 29250000.0 * y * y + 23437500.0 * y * y * y + 29648025.0 * x * x
     c = F.pow(65340.0 * x + 12.0 * F.sqrt(F.greatest(inside, F.lit(0.0))), F.lit(1 / 3)) / 60.0
-    root = F.least(F.lit(high), F.greatest(F.lit(low), c + (13.0 / 75.0 - 5.0 / 12.0 * y) / c))
+    root = F.least(F.lit(high), F.greatest(F.lit(low), c + F.try_divide(F.lit(13.0 / 75.0) - 5.0 / 12.0 * y, c)))
 
     def curve(v: Column) -> Column:
         return 0.9 - 0.8 * v * v
@@ -121,8 +125,9 @@ def convergence(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 def timing_stats(timings: DataFrame) -> DataFrame:
     """(procs, slowest, fastest, mean, slowest_proc, speedup) of (procs, proc, seconds), to the fewest processes.
 
-    The reference time of the speed-up is one row, the aggregate of an aggregate of a row for each process count.
+    The reference time of the speed-up is one row, the aggregate of an aggregate of a row for each process count. Where the
+    slowest time is zero the speed-up is null.
     """
     by = timings.groupBy("procs").agg(F.max("seconds").alias("slowest"), F.min("seconds").alias("fastest"), F.avg("seconds").alias("mean"), F.max_by("proc", F.struct("seconds", -F.col("proc"))).alias("slowest_proc"))
     base = by.agg(F.min_by("slowest", "procs").alias("base"))
-    return by.join(F.broadcast(base)).select("procs", "slowest", "fastest", "mean", "slowest_proc", (F.col("base") / F.col("slowest")).alias("speedup"))
+    return by.join(F.broadcast(base)).select("procs", "slowest", "fastest", "mean", "slowest_proc", F.try_divide("base", "slowest").alias("speedup"))
