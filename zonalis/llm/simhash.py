@@ -55,39 +55,45 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return keyed_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def _variants(fps: DataFrame, side: int) -> DataFrame:
-    """Keys of one side of the join: segments as they are, and masked ones whose wildcard bit is ``side``."""
-    each = fps.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(65))))
-    half, bit = F.expr("cast(n >= 33 as int)"), F.expr("n % 33")
-    segment = F.expr("if(n >= 33, fp & 4294967295L, shiftrightunsigned(fp, 32))")
-    own = [c for c in fps.columns if c not in ("fp", "rep")]
-    each = each.select("fp", "rep", *own, half.alias("half"), bit.alias("bit"), segment.alias("segment"))
-    each = each.filter((F.col("bit") == 32) | (F.expr("shiftright(segment, bit) & 1") == side))
-    masked = F.expr("if(bit = 32, segment, segment & ~shiftleft(1L, bit))")
-    key = F.shiftleft(F.col("half") * 33 + F.col("bit").cast("long"), 32).bitwiseOR(masked)
-    return each.select(key.alias("key"), F.col("fp").alias(f"fp{side}"), F.col("rep").alias(f"rep{side}"), *(F.col(c).alias(f"{c}{side}") for c in own))
-
-
-def near_links(fps: DataFrame, max_bits: int = MAX_BITS, also: Callable[[str, str], Column] | None = None) -> DataFrame:
+def _variants(fps: DataFrame, wild: bool) -> DataFrame:
+    """Keys of one side of the join: both segments as they are, and on the ``wild`` side each also under a wildcard at each bit that is 1 in it.
+
+    A wildcard reads as 0, so it meets the segment that has a 0 there and is equal elsewhere.
+    """
+    side = int(wild)
+    own = [F.col(c).alias(f"{c}{side}") for c in fps.columns]
+    segment = "if(half = 1, fp & 4294967295L, shiftrightunsigned(fp, 32))"
+    each = fps.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("segment", F.expr(segment))
+    if wild:
+        masks = F.expr("concat(array(0L), transform(filter(sequence(0, 31), b -> shiftright(segment, b) & 1 = 1), b -> shiftleft(1L, b)))")
+        each = each.withColumn("mask", F.explode(masks)).withColumn("segment", F.expr("segment & ~mask"))
+    return each.select(F.shiftleft(F.col("half").cast("long"), 32).bitwiseOR(F.col("segment")).alias("key"), *own)
+
+
+def near_links(fps: DataFrame, max_bits: int = MAX_BITS, also: Callable[[str, str], Column] | None = None, name: Callable[[str], Column] = lambda side: F.col(f"rep{side}")) -> DataFrame:
     """Links (a, b, bits) between different fingerprints of ``fps`` (fp, rep) at ``max_bits`` (3 at most) or fewer bits.
 
     Each link comes once: by the upper segment, or by the lower one if the upper ones differ in two bits or more. For
-    segments that are equal each pair stands once, and under a wildcard only fingerprints of opposite bits meet, so a
-    group of k fingerprints that share a segment is compared once, not once for every wildcard. Further columns c of
-    ``fps`` stand as x.c0 and y.c1 in the join, and ``also("0", "1")``, given these suffixes, is a further condition of it.
+    segments that are equal each pair stands once, and segments that differ in one bit meet once, under the wildcard of the
+    one that has a 1 there, so a group of k fingerprints that share a segment is compared once, not once for every wildcard.
+    Some 36 keys of a fingerprint are shuffled. Further columns c of ``fps`` stand as x.c0 and y.c1 in the join, and
+    ``also("0", "1")``, given these suffixes, is a further condition of it; ``name("0")`` and ``name("1")`` are what a link
+    calls its ends, ``rep`` of each if not given.
     """
     if not 0 <= max_bits <= 3:
         raise ValueError("two segments with one wildcard find distances up to 3")
     apart = F.expr("bit_count(fp0 ^ fp1)")
-    joined = _variants(fps, 0).alias("x").join(
-        _variants(fps, 1).alias("y"),
+    lower = "shiftrightunsigned(x.key, 32) = 1"
+    # few keys of the plain side would be broadcast and more shuffled: merged at every size, so that small runs show what large ones take
+    joined = _variants(fps, False).alias("x").hint("merge").join(
+        _variants(fps, True).alias("y"),
         (F.col("x.key") == F.col("y.key"))
         & (F.expr("bit_count(x.fp0 ^ y.fp1)") <= max_bits)
-        & (~F.expr("shiftrightunsigned(x.key, 32) % 33 = 32") | (F.col("x.fp0") < F.col("y.fp1")))
-        & (F.expr("shiftrightunsigned(x.key, 32) < 33") | (F.expr("bit_count(shiftrightunsigned(x.fp0 ^ y.fp1, 32))") > 1))
+        & F.expr(f"x.fp0 < y.fp1 or if({lower}, (x.fp0 ^ y.fp1) & 4294967295L, shiftrightunsigned(x.fp0 ^ y.fp1, 32)) <> 0")
+        & F.expr(f"not ({lower}) or bit_count(shiftrightunsigned(x.fp0 ^ y.fp1, 32)) > 1")
         & (also("0", "1") if also else F.lit(True)),
     )
-    return joined.select(F.col("rep0").alias("a"), F.col("rep1").alias("b"), apart.alias("bits"))
+    return joined.select(name("0").alias("a"), name("1").alias("b"), apart.alias("bits"))
 
 
 def simhash_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
@@ -264,13 +270,14 @@ class _NearCopies:
     def within_buckets(self, firsts: DataFrame) -> DataFrame | None:
         """Parts after all pairs that share a print are settled: alike, in one part already, or proved or found not to be alike."""
         prints = firsts.select("digest", F.posexplode(F.concat(F.array("fp"), "bands")).alias("slot", "value"))
-        members = prints.select(F.xxhash64("slot", "value").alias("bucket"), F.col("digest").alias("node"))
+        members = prints.select(F.xxhash64("slot", "value").alias("bucket"), F.xxhash64("digest").alias("hash"))
         # near copies share many prints: buckets of the same members, told by 128 bits of their ids' hashes, are settled once
-        several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "node")).alias("y")).filter("n > 1")
+        several = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("hash").alias("x"), F.bit_xor(F.xxhash64(F.lit(SEED), "hash")).alias("y")).filter("n > 1")
         shared = several.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n")
         shared = _small(self.scratch.table(shared, "shared"), BROADCAST_BUCKETS)
-        own = firsts.select(F.col("digest").alias("node"), F.col("digest").alias("part"), "size", *self.sketch)
-        left = self.scratch.table(members.join(shared, "bucket").join(own, "node").select("bucket", "n", "node", "part", "size", *self.sketch), "left")
+        own = firsts.select(F.xxhash64("digest").alias("hash"), F.col("digest").alias("node"), F.col("digest").alias("part"), "size", *self.sketch)
+        # a hash that two digests share puts both into the buckets of either: more candidates, none lost
+        left = self.scratch.table(members.join(shared, "bucket").join(own, "hash").select("bucket", "n", "node", "part", "size", *self.sketch), "left")
         held, parts, before, few = None, None, 0, 1
         while not left.isEmpty():
             if held is None:
@@ -292,19 +299,25 @@ class _NearCopies:
 
     def across_buckets(self, firsts: DataFrame, parts: DataFrame | None) -> DataFrame | None:
         """Parts after those with word fingerprints within three bits of each other are compared too."""
-        owned = firsts.select("digest", F.col("digest").alias("part"))
-        if parts is not None:
-            owned = owned.drop("part").join(parts, owned.digest == parts.node, "left").select("digest", F.coalesce("part", "digest").alias("part"))
-        owned = self.scratch.table(owned.withColumn("rep", F.xxhash64("digest")), "owned")
         words = ["s0", "s1"]
         folded = [F.expr(" ^ ".join(f"s{j}" for j in range(k, SKETCH_WORDS, 2))).alias(f"s{k}") for k in range(2)]
-        # 64 variants of each row are shuffled: digests stand there as hashes, and a hash that two digests share only adds candidates
-        rows = firsts.join(owned, "digest").select("fp", "rep", F.xxhash64("part").alias("part"), "size", *folded)
+        # Some 36 keys of each row are shuffled, so a row holds only what the join's condition reads, and links call its ends by a hash
+        # of that; a hash that two digests share only adds candidates.
+        owned = firsts.select("digest", F.col("digest").alias("part"), "fp", "size", *folded)
+        if parts is not None:
+            owned = owned.drop("part").join(parts, owned.digest == parts.node, "left").withColumn("part", F.coalesce("part", "digest"))
+        owned = owned.select("digest", "part", F.xxhash64("fp", "size", *words).alias("rep"), "fp", "size", *words)
+        owned = self.scratch.table(owned, "owned")
+        rows = owned.select("fp", F.xxhash64("part").alias("part"), "size", *words)
+        owned = owned.select("digest", "part", "rep")
 
         def open_pair(x: str, y: str) -> Column:
             return (F.col(f"part{x}") != F.col(f"part{y}")) & _may_be_alike(self.similarity, f"{{}}{x}", f"{{}}{y}", words)
 
-        links = self.scratch.table(near_links(rows, also=open_pair).select("a", "b").distinct(), "links")
+        def name(side: str) -> Column:
+            return F.xxhash64(*(f"{c}{side}" for c in ("fp", "size", *words)))
+
+        links = self.scratch.table(near_links(rows, also=open_pair, name=name).select("a", "b").distinct(), "links")
         if links.isEmpty():
             return parts
         named = firsts.join(owned, "digest")
