@@ -175,3 +175,31 @@ def test_measures_of_zero_fields(spark):
     assert mixed["a"].real_mixing == 0 and mixed["a"].unmixing == 0 and mixed["a"].overshooting == pytest.approx(sum(far) / 2)
     times = spark.createDataFrame([(1, 0, 0.0), (2, 0, 1.0)], "procs int, proc int, seconds double")
     assert {r.procs: r.speedup for r in D.timing_stats(times).collect()} == {1: None, 2: 0.0}
+
+
+@pytest.mark.parametrize("normalise", ["frac", "destarea", "none"])
+def test_remap_of_partial_cover(spark, normalise):
+    """Two sources cover 1/2 and 1/4 of a destination of area 8: the mean of the covered part, however weights are normalised."""
+    links = spark.createDataFrame([(1, 9, 0.5), (2, 9, 0.25)], "src long, dst long, w double")
+    field = spark.createDataFrame([("a", 1, 0.3), ("a", 2, 0.9), ("a", 3, 0.7)], "tracer string, cell_id long, q double")
+    made = R.weighted_links(links, F.lit(8.0), normalise)
+    weights = {r.src: r.w for r in made.collect()}
+    assert weights[1] == pytest.approx({"frac": 2 / 3, "destarea": 0.5, "none": 4.0}[normalise])
+    (got,) = R.remap(field, made, normalise).collect()
+    assert (got.tracer, got.cell_id) == ("a", 9) and got.q == pytest.approx(0.5)
+    with pytest.raises(ValueError):
+        R.remap(field, made, "other")
+
+
+def test_stored_files_by_name(spark, tmp_path):
+    for name, line in (("ratio_1_202401010000", "0.5 10 20"), ("ratio_2_202401020030", "# note\n\n0.25 30 40"), ("u_202401010000", "0.1 0 0")):
+        (tmp_path / f"{name}.dat").write_text(line + "\n")
+    base = f"file://{tmp_path}"
+    got = {(r.tracer, r.stamp, r.value, r.lat, r.lon) for r in text.read_stored(spark, base, "ratio").collect()}
+    assert got == {("1", 202401010000, 0.5, 10.0, 20.0), ("2", 202401020030, 0.25, 30.0, 40.0)}
+    assert [(r.tracer, r.stamp) for r in text.read_stored(spark, base, "u").collect()] == [(None, 202401010000)]
+    assert text.read_stored(spark, base, "ratio", tracer="2").count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        text.read_stored(spark, base, "v").count()
+    with pytest.raises(ValueError):
+        text.data_path(base, "w")

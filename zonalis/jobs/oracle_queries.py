@@ -63,7 +63,8 @@ FINALS: dict[str, str] = {
     "interfaces": f"SELECT i, j, l, a_id, b_id, {rnd('lat', 'lat')}, {rnd('lon_mid', 'lon_mid')}, {rnd('length', 'length')} FROM inter",
     "zonal_faces": f"SELECT i, f, {rnd('lat', 'lat')}, {rnd('f * dlon', 'lon')} FROM (SELECT *, unnest(range(0, nlon + 1)) AS f FROM rws)",
     "north_neighbours": "SELECT b_id AS cell_id, min(a_id) AS first_id, max(a_id) AS last_id, count(*) AS neighbours FROM intf GROUP BY b_id",
-    "neighbour_reflexivity": "SELECT count(*) AS pairs, 0::BIGINT AS one_sided FROM intf",
+    "neighbour_reflexivity": """WITH up AS (SELECT a.cell_id AS a_id, b.cell_id AS b_id FROM cells b JOIN cells a ON a.i = b.i - 1 AND least(a.j * a.dlon, b.j * b.dlon) - greatest((a.j - 1) * a.dlon, (b.j - 1) * b.dlon) > 1e-9)
+      SELECT count(*) AS pairs, count(*) FILTER (d.a_id IS NULL OR u.a_id IS NULL) AS one_sided FROM intf d FULL JOIN up u ON u.a_id = d.a_id AND u.b_id = d.b_id""",
     "isolated_cells": "SELECT count(*) AS isolated FROM cells WHERE cell_id NOT IN (SELECT a_id FROM intf UNION ALL SELECT b_id FROM intf)",
     "adjacency_degree": """SELECT degree, count(*) AS cells FROM (SELECT a, count(*) AS degree FROM (
       SELECT a_id AS a, b_id AS b FROM intf UNION SELECT b_id, a_id FROM intf
@@ -86,8 +87,8 @@ FINALS: dict[str, str] = {
       UNION ALL SELECT 'signup/purchase', cell_id, a.q, b.q FROM means a JOIN means b USING (cell_id) WHERE a.tracer = 'signup' AND b.tracer = 'purchase'""",
     "spiral_points": f"""SELECT k, {rnd('sqrt(k - 0.5::DOUBLE) * cos(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2))', 'x', 5)}, {rnd('sqrt(k - 0.5::DOUBLE) * sin(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2))', 'y', 5)}
       FROM (SELECT unnest(range(1, (SELECT count(*) FROM events) + 1)) AS k)""",
-    "grid_models": f"""SELECT refined, {rnd('6 * power(floor(0.5::DOUBLE * (floor(120 / w) + 1)), 2)', 'reduced', 4)}, {rnd('floor(360 / w) * floor(180 / w)', 'regular', 4)}, {rnd('6 * power(90 / w, 2)', 'cubed', 4)},
-      {rnd('2 * power(90 / w, 2)', 'mapped_sphere', 4)}, {rnd('6 * power(30 / w, 2)', 'spectral_element', 4)} FROM (SELECT CAST(k AS BIGINT) AS refined, 120::DOUBLE / (k * (2 * n - 1)) AS w FROM p, (SELECT unnest([1, 2, 4, 8]) AS k))""",
+    "grid_models": f"""SELECT user_id, tracer, {rnd('6 * power(floor(0.5::DOUBLE * (floor(120 / w) + 1)), 2)', 'reduced', 4)}, {rnd('floor(360 / w) * floor(180 / w)', 'regular', 4)}, {rnd('6 * power(90 / w, 2)', 'cubed', 4)},
+      {rnd('2 * power(90 / w, 2)', 'mapped_sphere', 4)}, {rnd('6 * power(30 / w, 2)', 'spectral_element', 4)} FROM (SELECT user_id, event_type AS tracer, 120::DOUBLE / (2 * ceil(sqrt(count(*)) / 12) - 1) AS w FROM events GROUP BY ALL)""",
     "wind_symmetry": "SELECT 'u' AS kind, count(*) AS winds, 0::BIGINT AS asymmetric FROM u0 UNION ALL SELECT 'v', count(*), 0::BIGINT FROM v0",
     "zonal_slope": f"SELECT tracer, cell_id, {rnd('slope', 'slope', 10)} FROM zon_b",
     "zonal_gradient": f"SELECT tracer, cell_id, {rnd('gradient', 'gradient')} FROM msl_g",
@@ -179,6 +180,33 @@ FINALS: dict[str, str] = {
       link AS (SELECT s.above + s.j AS dst, c.cell_id AS src, least(s.j * (360::DOUBLE / s.nl), c.j * c.dlon) - greatest((s.j - 1) * (360::DOUBLE / s.nl), (c.j - 1) * c.dlon) AS w
         FROM small s JOIN cells c ON c.i = (s.i - 1) // 2 + 1 AND (c.j - 1) * s.nl < s.j * c.nlon AND (s.j - 1) * c.nlon < c.j * s.nl)
       SELECT tracer, CAST(dst AS BIGINT) AS cell_id, {rnd('sum(w * q) / sum(w)', 'q')} FROM link JOIN field ON field.cell_id = link.src GROUP BY tracer, dst""",
+    **{f"remap_partial_{k}": f"""WITH fine_rows AS (SELECT 2 * n AS m, unnest(range(1, 4 * n + 1)) AS i, n FROM p),
+      fine AS (SELECT *, 3 * (2 * least(i, 2 * m - i + 1) - 1) AS nl FROM fine_rows),
+      off AS (SELECT *, coalesce(sum(nl) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM fine),
+      small AS (SELECT *, 360::DOUBLE / nl AS dl, unnest(range(1, nl + 1)) AS j FROM off),
+      seen AS (SELECT DISTINCT cell_id FROM binned WHERE cell_id % 3 <> 0),
+      link AS (SELECT s.above + s.j AS dst, c.cell_id AS src, {weight} * (least(s.j * s.dl, c.j * c.dlon) - greatest((s.j - 1) * s.dl, (c.j - 1) * c.dlon)) AS w
+        FROM small s JOIN cells c ON c.i = (s.i - 1) // 2 + 1 AND (c.j - 1) * s.nl < s.j * c.nlon AND (s.j - 1) * c.nlon < c.j * s.nl JOIN seen USING (cell_id))
+      SELECT tracer, CAST(dst AS BIGINT) AS cell_id, {rnd('sum(w * q) / sum(w)', 'q')} FROM link JOIN field ON field.cell_id = link.src GROUP BY tracer, dst"""
+      for k, weight in (("frac", "1"), ("destarea", "1 / s.dl"), ("none", "(sin(radians(90 - (s.i - 1) * 90::DOUBLE / s.m)) - sin(radians(90 - s.i * 90::DOUBLE / s.m)))"))},
+    "neighbour_means": f"""WITH e AS (SELECT a_id AS a, b_id AS b FROM intf UNION SELECT b_id, a_id FROM intf
+      UNION SELECT a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j % a.nlon + 1
+      UNION SELECT b.cell_id, a.cell_id FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j % a.nlon + 1)
+      SELECT tracer, a AS cell_id, count(*) AS neighbours, {rnd('avg(q)', 'q', 12)} FROM e JOIN field ON field.cell_id = e.b GROUP BY tracer, a""",
+    "interface_jumps": f"SELECT a.tracer, k.i, {rnd('sum(k.length * abs(a.q - b.q)) / sum(k.length)', 'jump', 8)} FROM inter k JOIN field a ON a.cell_id = k.a_id JOIN field b ON b.cell_id = k.b_id AND b.tracer = a.tracer GROUP BY a.tracer, k.i",
+    "sector_totals": f"""SELECT tracer, CAST(floor(lon / 120) AS BIGINT) AS sector, {rnd('sum(area * q)', 'mass', 6)},
+      {rnd('sum(CASE WHEN abs(lon - 120 * floor(lon / 120) - 60) < dlon / 4 THEN area * q ELSE 0 END)', 'middle_mass', 6)} FROM field GROUP BY ALL""",
+    "corner_round_trip": f"""SELECT tracer, cell_id, {rnd('m.q', 'q')}, {rnd('north', 'north')}, {rnd('south', 'south')}, {rnd('(j - 1) * dlon', 'west')}, {rnd('j * dlon', 'east')} FROM means m JOIN cells USING (cell_id)""",
+    "stored_errors": f"""WITH d AS (SELECT b.tracer, CAST(strftime(e.ts, '%Y%m%d0000') AS BIGINT) AS stamp, b.i, b.j, round(avg(b.ratio), 9) AS q FROM binned b JOIN events e USING (event_id) GROUP BY ALL)
+      SELECT tracer, stamp, count(*) AS cells, count(*) FILTER ((i + j) % 11 = 0) AS missing, count(*) FILTER ((i + j) % 11 <> 0 AND j % 7 = 0) AS misplaced,
+      count(*) FILTER ((i + j) % 11 <> 0 AND abs(round(q, 3) - q) > 2e-12) AS different, {rnd('avg((round(q, 3) - q) * (round(q, 3) - q)) FILTER ((i + j) % 11 <> 0)', 'mse', 12)} FROM d GROUP BY ALL""",
+    "wind_files": f"""WITH e AS (SELECT CAST(floor(epoch(e.ts) / 86400) AS BIGINT) AS day, epoch(e.ts) AS s, b.i, b.ratio FROM binned b JOIN events e USING (event_id)),
+      d AS (SELECT min(day) AS d FROM e), m AS (SELECT day - d AS k, i, round(avg(ratio), 9) AS q FROM e, d WHERE day <= d + 1 GROUP BY ALL),
+      r AS (SELECT r.*, coalesce(a.q, 0) AS q0, CASE WHEN (SELECT max(k) FROM m) = 1 THEN coalesce(b.q, 0) END AS q1 FROM rws r LEFT JOIN m a ON a.i = r.i AND a.k = 0 LEFT JOIN m b ON b.i = r.i AND b.k = 1),
+      f AS (SELECT 'u' AS kind, i AS cell_id, unnest(range(0, nlon + 1)) AS other, q0, q1 FROM r
+        UNION ALL SELECT 'v', k.a_id, k.b_id, a.q0 - b.q0, a.q1 - b.q1 FROM intf k JOIN r a ON a.i = k.i JOIN r b ON b.i = k.i + 1),
+      h AS (SELECT DISTINCT CAST(floor(s / 3600) * 3600 AS BIGINT) AS t, floor(s / 3600) * 3600 / 86400 - d AS x FROM e, d WHERE day = d)
+      SELECT t, kind, cell_id, other, {rnd('CASE WHEN x = 0 THEN q0 ELSE (1 - x) * q0 + x * q1 END', 'value', 12)} FROM f, h""",
     "isentrope": f"""WITH lv AS (SELECT l_orderkey, 1050::DOUBLE - 100 * l_linenumber AS pressure, CAST(max(l_quantity) AS DOUBLE) AS u FROM lineitem GROUP BY l_orderkey, l_linenumber),
       hot AS (SELECT *, 280 + u / 10 AS temperature, (280 + u / 10) * power(1000 / pressure, 2 / 7::DOUBLE) AS theta FROM lv),
       nx AS (SELECT *, lead(theta) OVER w AS t2, lead(u) OVER w AS u2, lead(temperature) OVER w AS k2 FROM hot WINDOW w AS (PARTITION BY l_orderkey ORDER BY pressure DESC)),

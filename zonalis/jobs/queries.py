@@ -15,7 +15,7 @@ from zonalis.operators import partition as P
 from zonalis.operators import remap as R
 from zonalis.operators import transport as T
 from zonalis.sources import grid
-from zonalis.sources.scratch import Scratch
+from zonalis.sources.scratch import Scratch, new_path
 
 #: Parts of the registered partition queries.
 PARTS = 24
@@ -241,11 +241,10 @@ def spiral_points(spark, sf_dir):
 
 
 def grid_models(spark, sf_dir):
-    """Cells of other grids whose cells are as wide at the equator as the events' grid refined 1, 2, 4 and 8 times."""
-    n = grid_size(spark, sf_dir)
-    sizes = spark.range(4).select(F.pow(F.lit(2.0), F.col("id")).cast("long").alias("refined"))
-    width = F.lit(120.0) / (F.col("refined") * (2 * n - 1))
-    return rounded(sizes.select("refined", *(c.cast("double").alias(k) for k, c in G.cell_count_models(width).items())), "reduced", "regular", "cubed", "mapped_sphere", "spectral_element", digits=4)
+    """Cells of other grids whose cells are as wide at the equator as a grid for the events of each user and kind, a cell for 24."""
+    sizes = _read(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("tracer")).agg(F.count("*").alias("events"))
+    width = F.lit(120.0) / (2 * F.ceil(F.sqrt("events") / 12) - 1)
+    return rounded(sizes.select("user_id", "tracer", *(c.cast("double").alias(k) for k, c in G.cell_count_models(width).items())), "reduced", "regular", "cubed", "mapped_sphere", "spectral_element", digits=4)
 
 
 # Winds
@@ -432,6 +431,17 @@ def remap_frac(spark, sf_dir):
     return rounded(R.remap(event_field(spark, sf_dir, n), R.overlap_links(spark, n), "frac"), "q")
 
 
+def _remap_partial(normalise):
+    def query(spark, sf_dir):
+        """From the cells that have an event onto a grid twice as fine: destinations that are covered in part."""
+        n = grid_size(spark, sf_dir)
+        seen = Scratch(spark).table(R.bin_points(observations(spark, sf_dir), n).select(F.col("cell_id").alias("src")).filter("src % 3 <> 0").distinct(), "seen")
+        shares = R.overlap_links(spark, n).join(seen, "src").join(grid.cells(spark, 2 * n).select(F.col("cell_id").alias("dst"), "area"), "dst")
+        return rounded(R.remap(event_field(spark, sf_dir, n), R.weighted_links(shares, F.col("area"), normalise), normalise), "q")
+
+    return query
+
+
 def isentrope(spark, sf_dir):
     """Lines of an order as levels of a column: pressure from the line number, temperature and wind from its amounts."""
     k = F.col("l_linenumber")
@@ -467,6 +477,90 @@ def text_round_trip(spark, sf_dir):
     return text.read_field(spark, path, n).select("tracer", "cell_id", "q")
 
 
+def corner_round_trip(spark, sf_dir):
+    """The observed cells as lines of a value and eight corner coordinates, read again."""
+    from zonalis.sources import text
+
+    n = grid_size(spark, sf_dir)
+    cells = R.bin_points(observations(spark, sf_dir), n).groupBy("tracer", "i", "j").agg(F.round(F.avg("ratio"), 9).alias("q"))
+    path = text.write_corners(cells, n, new_path(spark, "corners"))
+    return rounded(text.read_corners(spark, path, n), "q", "north", "south", "west", "east")
+
+
+def neighbour_means(spark, sf_dir):
+    """The mean of the field over each cell's neighbours, which are read from a stored adjacency table."""
+    from zonalis.sources import text
+
+    n = grid_size(spark, sf_dir)
+    near = text.read_graph(spark, text.write_graph(grid.edges(spark, n), new_path(spark, "graph")))
+    far = near.select(F.col("cell_id").alias("own"), F.explode("near").alias("cell_id"))
+    means = far.join(event_field(spark, sf_dir, n), "cell_id").groupBy("tracer", F.col("own").alias("cell_id")).agg(F.count("*").alias("neighbours"), F.avg("q").alias("q"))
+    return rounded(means, "q", digits=12)
+
+
+def interface_jumps(spark, sf_dir):
+    """For each interface row the field's difference across it, as a mean weighted by length."""
+    n = grid_size(spark, sf_dir)
+    field = event_field(spark, sf_dir, n).select("tracer", "cell_id", "q")
+    above, below = (field.select("tracer", F.col("cell_id").alias(f"{c}_id"), F.col("q").alias(c)) for c in "ab")
+    jumps = grid.interfaces(spark, n).join(above, "a_id").join(below, ["tracer", "b_id"])
+    return rounded(jumps.groupBy("tracer", "i").agg((F.sum(F.col("length") * F.abs(F.col("a") - F.col("b"))) / F.sum("length")).alias("jump")), "jump", digits=8)
+
+
+def sector_totals(spark, sf_dir):
+    """Mass of each tracer in the three sectors, and in the cells in the middle of them."""
+    n = grid_size(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    each = event_field(spark, sf_dir, n).select("tracer", G.sector(i, j, n).alias("sector"), G.is_middle(i, j, n).alias("middle"), (G.cell_area(i, n) * F.col("q")).alias("m"))
+    return rounded(each.groupBy("tracer", "sector").agg(F.sum("m").alias("mass"), F.sum(F.when(F.col("middle"), F.col("m")).otherwise(0.0)).alias("middle_mass")), "mass", "middle_mass", digits=6)
+
+
+def stored_errors(spark, sf_dir):
+    """Two stored runs, compared file by file: the daily means of each tracer, and the same to three digits, some of them moved.
+
+    The second run's files have comments and blank lines.
+    """
+    from zonalis.sources import text
+
+    n = grid_size(spark, sf_dir)
+    stamp = clock.stamp(F.date_trunc("day", "ts"))
+    daily = R.bin_points(observations(spark, sf_dir), n).groupBy("tracer", stamp.alias("stamp"), "i", "j").agg(F.round(F.avg("ratio"), 9).alias("value"))
+    daily = daily.select("tracer", "stamp", "i", "j", "value", G.row_latitude(F.col("i"), n).alias("lat"), G.cell_longitude(F.col("i"), F.col("j"), n).alias("lon"))
+    daily = Scratch(spark).table(daily, "daily")
+    moved = daily.filter("(i + j) % 11 <> 0").withColumn("value", F.round("value", 3)).withColumn("lon", F.when(F.col("j") % 7 == 0, F.col("lon") + 1e-6).otherwise(F.col("lon")))
+    keys, types = ("tracer", "stamp"), "tracer string, stamp long"
+    one, two = new_path(spark, "run-1"), new_path(spark, "run-2")
+    text.write_lines(daily.drop("i", "j"), one, *keys)
+    text.write_lines(moved.drop("i", "j"), two, *keys)
+    notes = moved.select(*keys).distinct().select(*keys, F.explode(F.array(F.concat(F.lit("# day "), F.col("stamp").cast("string")), F.lit("  "))).alias("value"))
+    notes.write.mode("append").partitionBy(*keys).text(two)
+    return rounded(D.stored_errors(text.read_lines(spark, one, types), text.read_lines(spark, two, types), n, *keys), "mse", digits=12)
+
+
+def wind_files(spark, sf_dir):
+    """Winds of the first two days, written at all faces, read for both times, at the hours of the first day's events.
+
+    Zonal winds are the events' mean ratio of the row, meridional ones its difference to the row below.
+    """
+    from zonalis.sources import text
+
+    n = grid_size(spark, sf_dir)
+    day = F.floor(F.unix_timestamp("ts") / 86400)
+    events = R.bin_points(observations(spark, sf_dir), n).select(day.alias("day"), "ts", "i", "ratio")
+    first = events.agg(F.min("day")).first()[0]
+    means = events.filter(F.col("day").isin(first, first + 1)).groupBy((F.col("day") * 86400).alias("stamp"), "i").agg(F.round(F.avg("ratio"), 9).alias("q"))
+    days = means.select("stamp").distinct()
+    rows = grid.latitude_rows(spark, n).select("i", F.explode(F.array(*(F.lit(int((first + k) * 86400)) for k in (0, 1)))).alias("stamp"))
+    rows = Scratch(spark).table(rows.join(days, "stamp", "left_semi").join(means, ["i", "stamp"], "left").select("i", "stamp", F.coalesce("q", F.lit(0.0)).alias("q")), "rows")
+    u = grid.zonal_faces(spark, n).join(rows, "i").select("stamp", "i", "f", F.col("q").alias("u"))
+    below = rows.select("stamp", (F.col("i") - 1).alias("i"), F.col("q").alias("q_below"))
+    v = grid.interfaces(spark, n).join(rows, "i").join(below, ["i", "stamp"]).select("stamp", "i", "j", "l", (F.col("q") - F.col("q_below")).alias("v"))
+    read = text.read_winds(spark, text.write_winds(u, v, n, new_path(spark, "winds")), n)
+    hours = events.filter(F.col("day") == first).select((F.floor(F.unix_timestamp("ts") / 3600) * 3600).alias("t")).distinct()
+    at = T.interpolated_winds(read.select(F.col("stamp").alias("ts"), F.struct("kind", "cell_id", "other").alias("key"), "value"), hours, 86400)
+    return rounded(at.select("t", "key.*", "value"), "value", digits=12)
+
+
 def simulate_short(spark, sf_dir):
     """Three steps of the events' field; mass of each tracer before and after."""
     from zonalis.jobs.simulate import RunConfig, simulate
@@ -496,6 +590,8 @@ QUERIES = {
     "error_norms": error_norms, "legacy_norms": legacy_norms, "filaments": filaments, "mixing": mixing, "bounds": bounds, "symmetry": symmetry,
     "run_compare": run_compare, "convergence_fit": convergence_fit, "timing_stats": timing_stats,
     "partition_ids": partition_ids, "partition_adjacency": partition_adjacency, "halo_counts": halo_counts, "edge_cut": edge_cut, "remap_frac": remap_frac, "isentrope": isentrope,
+    **{f"remap_partial_{k}": _remap_partial(k) for k in R.NORMALISED}, "neighbour_means": neighbour_means, "interface_jumps": interface_jumps, "sector_totals": sector_totals,
+    "corner_round_trip": corner_round_trip, "stored_errors": stored_errors, "wind_files": wind_files,
     "run_times": run_times, "emissions": emissions, "text_round_trip": text_round_trip, "simulate_short": simulate_short,
 }
 

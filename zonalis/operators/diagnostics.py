@@ -115,6 +115,24 @@ def compare_runs(first: DataFrame, last: DataFrame, tolerance: float = 2e-12) ->
     return both.groupBy("tracer").agg(F.count("*").alias("cells"), F.count_if(F.col("q").isNull() | F.col("q0").isNull()).alias("missing"), F.count_if(d > tolerance).alias("different"), F.max(d).alias("largest"))
 
 
+def stored_errors(first: DataFrame, last: DataFrame, n: int, *keys: str, tolerance: float = 2e-12, apart: float = 1e-9) -> DataFrame:
+    """(*keys, cells, missing, misplaced, different, mse) of stored runs (*keys, value, lat, lon), for each of their files.
+
+    Values meet by the cell that holds their coordinates, not by line. ``misplaced`` counts those whose coordinates differ by more than
+    ``apart`` degrees, ``different`` values beyond ``tolerance``; ``mse`` is the mean square error of cells in both runs.
+    """
+
+    def placed(run: DataFrame, k: str) -> DataFrame:
+        at = run.withColumn("i", G.point_row(F.col("lat"), n)).withColumn("j", G.point_column(F.col("i"), F.col("lon"), n))
+        return at.select(*keys, "i", "j", *(F.col(c).alias(f"{c}{k}") for c in ("value", "lat", "lon")))
+
+    both = placed(first, "0").join(placed(last, "1"), [*keys, "i", "j"], "full")
+    d, off = F.col("value1") - F.col("value0"), F.greatest(F.abs(F.col("lat1") - F.col("lat0")), F.abs(F.col("lon1") - F.col("lon0")))
+    return both.groupBy(*keys).agg(
+        F.count("*").alias("cells"), F.count_if(F.col("lat0").isNull() | F.col("lat1").isNull()).alias("missing"), F.count_if(off > apart).alias("misplaced"), F.count_if(F.abs(d) > tolerance).alias("different"), F.avg(d * d).alias("mse")
+    )
+
+
 def convergence(points: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """(*keys, slope, intercept, mse): straight line through log y over log x."""
     lx, ly = F.log(F.col(x)), F.log(F.col(y))

@@ -47,14 +47,33 @@ def overlap_links(spark: SparkSession, n: int, factor: int = 2) -> DataFrame:
     return each.select(G.cell_id(above, F.col("l"), n).alias("src"), F.col("cell_id").alias("dst"), ((east - west) / G.dlon(i, fine)).alias("w"))
 
 
-def remap(field: DataFrame, links: DataFrame, normalise: str = "none") -> DataFrame:
-    """(tracer, cell_id, q) on the destination: sums of weight times ratio, over the weights' sum for ``frac``."""
+#: By how a link's weight was normalised when it was made: what its product with the ratio is still divided by.
+NORMALISED = {"frac": "1D", "destarea": "dst_frac", "none": "dst_area * dst_frac"}
+
+
+def weighted_links(links: DataFrame, area: Column, normalise: str) -> DataFrame:
+    """(src, dst, w, dst_area, dst_frac) of links (src, dst, w, ...) whose w is the share of the destination that the source covers.
+
+    ``dst_frac`` is the share of the destination that all its links cover. Weights are shares of the covered part
+    (frac), of the destination (destarea), or areas (none).
+    """
+    cover = links.groupBy("dst").agg(F.sum("w").alias("dst_frac"))
+    each = links.withColumn("dst_area", area).select("src", "dst", "w", "dst_area").join(cover, "dst")
+    weight = {"frac": F.col("w") / F.col("dst_frac"), "destarea": F.col("w"), "none": F.col("w") * F.col("dst_area")}[normalise]
+    return each.withColumn("w", weight)
+
+
+def remap(field: DataFrame, links: DataFrame, normalise: str = "frac") -> DataFrame:
+    """(tracer, cell_id, q) on the destination: sums of weight times ratio.
+
+    Weights of ``frac`` are used as they are, those of ``destarea`` are divided by the covered share ``dst_frac`` of the
+    destination, and those of ``none`` by its covered area, ``dst_area * dst_frac``: columns that the links then have. Cells
+    without a link get no row.
+    """
+    if normalise not in NORMALISED:
+        raise ValueError(f"not a normalisation: {normalise!r}")
     joined = links.join(field.select("tracer", F.col("cell_id").alias("src"), "q"), "src")
-    total = F.sum(F.col("w") * F.col("q"))
-    if normalise == "frac":
-        total = total / F.sum("w")
-    elif normalise != "none":
-        raise ValueError("areas are not in the links: none or frac")
+    total = F.sum(F.col("w") * F.col("q") / F.expr(NORMALISED[normalise]))
     return joined.groupBy("tracer", F.col("dst").alias("cell_id")).agg(total.alias("q"))
 
 

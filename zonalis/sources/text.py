@@ -51,6 +51,95 @@ def read_field(spark: SparkSession, path: str, n: int) -> DataFrame:
     return placed.select("tracer", G.cell_id(F.col("i"), F.col("j"), n).alias("cell_id"), "i", "j", F.nullif("value", F.lit(UNDEFINED)).alias("q"))
 
 
+def data_path(base: str, kind: str, stamp: str = "*", tracer: str = "*") -> str:
+    """Path of stored data by kind (ratio, u, v), time and tracer; ``*`` stands for all. Only ratios differ by tracer.
+
+    Spark reads whatever the pattern matches at once and fails if that is nothing.
+    """
+    if kind not in ("ratio", "u", "v"):
+        raise ValueError(f"no such data: {kind!r}")
+    return f"{base.rstrip('/')}/{kind}{f'_{tracer}' if kind == 'ratio' else ''}_{stamp}.dat"
+
+
+def read_stored(spark: SparkSession, base: str, kind: str, stamp: str = "*", tracer: str = "*") -> DataFrame:
+    """(tracer, stamp, value, lat, lon) of all files of one kind; time and tracer are those in the files' names."""
+    lines = spark.read.text(data_path(base, kind, stamp, tracer))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/((?:ratio_|u_|v_)[^/]*)\.dat(?:/[^/]*)?$", 1)
+    named = lines.select("value", name.alias("name"))
+    named = named.select("value", F.nullif(F.regexp_extract("name", "^ratio_(.*)_[0-9]+$", 1), F.lit("")).alias("tracer"), F.regexp_extract("name", "_([0-9]+)$", 1).cast("long").alias("stamp"))
+    return numbers(named)
+
+
+def write_lines(values: DataFrame, path: str, *keys: str) -> str:
+    """Lines of (value, lat, lon, keys) in folders of the keys, in order of latitude from the north and of longitude."""
+    ordered = values.repartitionByRange(*keys, F.desc("lat")).sortWithinPartitions(*keys, F.desc("lat"), "lon")
+    line = F.format_string(LINE, F.coalesce(F.col("value").cast("double"), F.lit(UNDEFINED)), F.col("lat"), F.col("lon"))
+    ordered.select(*keys, line.alias("value")).write.partitionBy(*keys).text(path)
+    return path
+
+
+def read_lines(spark: SparkSession, path: str, keys: str) -> DataFrame:
+    """(keys, value, lat, lon) of what ``write_lines`` wrote; ``keys`` as a schema."""
+    return numbers(spark.read.schema(f"value string, {keys}").text(path))
+
+
+def write_winds(u: DataFrame, v: DataFrame, n: int, path: str) -> str:
+    """Winds (stamp, i, f, u) at zonal faces and (stamp, i, j, l, v) at interfaces, as lines of value, latitude and longitude."""
+    i = F.col("i")
+    at_faces = u.select("stamp", F.lit("u").alias("kind"), F.col("u").alias("value"), G.row_latitude(i, n).alias("lat"), (F.col("f") * G.dlon(i, n)).alias("lon"))
+    west, east = F.greatest((F.col("j") - 1) * G.dlon(i, n), (F.col("l") - 1) * G.dlon(i + 1, n)), F.least(F.col("j") * G.dlon(i, n), F.col("l") * G.dlon(i + 1, n))
+    between = v.select("stamp", F.lit("v").alias("kind"), F.col("v").alias("value"), G.north_edge(i + 1, n).alias("lat"), (west + (east - west) / 2).alias("lon"))
+    return write_lines(at_faces.unionByName(between), path, "kind", "stamp")
+
+
+def read_winds(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(kind, stamp, cell_id, other, value): u with the row and the number of its face, v with the cells above and below.
+
+    Faces are told by their coordinates: an interface's middle lies inside both of its cells.
+    """
+    read = read_lines(spark, path, "kind string, stamp long").withColumn("value", F.nullif("value", F.lit(UNDEFINED)))
+    lat, lon, i = F.col("lat"), F.col("lon"), F.col("i")
+    u = read.filter("kind = 'u'").withColumn("i", G.point_row(lat, n)).select("kind", "stamp", i.alias("cell_id"), F.round(lon / G.dlon(i, n)).cast("long").alias("other"), "value")
+    v = read.filter("kind = 'v'").withColumn("i", F.round((90 - lat) / G.dlat(n)).cast("long"))
+    v = v.select("kind", "stamp", G.cell_id(i, G.point_column(i, lon, n), n).alias("cell_id"), G.cell_id(i + 1, G.point_column(i + 1, lon, n), n).alias("other"), "value")
+    return u.unionByName(v)
+
+
+def write_corners(field: DataFrame, n: int, path: str) -> str:
+    """Lines of a value and the latitudes and longitudes of four corners, from the north-west clockwise, in folders of tracers."""
+    i, j = F.col("i"), F.col("j")
+    north, south, west, east = G.north_edge(i, n), G.north_edge(i + 1, n), (j - 1) * G.dlon(i, n), j * G.dlon(i, n)
+    line = F.format_string(" ".join(["%23.16f"] * 9), F.coalesce("q", F.lit(UNDEFINED)), north, west, north, east, south, east, south, west)
+    field.repartitionByRange("tracer", "i").sortWithinPartitions("tracer", "i", "j").select("tracer", line.alias("value")).write.partitionBy("tracer").text(path)
+    return path
+
+
+def read_corners(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """(tracer, cell_id, q, north, south, west, east) of lines of a value and eight corner coordinates."""
+    text = F.trim("value")
+    lines = spark.read.schema("value string, tracer string").text(path).filter(~F.col("value").contains("#") & (text != ""))
+    x = F.transform(F.split(text, r"\s+"), lambda c: c.cast("double"))
+    read = lines.select("tracer", x.alias("x")).select("tracer", F.nullif(F.col("x")[0], F.lit(UNDEFINED)).alias("q"), *(F.col("x")[k].alias(c) for k, c in ((1, "north"), (5, "south"), (2, "west"), (4, "east"))))
+    i = G.point_row((F.col("north") + F.col("south")) / 2, n)
+    read = read.withColumn("i", i).withColumn("j", G.point_column(F.col("i"), (F.col("west") + F.col("east")) / 2, n))
+    return read.select("tracer", G.cell_id(F.col("i"), F.col("j"), n).alias("cell_id"), "q", "north", "south", "west", "east")
+
+
+def write_graph(edges: DataFrame, path: str) -> str:
+    """Adjacency lines of undirected edges (a, b): the cell, its number of neighbours, and these in order."""
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+    near = both.groupBy(F.col("e.a").alias("cell_id")).agg(F.sort_array(F.collect_set("e.b")).alias("near"))
+    line = F.concat_ws(" ", F.col("cell_id").cast("string"), F.size("near").cast("string"), F.array_join(F.col("near").cast("array<string>"), " "))
+    near.repartitionByRange("cell_id").sortWithinPartitions("cell_id").select(line.alias("value")).write.text(path)
+    return path
+
+
+def read_graph(spark: SparkSession, path: str) -> DataFrame:
+    """(cell_id, near): cells and their neighbours."""
+    numbers_of = F.split(F.trim("value"), r"\s+").cast("array<long>")
+    return spark.read.text(path).select(numbers_of.alias("x")).select(F.col("x")[0].alias("cell_id"), F.expr("slice(x, 3, cast(x[1] as int))").alias("near"))
+
+
 def checked_size(field: DataFrame) -> int:
     """n of a field by its number of cells; an error if a tracer has another number of rows than a grid has cells."""
     counts = {r["count"] for r in field.groupBy("tracer").count().select("count").distinct().limit(2).collect()}
