@@ -205,7 +205,7 @@ FINALS: dict[str, str] = {
       r AS (SELECT r.*, coalesce(a.q, 0) AS q0, CASE WHEN (SELECT max(k) FROM m) = 1 THEN coalesce(b.q, 0) END AS q1 FROM rws r LEFT JOIN m a ON a.i = r.i AND a.k = 0 LEFT JOIN m b ON b.i = r.i AND b.k = 1),
       f AS (SELECT 'u' AS kind, i AS cell_id, unnest(range(0, nlon + 1)) AS other, q0, q1 FROM r
         UNION ALL SELECT 'v', k.a_id, k.b_id, a.q0 - b.q0, a.q1 - b.q1 FROM intf k JOIN r a ON a.i = k.i JOIN r b ON b.i = k.i + 1),
-      h AS (SELECT DISTINCT CAST(floor(s / 3600) * 3600 AS BIGINT) AS t, floor(s / 3600) * 3600 / 86400 - d AS x FROM e, d WHERE day = d)
+      h AS (SELECT DISTINCT CAST(floor(s / 3600) * 3600 AS BIGINT) AS t, (floor(s / 3600) * 3600 - d * 86400) / 86400 AS x FROM e, d WHERE day = d)
       SELECT t, kind, cell_id, other, {rnd('CASE WHEN x = 0 THEN q0 ELSE (1 - x) * q0 + x * q1 END', 'value', 12)} FROM f, h""",
     "isentrope": f"""WITH lv AS (SELECT l_orderkey, 1050::DOUBLE - 100 * l_linenumber AS pressure, CAST(max(l_quantity) AS DOUBLE) AS u FROM lineitem GROUP BY l_orderkey, l_linenumber),
       hot AS (SELECT *, 280 + u / 10 AS temperature, (280 + u / 10) * power(1000 / pressure, 2 / 7::DOUBLE) AS theta FROM lv),
