@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import unit_dedup
+from zonalis.llm import unit_dedup, url_cascade
 from zonalis.llm.compression_toxicity import fit_toxicity, score_toxicity
 from zonalis.llm.decontaminate import contaminated
 from zonalis.llm.license_scan import scan_licenses
@@ -72,6 +72,11 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(spark, docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return url_cascade.judge_urls(spark, pages, url_cascade.rule_table(spark), url_cascade.hosts_by_words(pages))
+
+
 def queries() -> dict:
     return {
         "op1_pii_surrogates": pii_surrogates,
@@ -85,8 +90,9 @@ def queries() -> dict:
         "op8_quality_ranking": ranking,
         "op9_piece_codec": pieces,
         "op10_toxicity": toxicity,
+        "op12_url_cascade": url_verdicts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repeated_units": unit_dedup.ORACLE_SQL}
+    return {"op5_repeated_units": unit_dedup.ORACLE_SQL, "op12_url_cascade": url_cascade.ORACLE_SQL}
