@@ -10,6 +10,7 @@ from zonalis.llm.compression_toxicity import fit_toxicity, score_toxicity
 from zonalis.llm.decontaminate import contaminated
 from zonalis.llm.license_scan import scan_licenses
 from zonalis.llm.piece_codec import round_trip
+from zonalis.llm.periodic_runs import periodic_runs
 from zonalis.llm.pii_surrogates import surrogate_texts
 from zonalis.llm.quality_ranking import fit_ranking, rank_quality
 from zonalis.llm.quality_rules import fit_ratios, quality_rules
@@ -77,6 +78,10 @@ def url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge_urls(spark, pages, url_cascade.rule_table(spark), url_cascade.hosts_by_words(pages))
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
+
+
 def queries() -> dict:
     return {
         "op1_pii_surrogates": pii_surrogates,
@@ -91,6 +96,7 @@ def queries() -> dict:
         "op9_piece_codec": pieces,
         "op10_toxicity": toxicity,
         "op12_url_cascade": url_verdicts,
+        "op13_periodic_runs": runs,
     }
 
 
