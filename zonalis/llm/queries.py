@@ -12,6 +12,7 @@ from zonalis.llm.license_scan import scan_licenses
 from zonalis.llm.piece_codec import round_trip
 from zonalis.llm.periodic_runs import periodic_runs
 from zonalis.llm.pii_surrogates import surrogate_texts
+from zonalis.llm.prefix_trie import prefix_trie
 from zonalis.llm.quality_ranking import fit_ranking, rank_quality
 from zonalis.llm.quality_rules import fit_ratios, quality_rules
 from zonalis.llm.simhash import simhash_components
@@ -82,6 +83,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents"), planted=True)
 
 
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark, _table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_pii_surrogates": pii_surrogates,
@@ -95,6 +100,7 @@ def queries() -> dict:
         "op8_quality_ranking": ranking,
         "op9_piece_codec": pieces,
         "op10_toxicity": toxicity,
+        "op11_prefix_trie": trie,
         "op12_url_cascade": url_verdicts,
         "op13_periodic_runs": runs,
     }
