@@ -597,10 +597,13 @@ QUERIES = {
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    from zonalis.jobs import exchange_queries
+
+    return QUERIES | exchange_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from zonalis.jobs import exchange_queries
     from zonalis.jobs.oracle_queries import FINALS
 
-    return {k: sql(q) for k, q in FINALS.items()}
+    return {k: sql(q) for k, q in (FINALS | exchange_queries.FINALS).items()}

@@ -146,3 +146,24 @@ def checked_size(field: DataFrame) -> int:
     if len(counts) != 1:
         raise ValueError("tracers differ in their number of cells")
     return rows_for_cells(counts.pop())
+
+
+#: Columns of a grid file: number, mask (0: not part of the grid), centre, and the corners from the north-west clockwise.
+GRID_LINE = " ".join(["%d %d", *["%23.16f"] * 10])
+
+
+def write_grid(cells: DataFrame, path: str) -> str:
+    """Lines of cells (cell_id, mask, lat, lon, north, south, west, east) in order of their numbers."""
+    corners = ("north", "west", "north", "east", "south", "east", "south", "west")
+    line = F.format_string(GRID_LINE, F.col("cell_id"), F.col("mask").cast("int"), *(F.col(c).cast("double") for c in ("lat", "lon", *corners)))
+    cells.repartitionByRange("cell_id").sortWithinPartitions("cell_id").select(line.alias("value")).write.text(path)
+    return path
+
+
+def read_grid(spark: SparkSession, path: str) -> DataFrame:
+    """(cell_id, mask, lat, lon, north, south, west, east) of a grid file; lines with '#' and blank ones are left out."""
+    text = F.trim("value")
+    lines = spark.read.text(path).filter(~F.col("value").contains("#") & (text != ""))
+    x = lines.select(F.split(text, r"\s+").cast("array<double>").alias("x"))
+    names = (("lat", 2), ("lon", 3), ("north", 4), ("south", 8), ("west", 5), ("east", 7))
+    return x.select(F.col("x")[0].cast("long").alias("cell_id"), F.col("x")[1].cast("int").alias("mask"), *(F.col("x")[k].alias(c) for c, k in names))
