@@ -82,3 +82,105 @@ def test_grid_files_come_back(spark):
     for r in cells.select(names).collect():
         assert read[r[0]] == pytest.approx(tuple(r[1:]), abs=1e-13)
     assert len(read) == 54
+
+
+# Files
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 16])
+def test_places_in_files_are_those_of_the_tables(spark, n):
+    from pyspark.sql import Window
+
+    from zonalis.functions import geometry as G
+
+    i = F.col("i")
+    cells = grid.cells(spark, n).select("i", "j", *(c.alias(k) for c, k in zip(G.cell_place(F.col("cell_id"), n), "xy", strict=True)))
+    assert cells.filter("i <> x or j <> y").count() == 0
+    place = F.row_number().over(Window.orderBy("i", "f")) - 1
+    faces = grid.zonal_faces(spark, n).withColumn("place", place.cast("long"))
+    assert faces.select("i", "f", *(c.alias(k) for c, k in zip(G.face_place(F.col("place"), n), "xy", strict=True))).filter("i <> x or f <> y").count() == 0
+    place = F.row_number().over(Window.orderBy("i", "lon_mid")) - 1
+    inter = grid.interfaces(spark, n).withColumn("place", place.cast("long"))
+    found = inter.select(i, "j", "l", *(c.alias(k) for c, k in zip(G.interface_place(F.col("place"), n), "xyz", strict=True)))
+    assert found.filter("i <> x or j <> y or l <> z").count() == 0
+    assert found.count() == grid.totals(n)["interfaces"]
+
+
+def test_lines_are_numbered_over_splits_comments_and_parts(spark, tmp_path):
+    from zonalis.sources.scratch import Scratch
+
+    n = 5
+    lines = [f"{k / 8:23.16f} {0.0:23.16f} {0.0:23.16f}" for k in range(150)]
+    (tmp_path / "ratio_1_202401010000.dat").write_text("# first\n" + "\n".join(lines[:70]) + "\n\n # more\n" + "\n".join(lines[70:]) + "\n")
+    folder = tmp_path / "ratio_22_202401010000.dat"
+    folder.mkdir()
+    for part, (a, b) in enumerate([(0, 1), (1, 90), (90, 150)]):
+        (folder / f"part-{part:08d}").write_text("\n".join(lines[a:b]) + "\n")
+    (tmp_path / "ratio_1_202401020000.dat").write_text("\n".join(lines + ["9 9 9"]) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        read = text.scan_positions(spark, str(tmp_path), "ratio", n, Scratch(spark))
+        rows = read.collect()
+        assert spark.read.text(f"{tmp_path}/*.dat").rdd.getNumPartitions() > 10
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    places = {k + 1: (r.i, r.j) for k, r in enumerate(grid.cells(spark, n).orderBy("cell_id").collect())}
+    for tracer, stamp, extra in (("1", 202401010000, 0), ("22", 202401010000, 0), ("1", 202401020000, 1)):
+        mine = sorted((r.line, r.i, r.j, r.value) for r in rows if (r.tracer, r.stamp) == (tracer, stamp))
+        assert mine[:150] == [(k, *places[k + 1], k / 8) for k in range(150)]
+        assert mine[150:] == [(150, None, None, 9.0)] * extra
+    only = text.scan_positions(spark, str(tmp_path), "ratio", n, Scratch(spark), stamp="202401020000")
+    assert only.count() == 151
+
+
+def _named(spark, count, name="ratio_1_202401010000.dat"):
+    return spark.range(count).select(F.lit(name).alias("name"), F.col("id").alias("place"), F.concat(F.lit("line "), F.col("id").cast("string")).alias("line"))
+
+
+def test_sink_writes_files_and_parts_in_order(spark, tmp_path):
+    from zonalis.sources import sink
+
+    base = tmp_path / "out"
+    both = _named(spark, 25).unionByName(_named(spark, 7, "u_202401010000.dat")).orderBy(F.rand(1))
+    sink.write_named(both, f"file://{base}", lines_per_file=10)
+    assert sorted(p.name for p in base.iterdir()) == ["ratio_1_202401010000.dat", "u_202401010000.dat"]
+    assert (base / "u_202401010000.dat").read_text().splitlines() == [f"line {k}" for k in range(7)]
+    parts = sorted((base / "ratio_1_202401010000.dat").iterdir())
+    assert [p.name for p in parts] == [f"part-{k:08d}" for k in range(3)]
+    assert "".join(p.read_text() for p in parts).splitlines() == [f"line {k}" for k in range(25)]
+    with pytest.raises(Exception, match="there already"):
+        sink.write_named(_named(spark, 3), f"file://{base}")
+    assert len(list((base / "ratio_1_202401010000.dat").iterdir())) == 3
+    sink.write_named(_named(spark, 3), f"file://{base}", mode="overwrite")
+    assert (base / "ratio_1_202401010000.dat").read_text() == "line 0\nline 1\nline 2\n"
+    assert sorted(p.name for p in base.iterdir()) == ["ratio_1_202401010000.dat", "u_202401010000.dat"]
+
+
+def test_a_failed_task_leaves_no_file(spark, tmp_path):
+    from zonalis.sources import sink
+
+    base = tmp_path / "out"
+    base.mkdir()
+    good = _named(spark, 50).unionByName(_named(spark, 50, "v_202401010000.dat"))
+    bad = good.withColumn("line", F.when((F.col("place") == 40) & F.col("name").startswith("v"), F.raise_error(F.lit("broken"))).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="broken"):
+        sink.write_named(bad, str(base))
+    assert list(base.iterdir()) == []
+
+
+def test_commit_takes_only_what_successful_tasks_told(tmp_path):
+    from zonalis.sources.sink import FieldWriter
+
+    writer = FieldWriter(str(tmp_path / "out"), False)
+    row = {"name": "u_1.dat", "part": 0, "line": "kept"}
+    lost = writer.write(iter([row | {"line": "of a lost attempt"}]))
+    told = writer.write(iter([row]))
+    assert lost.found and list((tmp_path / "out").iterdir()) == [tmp_path / "out" / writer.staging.rsplit("/", 1)[1]]
+    writer.commit([told, None])
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["u_1.dat"] and (tmp_path / "out/u_1.dat").read_text() == "kept\n"
+    again = FieldWriter(str(tmp_path / "out"), True)
+    with pytest.raises(ValueError, match="two tasks"):
+        again.commit([again.write(iter([row])), again.write(iter([row]))])

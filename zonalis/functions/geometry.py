@@ -150,3 +150,54 @@ def cell_count_models(resolution: Column) -> dict[str, Column]:
         "mapped_sphere": 2 * F.pow(90.0 / resolution, F.lit(2)),
         "spectral_element": 6 * F.pow(30.0 / resolution, F.lit(2)),
     }
+
+
+def _root(x: Column) -> Column:
+    """Largest integer whose square is at most the non-negative long ``x``."""
+    return F.floor(F.sqrt(x.cast("double"))).cast("long")
+
+
+def cell_place(cell: Column, n: int) -> tuple[Column, Column]:
+    """Row and column of a cell by its number."""
+    north = _root(_quotient(cell - 1, F.lit(3).cast("long"))) + 1
+    south = 2 * n - _root(_quotient(F.lit(6 * n * n).cast("long") - cell, F.lit(3).cast("long")))
+    i = F.when(cell <= 3 * n * n, north).otherwise(south)
+    return i, cell - cells_above(i, n)
+
+
+def face_place(face: Column, n: int) -> tuple[Column, Column]:
+    """Row and number (from 0) of a zonal face by its place among all, from 0; a row has one more than cells."""
+
+    def above(m: Column) -> Column:
+        guess = _quotient(_root(12 * m + 1) - 1, F.lit(6).cast("long"))
+        return F.when(3 * guess * guess + guess > m, guess - 1).otherwise(guess)
+
+    half, all_ = 3 * n * n + n, 6 * n * n + 2 * n
+    i = F.when(face < half, above(F.least(face, F.lit(half).cast("long"))) + 1).otherwise(2 * n - above(F.greatest(F.lit(all_ - 1).cast("long") - face, F.lit(0).cast("long"))))
+    return i, face - (cells_above(i, n) + i - 1)
+
+
+def interface_place(face: Column, n: int) -> tuple[Column, Column, Column]:
+    """Upper row, upper and lower column of a meridional interface by its place among all, from 0.
+
+    In a third of a row a cells meet b = a + 2 others (or the other way round) at a + b - 1 interfaces. The edge after the first j of the a
+    cells comes after j of the b cells, or one more past the middle, so cells change in turn, but twice in the middle.
+    """
+    edge = 6 * (n - 1) * (n - 1) + 3 * (n - 1)
+    total = 12 * n * n - 12 * n + 3
+
+    def above(m: Column) -> Column:
+        guess = _quotient(_root(24 * m + 9) - 3, F.lit(12).cast("long"))
+        return F.when(6 * guess * guess + 3 * guess > m, guess - 1).otherwise(guess)
+
+    zero = F.lit(0).cast("long")
+    north, south = above(F.least(face, F.lit(edge).cast("long"))) + 1, 2 * n - 1 - above(F.greatest(F.lit(total - 1).cast("long") - face, zero))
+    i = F.when(face < edge, north).when(face >= total - edge, south).otherwise(F.lit(n).cast("long"))
+    a, b = (_quotient(nlon(r, n), F.lit(3).cast("long")) for r in (i, i + 1))
+    place, few = face - interfaces_above(i, n), F.least(a, b)
+    each = F.when(a == b, a).otherwise(a + b - 1)
+    third, k = _quotient(place, each), place % each
+    slow = _quotient(F.when(k < few, k).otherwise(k - 1), F.lit(2).cast("long"))
+    j = F.when(a == b, k).when(a < b, slow).otherwise(k - slow)
+    down = F.when(a == b, k).otherwise(k - j)
+    return i, third * a + j + 1, third * b + down + 1

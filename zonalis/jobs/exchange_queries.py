@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from zonalis.functions import clock
 from zonalis.functions import geometry as G
 from zonalis.jobs import queries as Q
 from zonalis.jobs.oracle import rnd
 from zonalis.operators import diagnostics as D
 from zonalis.operators import overlap as O
 from zonalis.operators import remap as R
-from zonalis.sources import grid, text
+from zonalis.sources import grid, sink, text
 from zonalis.sources.scratch import Scratch, new_path
 
 # Remapping between unrelated grids
@@ -67,9 +68,93 @@ _OVERLAPS = """WITH reg AS (SELECT r * (5 * n + 2) + c + 1 AS dst, 90::DOUBLE -
   cover AS (SELECT dst, sum(area) AS area FROM ovl GROUP BY dst)
 """
 
-QUERIES = {"remap_unrelated": remap_unrelated, "remap_mass": remap_mass}
+# Files under resolved names
+
+
+def _weekly(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """(tracer number, stamp, cell_id, i, j, q) of all cells, the mean ratio of each week; and (tracer, number)."""
+    n = Q.grid_size(spark, sf_dir)
+    stamp = clock.stamp(F.date_trunc("week", "ts"))
+    means = R.bin_points(Q.observations(spark, sf_dir), n).groupBy("tracer", stamp.alias("stamp"), "cell_id").agg(F.round(F.avg("ratio"), 9).alias("q"))
+    means = Scratch(spark).table(means, "means")
+    known = means.agg(F.sort_array(F.collect_set("tracer")).alias("all"))
+    number = F.array_position("all", F.col("tracer")).alias("number")
+    each = means.select("tracer", "stamp").distinct().join(F.broadcast(known)).select("tracer", "stamp", number)
+    rows = each.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2 * n).cast("long"))))
+    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), G.nlon(F.col("i"), n)))).withColumn("cell_id", G.cell_id(F.col("i"), F.col("j"), n))
+    field = cells.join(means, ["tracer", "stamp", "cell_id"], "left")
+    return field.select(F.col("number").alias("tracer"), "stamp", "cell_id", "i", "j", "q"), n
+
+
+def _ratio_lines(field: DataFrame, lat, lon) -> DataFrame:
+    return sink.stored_lines(field.select("tracer", "stamp", (F.col("cell_id") - 1).alias("place"), F.col("q").alias("value"), lat.alias("lat"), lon.alias("lon")), "ratio")
+
+
+def stored_fields(spark, sf_dir):
+    """Weekly means of each tracer, written as ``ratio_<k>_<stamp>.dat``, and what is read of all files by coordinates."""
+    field, n = _weekly(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    base = sink.write_named(_ratio_lines(field, G.row_latitude(i, n), G.cell_longitude(i, j, n)), new_path(spark, "stored"))
+    read = text.read_stored(spark, base, "ratio").withColumn("i", G.point_row(F.col("lat"), n))
+    read = read.withColumn("cell_id", G.cell_id(F.col("i"), G.point_column(F.col("i"), F.col("lon"), n), n))
+    return read.select(F.col("tracer").cast("long").alias("tracer"), "stamp", "cell_id", F.nullif("value", F.lit(D.UNDEFINED)).alias("q"))
+
+
+def positional_fields(spark, sf_dir):
+    """The same, written with the coordinates of other places and in parts of 100 lines: cells are told by the place in the file."""
+    field, n = _weekly(spark, sf_dir)
+    base = sink.write_named(_ratio_lines(field, F.col("cell_id") % 90 * F.lit(1.0), F.lit(7.0)), new_path(spark, "stored"), lines_per_file=100)
+    read = text.scan_positions(spark, base, "ratio", n, Scratch(spark))
+    return read.select(F.col("tracer").cast("long").alias("tracer"), "stamp", G.cell_id(F.col("i"), F.col("j"), n).alias("cell_id"), F.col("value").alias("q"))
+
+
+def file_order(spark, sf_dir):
+    """Of each file the lines, the places in it whose line has the coordinates of another cell, and a sum of place times value."""
+    field, n = _weekly(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    base = sink.write_named(_ratio_lines(field, G.row_latitude(i, n), G.cell_longitude(i, j, n)), new_path(spark, "stored"))
+    lines = spark.read.text(text.data_path(base, "ratio")).withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"/(ratio_[^/]*\.dat)", 1))
+    read = text.numbers(text.line_numbers(lines, Scratch(spark))).withColumn("i", G.point_row(F.col("lat"), n))
+    cell = G.cell_id(F.col("i"), G.point_column(F.col("i"), F.col("lon"), n), n)
+    known = F.when(F.col("value") != D.UNDEFINED, F.col("value")).otherwise(0.0)
+    return Q.rounded(read.groupBy("name").agg(F.count("*").alias("lines"), F.count_if(cell != F.col("line") + 1).alias("misplaced"), F.sum(F.col("line") * known).alias("moment")), "moment", digits=5)
+
+
+def positional_winds(spark, sf_dir):
+    """Winds of the field's first tracers at all faces and interfaces, written as ``u_<stamp>.dat`` and ``v_<stamp>.dat`` and read by place.
+
+    The zonal wind of a face is the ratio of clicks of the cell west of it (east of the first); the meridional one of an interface is the difference of views.
+    """
+    n = Q.grid_size(spark, sf_dir)
+    field = Q.event_field(spark, sf_dir, n)
+    i, f = F.col("i"), F.col("f")
+    stamp = F.lit(202401010000).cast("long").alias("stamp")
+    click = field.filter("tracer = 'click'").select("i", F.col("j").alias("f"), "q")
+    faces = grid.zonal_faces(spark, n).withColumn("at", F.greatest(f, F.lit(1)))
+    u = faces.join(click.withColumnRenamed("f", "at"), ["i", "at"]).select(stamp, (G.cells_above(i, n) + i - 1 + f).alias("place"), F.col("q").alias("value"), "lat", "lon")
+    view = field.filter("tracer = 'view'")
+    above, below = (view.select(F.col("cell_id").alias(f"{c}_id"), F.col("q").alias(c)) for c in "ab")
+    order = Window.partitionBy("i").orderBy("lon_mid")
+    v = grid.interfaces(spark, n).withColumn("place", G.interfaces_above(i, n) + F.row_number().over(order) - 1).join(above, "a_id").join(below, "b_id")
+    v = v.select(stamp, F.col("place").cast("long").alias("place"), F.round(F.col("a") - F.col("b"), 9).alias("value"), "lat", F.col("lon_mid").alias("lon"))
+    base = sink.write_named(sink.stored_lines(u, "u").unionByName(sink.stored_lines(v, "v")), new_path(spark, "stored"), lines_per_file=1000)
+    read = [text.scan_positions(spark, base, k, n, Scratch(spark)).select(F.lit(k).alias("kind"), "stamp", "i", "j", "l", "value") for k in "uv"]
+    return read[0].unionByName(read[1])
+
+
+QUERIES = {"remap_unrelated": remap_unrelated, "remap_mass": remap_mass, "stored_fields": stored_fields, "positional_fields": positional_fields, "file_order": file_order, "positional_winds": positional_winds}
+
+_WEEKLY = """WITH seen AS (SELECT tracer, CAST(strftime(date_trunc('week', ts), '%Y%m%d%H%M') AS BIGINT) AS stamp, cell_id, round(avg(ratio), 9) AS q FROM binned JOIN (SELECT event_id, ts FROM events) USING (event_id) GROUP BY ALL),
+  weekly AS (SELECT k.number AS tracer, w.stamp, c.cell_id, s.q FROM (SELECT DISTINCT tracer, stamp FROM seen) w JOIN (SELECT tracer, CAST(row_number() OVER (ORDER BY tracer) AS BIGINT) AS number FROM (SELECT DISTINCT tracer FROM seen)) k USING (tracer)
+    CROSS JOIN cells c LEFT JOIN seen s ON s.tracer = w.tracer AND s.stamp = w.stamp AND s.cell_id = c.cell_id)
+"""
 
 FINALS: dict[str, str] = {
+    "stored_fields": f"{_WEEKLY} SELECT * FROM weekly",
+    "positional_fields": f"{_WEEKLY} SELECT * FROM weekly",
+    "file_order": f"""{_WEEKLY} SELECT 'ratio_' || tracer || '_' || stamp || '.dat' AS name, count(*) AS lines, 0::BIGINT AS misplaced, {rnd('sum((cell_id - 1) * coalesce(q, 0::DOUBLE))', 'moment', 5)} FROM weekly GROUP BY tracer, stamp""",
+    "positional_winds": """SELECT 'u' AS kind, 202401010000 AS stamp, r.i, f AS j, NULL::BIGINT AS l, q AS value FROM (SELECT *, unnest(range(0, nlon + 1)) AS f FROM rws) r JOIN field d ON d.i = r.i AND d.j = greatest(r.f, 1) AND d.tracer = 'click'
+      UNION ALL SELECT 'v', 202401010000, k.i, k.j, k.l, round(a.q - b.q, 9) FROM intf k JOIN field a ON a.cell_id = k.a_id AND a.tracer = 'view' JOIN field b ON b.cell_id = k.b_id AND b.tracer = 'view'""",
     "remap_unrelated": f"""{_OVERLAPS} SELECT f.tracer, o.dst AS cell_id, {rnd('sum(o.area * f.q) / any_value(c.area)', 'q', 11)}, {rnd('any_value(c.area / t.dst_area)', 'covered', 11)}
       FROM ovl o JOIN field f ON f.cell_id = o.src JOIN cover c USING (dst) JOIN dsts t USING (dst) GROUP BY f.tracer, o.dst""",
     "remap_mass": f"""{_OVERLAPS}, moved AS (SELECT f.tracer, o.dst, sum(o.area * f.q) AS m FROM ovl o JOIN field f ON f.cell_id = o.src GROUP BY ALL)

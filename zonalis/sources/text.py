@@ -6,12 +6,12 @@ with '#' and blank lines are left out, and -9999 stands for a value that is not
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonalis.functions import geometry as G
 from zonalis.operators.diagnostics import UNDEFINED
-from zonalis.sources.grid import rows_for_cells
+from zonalis.sources.grid import rows_for_cells, totals
 from zonalis.sources.scratch import Scratch, new_path
 
 LINE = "%23.16f %23.16f %23.16f"
@@ -167,3 +167,38 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     x = lines.select(F.split(text, r"\s+").cast("array<double>").alias("x"))
     names = (("lat", 2), ("lon", 3), ("north", 4), ("south", 8), ("west", 5), ("east", 7))
     return x.select(F.col("x")[0].cast("long").alias("cell_id"), F.col("x")[1].cast("int").alias("mask"), *(F.col("x")[k].alias(c) for c, k in names))
+
+
+def line_numbers(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lines (name, value) with their number in the dataset, from 0, as a column ``line``; ``lines`` comes straight from files.
+
+    A line's place in its split is the row's own; splits are counted and the counts of those before added, a row a split. So no task sees
+    more than a split, and files of any length are numbered. The splits are seen once: what is read is written first.
+    """
+    seen = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_mark", F.monotonically_increasing_id())
+    seen = scratch.table(seen, "numbered")
+    before = Window.partitionBy("name").orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = seen.groupBy("name", "_file", "_start").agg(F.count("*").alias("_lines"), F.min("_mark").alias("_first"))
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines", "name")
+    joined = seen.join(splits, ["_file", "_start"])
+    return joined.withColumn("line", (F.col("_before") + F.col("_mark") - F.col("_first")).cast("long")).drop("_file", "_start", "_mark", "_first", "_before")
+
+
+def scan_positions(spark: SparkSession, base: str, kind: str, n: int, scratch: Scratch, stamp: str = "*", tracer: str = "*") -> DataFrame:
+    """(tracer, stamp, line, i, j, l, value) of stored data, placed by the number of the line: only the first field is read.
+
+    ``ratio`` has cells (i, j), ``u`` zonal faces (i, j from 0), ``v`` interfaces of (i, j) and (i + 1, l). Comments and blank lines don't count. Lines past
+    the end of the grid have no place: i, j and l are null.
+    """
+    lines = spark.read.text(data_path(base, kind, stamp, tracer))
+    text = F.trim("value")
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"/((?:ratio_|u_|v_)[^/]*)\.dat(?:/[^/]*)?$", 1)
+    kept = lines.filter(~F.col("value").contains("#") & (text != "")).withColumn("name", name)
+    kept = kept.withColumn("value", F.nullif(F.split(text, r"\s+", 2)[0].cast("double"), F.lit(UNDEFINED)))
+    read = line_numbers(kept, scratch)
+    size = totals(n)[{"ratio": "cells", "u": "zonal_faces", "v": "interfaces"}[kind]]
+    at = F.when(F.col("line") < size, F.col("line"))
+    place = {"ratio": lambda: G.cell_place(at + 1, n), "u": lambda: G.face_place(at, n), "v": lambda: G.interface_place(at, n)}[kind]()
+    place = [*place, F.lit(None).cast("long")][:3]
+    which = F.nullif(F.regexp_extract("name", "^ratio_(.*)_[0-9]+$", 1), F.lit("")).alias("tracer"), F.regexp_extract("name", "_([0-9]+)$", 1).cast("long").alias("stamp")
+    return read.select(*which, "line", *(c.alias(k) for c, k in zip(place, "ijl", strict=True)), "value")
