@@ -59,8 +59,16 @@ TAGS = ("spdx-license-identifier:", "license-expression:")
 GRANTS = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
 #: The family of an identifier is its first part if that is listed here.
 FAMILIES = ("agpl", "apache", "bsd", "epl", "gpl", "isc", "lgpl", "mit", "mpl", "unlicense", "zlib")
-#: First parts of further identifiers; what starts with none of these is no licence, and an expression stops before it.
-OTHERS = ("0bsd", "afl", "artistic", "blueoak", "bsl", "busl", "cc", "cc0", "cddl", "cpl", "curl", "ecl", "eupl", "gfdl", "ijg", "json", "licenseref", "lppl", "ms", "ncsa", "none", "ofl", "openssl", "osl", "php", "postgresql", "psf", "public", "python", "ruby", "sspl", "upl", "vim", "w3c", "wtfpl", "x11", "zpl")
+#: Whole identifiers of known licences, as patterns of what may follow their first part.
+IDENTIFIERS = {
+    "0bsd": "", "afl": r"-[123]\.[0-2]", "agpl": r"-[13]\.0(?:\+|-only|-or-later)?", "apache": r"(?:-[12]\.[01]\+?)?", "artistic": r"-[12]\.0(?:-perl|-cl8)?", "blueoak": r"-1\.0\.0", "bsd": r"(?:-[0-4]-clause(?:-[a-z-]+)?|-protection|-source-code)?",
+    "bsl": r"-1\.[01]", "busl": r"-1\.1", "cc": r"-by(?:-nc)?(?:-sa|-nd)?-[1-4]\.[05](?:-[a-z]+)?", "cc0": r"(?:-1\.0)?", "cddl": r"-1\.[01]", "cpl": r"-1\.0", "curl": "", "ecl": r"-[12]\.0", "epl": r"(?:-[12]\.0)?", "eupl": r"-1\.[0-2]",
+    "gfdl": r"-1\.[1-3](?:-(?:no-)?invariants)?(?:\+|-only|-or-later)?", "gpl": r"(?:-[1-3]\.0)?(?:\+|-only|-or-later)?", "ijg": "", "isc": "", "json": "", "lgpl": r"(?:-[23]\.[01])?(?:\+|-only|-or-later)?", "licenseref": r"-[a-z0-9.-]+", "lppl": r"-1\.[0-3][ac]?",
+    "mit": r"(?:-0|-advertising|-cmu|-enna|-feh|-modern-variant|-open-group)?", "mpl": r"(?:-[12]\.[01])?(?:-no-copyleft-exception)?", "ms": r"-(?:pl|rl|lpl)", "ncsa": "", "none": "", "ofl": r"-1\.[01](?:-(?:no-)?rfn)?", "openssl": "", "osl": r"-[123]\.[01]", "php": r"-3\.0[1]?",
+    "postgresql": "", "psf": r"-2\.0", "python": r"-2\.0(?:\.1)?", "ruby": "", "sspl": r"-1\.0", "unicode": r"-(?:3\.0|dfs-201[56]|tou)", "unlicense": "", "upl": r"-1\.0", "vim": "", "w3c": r"(?:-[0-9]+)?", "wtfpl": "", "x11": "", "zlib": r"(?:-acknowledgement)?", "zpl": r"-[12]\.[01]",
+}
+#: What an operand that is no known licence counts as; no policy allows it.
+UNKNOWN = "unknown"
 #: Identifiers that the default policy accepts.
 PERMISSIVE = frozenset({"apache", "bsd", "bsl", "cc-by", "cc0", "isc", "mit", "public-domain", "unlicense", "zlib"})
 
@@ -71,9 +79,10 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 def parse_expression(text: str) -> list[str] | None:
     """Shunting-yard: the licence expression at the start of ``text`` in postfix order; None if there is none.
 
-    ``with`` binds tighter than ``and``, ``and`` tighter than ``or``. Operands are identifiers of known licences, and any
-    exception after ``with``. Outside parentheses the expression ends where no operator follows an operand, at an operand that a
-    full stop or colon closes, and before an operator that prose follows; inside them prose makes it no expression.
+    ``with`` binds tighter than ``and``, ``and`` tighter than ``or``. Operands are identifiers, any exception after ``with``, and identifiers of no known
+    licence too, so that nothing that an ``and`` demands is lost; a plain word without digit or hyphen that is no known licence is prose. Outside
+    parentheses the expression ends where no operator follows an operand, at an operand that a full stop or colon closes,
+    and before an operator that prose follows; inside them prose makes it no expression.
     """
     out: list[str] = []
     ops: list[str] = []
@@ -88,7 +97,7 @@ def parse_expression(text: str) -> list[str] | None:
                 return None
             else:
                 name = word.rstrip(".:")
-                if not (known(name) or ops and ops[-1] == "with"):
+                if not (known(name) or re.search("[0-9-]", name) or ops and ops[-1] == "with"):
                     if not ops or depth:
                         return None
                     ops.pop()
@@ -116,32 +125,52 @@ def parse_expression(text: str) -> list[str] | None:
     return out + ops[::-1]
 
 
+_KNOWN = re.compile("|".join(rf"{re.escape(k)}{v}" for k, v in IDENTIFIERS.items()))
+
+
 def known(identifier: str) -> bool:
-    first = re.split(r"[-:]", identifier)[0].rstrip("+")
-    return first in FAMILIES or first in OTHERS
+    """Whether the whole identifier is that of a known licence; a document may stand before a reference."""
+    return bool(_KNOWN.fullmatch(identifier.rsplit(":", 1)[-1] if "licenseref" in identifier else identifier))
 
 
 def family(identifier: str) -> str:
+    if not known(identifier):
+        return UNKNOWN
     if identifier.startswith("cc-by"):
         return re.sub(r"-\d.*$", "", identifier)
     first = identifier.split("-")[0].rstrip("+")
-    return first if first in FAMILIES else identifier
+    return first if first in FAMILIES or first in ("bsl", "cc0") else identifier
 
 
 def evaluate(postfix: list[str], allowed: frozenset[str]) -> tuple[bool, list[str], str]:
-    """Whether ``allowed`` satisfies the expression, the families of its licences, and the expression written out."""
-    stack: list[tuple[bool, list[str], str]] = []
-    for word in postfix:
+    """Whether ``allowed`` satisfies the expression, the families of its licences, and the expression written out.
+
+    An operand that is no known licence is never satisfied. Parts are written once, at the end, so long expressions take linear time.
+    """
+    allowed = allowed - {UNKNOWN}
+    stack: list[tuple[bool, object]] = []
+    families: dict[str, None] = {}
+    for k, word in enumerate(postfix):
         if word not in _RANK:
-            stack.append((family(word) in allowed, [family(word)], word))
+            kind = family(word)
+            if postfix[k + 1 : k + 2] != ["with"]:  # an exception is no licence
+                families[kind] = None
+            stack.append((kind in allowed, word))
             continue
         b, a = stack.pop(), stack.pop()
         if word == "with":  # an exception only adds permissions
-            stack.append((a[0], a[1], f"{a[2]} with {b[2]}"))
+            stack.append((a[0], (a[1], " with ", b[1])))
+        else:
+            stack.append((a[0] and b[0] if word == "and" else a[0] or b[0], ("(", a[1], f" {word} ", b[1], ")")))
+    ok, tree = stack[0]
+    out, todo = [], [tree]
+    while todo:
+        part = todo.pop()
+        if isinstance(part, tuple):
+            todo.extend(reversed(part))
         else:
-            ok = a[0] and b[0] if word == "and" else a[0] or b[0]
-            stack.append((ok, a[1] + b[1], f"({a[2]} {word} {b[2]})"))
-    return stack[0]
+            out.append(part)
+    return ok, list(families), "".join(out)
 
 
 def _automaton(words) -> ahocorasick.Automaton:
@@ -217,7 +246,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``.
 
     ``n_base``, ``first_word``, ``last_word`` and ``base_labels`` are of the base phrases, ``labels`` of all phrases and
-    expressions. ``score`` is 1 with a valid expression after a tag, 0.9 with a phrase after words of a grant, 0.6 with
+    expressions (``unknown`` for an operand that is no known licence). ``score`` is 1 with a valid expression after a tag, 0.9 with a phrase after words of a grant, 0.6 with
     a bare phrase, else 0. ``expression`` is the first one found, ``permitted`` whether ``allowed`` satisfies all of
     them (null without any).
     """

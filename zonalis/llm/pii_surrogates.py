@@ -48,9 +48,9 @@ NAME_PARTS = {
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-."
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
-_DIGIT = re.compile(r"\d")
+_DIGIT = re.compile("[0-9]")
 _NUMBERS = (
-    ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("card", re.compile(r"(?<![\w-])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{13,19})(?![\w-])")),
     ("phone", re.compile(r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?!\w)|(?<![\w-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
@@ -64,6 +64,8 @@ _CJK_NAME = re.compile(r"([一-鿿])([一-鿿]{1,2})(先生|女士|小姐)")
 _WORD = re.compile(r"(?<!\w)[A-ZÀ-ÖØ-ÞА-ЯЁ]\w*(?:[-'’]\w+)*")
 #: Given names of a later attempt are of one of these stretches of ideographs, in which signs of one radical stand together.
 CJK_STRETCH = {"m": (0x5C71, 0x5DD4), "f": (0x5973, 0x5B32)}
+#: Names that are words or months too; alone they are taken for a known name only beside another one.
+AMBIGUOUS = frozenset("April Art August Bill Brown Chance Christian Dawn Faith Frank Grace Grant Green Hope Joy June King Lang Long Mark May Pat Price Rose Sterling Sue Summer Will Young".split())
 CJK_SURNAMES, CJK_GIVEN = "王李张刘陈杨赵黄周吴", {"m": "伟强军磊勇杰涛明", "f": "芳娜敏静丽艳娟霞"}
 
 
@@ -72,6 +74,11 @@ def luhn_digit(digits: str) -> str:
     return str(-total % 10)
 
 
+def iban_check(country: str, body: str) -> str:
+    """Check digits of an account number: the whole, with the country behind it and letters from 10 on, is 1 modulo 97."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in f'{body}{country}00')) % 97:02d}"
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the e-mail addresses: from each ``@`` over one run to the left and a domain to the right, in linear time."""
     at, floor = -1, 0
@@ -90,7 +97,11 @@ def _bare(name: str) -> str:
 
 
 def names(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """Names after a form of address, and the places where one of these names stands alone."""
+    """Names after a form of address, and the places where one of these names stands alone.
+
+    Standing alone is by spelling only, so another person or thing of that name is taken for the same; names that are
+    words as well (``AMBIGUOUS``) count only directly before or after another known name.
+    """
     known: dict[str, tuple[str, str]] = {}
     for m in _NAME.finditer(text):
         gender, given = TITLES[m[1]], m[3] and 2
@@ -98,9 +109,13 @@ def names(text: str) -> Iterator[tuple[int, int, str, str]]:
             kind, name = f"name-{gender if group == given else 's'}", _bare(m[group])
             known.setdefault(name, (kind, name.lower()))
             yield m.start(group), m.start(group) + len(name), kind, name.lower()
-    for m in _WORD.finditer(text) if known else ():
-        name = m[0] if m[0] in known else _bare(m[0])
+    alone = [(m, m[0] if m[0] in known else _bare(m[0])) for m in _WORD.finditer(text)] if known else []
+    for k, (m, name) in enumerate(alone):
         if name in known:
+            if name in AMBIGUOUS:
+                beside = [(alone[k - 1][0], m)] * (k > 0 and alone[k - 1][1] in known) + [(m, alone[k + 1][0])] * (k + 1 < len(alone) and alone[k + 1][1] in known)
+                if not any(text[a.end() : b.start()] == " " for a, b in beside):
+                    continue
             yield m.start(), m.start() + len(name), *known[name]
 
 
@@ -151,12 +166,13 @@ class Surrogates:
             if value < size:
                 return value
 
-    def shaped(self, text: str, tweak: str) -> str:
+    def shaped(self, text: str, tweak: str, hexadecimal: bool = False) -> str:
         """Another string of the same form: digits for digits, letters for letters of the same case, other signs kept.
 
+        With ``hexadecimal`` a text of 16 or more digits and letters a to f, one letter at least, becomes another such number.
         A long string is permuted block by block, each block under the digest of those before it: different strings stay different.
         """
-        hexa = len(text) >= 16 and not re.search(r"[^0-9a-f]", text)
+        hexa = hexadecimal and len(text) >= 16 and not re.search("[^0-9a-f]", text) and bool(re.search("[a-f]", text))
         sets = ["0123456789abcdef"] * len(text) if hexa else ["0123456789" if c in "0123456789" else "abcdefghijklmnopqrstuvwxyz" if "a" <= c <= "z" else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if "A" <= c <= "Z" else c for c in text]
         out, before = [], hashlib.blake2b(key=self.key, digest_size=16)
         for at in range(0, len(text), SHAPED_BLOCK):
@@ -195,6 +211,9 @@ class Surrogates:
             keep = max(2, len(value) - 10)  # the country code stays
             return value[:keep] + self.shaped(value[keep:], tweak)
         if kind == "iban":
+            if value[2:4] == iban_check(value[:2], value[4:]):
+                body = self.shaped(value[4:], f"{tweak}|{value[:2]}|check")
+                return value[:2] + iban_check(value[:2], body) + body
             return value[:2] + self.shaped(value[2:], f"{tweak}|{value[:2]}")
         if kind.startswith("name-"):
             parts = NAME_PARTS["cyrillic" if "Ѐ" <= value[0] <= "ӿ" else "latin"][kind[5:]]
@@ -206,7 +225,7 @@ class Surrogates:
             low, high = CJK_STRETCH[kind[4:]]
             given = CJK_GIVEN[kind[4:]] if attempt < 2 else [chr(c) for c in range(low, high)]
             return CJK_SURNAMES[n % 10] + "".join(given[(n >> (8 + 16 * k)) % len(given)] for k in range(len(value) - 1 + attempt // 16))
-        return self.shaped(value, tweak)
+        return self.shaped(value, tweak, kind == "secret")
 
     def write(self, mention: str, kind: str, surrogate: str) -> str:
         """The surrogate in the mention's own case and punctuation."""
