@@ -10,6 +10,7 @@ from zonalis.functions import geometry as G
 from zonalis.jobs import queries as Q
 from zonalis.jobs.oracle import rnd
 from zonalis.operators import diagnostics as D
+from zonalis.operators import exact, timeline
 from zonalis.operators import overlap as O
 from zonalis.operators import remap as R
 from zonalis.sources import grid, sink, text
@@ -142,16 +143,57 @@ def positional_winds(spark, sf_dir):
     return read[0].unionByName(read[1])
 
 
-QUERIES = {"remap_unrelated": remap_unrelated, "remap_mass": remap_mass, "stored_fields": stored_fields, "positional_fields": positional_fields, "file_order": file_order, "positional_winds": positional_winds}
+# Times and sums
+
+
+def _asof(kind: str, keys: tuple[str, ...]):
+    def query(spark, sf_dir):
+        """Values at the times of all events, on the lines between the values of events of one kind, which come at uneven times."""
+        events = Q._read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
+        marks = events.filter(F.col("event_type") == kind).select(*keys, "t", "value")
+        at = timeline.bracketed(events.select("event_id", *keys, "t"), marks, keys, Scratch(spark))
+        value = timeline.interpolated(*(F.col(c) for c in ("t", "t0", "v0", "t1", "v1")))
+        return Q.rounded(at.select("event_id", "t0", "t1", value.alias("value")), "value", digits=8)
+
+    return query
+
+
+def exact_ratios(spark, sf_dir):
+    """Exact sums of the ratios of each kind, in units of 2^-66: all digits of them."""
+    points = Q.observations(spark, sf_dir)
+    return exact.exact_units(points, ("tracer",), "ratio", -66)
+
+
+def exact_mass(spark, sf_dir):
+    """Mass of each tracer by exact sums, and whether the cells dealt out anew give the same to the last bit."""
+    n = Q.grid_size(spark, sf_dir)
+    field = Q.event_field(spark, sf_dir, n).select("tracer", "cell_id", (G.cell_area(F.col("i"), n) * F.col("q")).alias("m"))
+    one = exact.exact_sum(field, ("tracer",), "m", "mass")
+    two = exact.exact_sum(field.repartition(7, "cell_id").sortWithinPartitions(F.xxhash64("cell_id")), ("tracer",), "m", "again")
+    return Q.rounded(one.join(two, "tracer").select("tracer", (F.col("mass") == F.col("again")).alias("same"), "mass"), "mass", digits=8)
+
+
+QUERIES = {"remap_unrelated": remap_unrelated, "remap_mass": remap_mass, "stored_fields": stored_fields, "positional_fields": positional_fields, "file_order": file_order, "positional_winds": positional_winds, "asof_users": _asof("view", ("user_id",)), "asof_all": _asof("error", ()), "exact_ratios": exact_ratios, "exact_mass": exact_mass}
 
 _WEEKLY = """WITH seen AS (SELECT tracer, CAST(strftime(date_trunc('week', ts), '%Y%m%d%H%M') AS BIGINT) AS stamp, cell_id, round(avg(ratio), 9) AS q FROM binned JOIN (SELECT event_id, ts FROM events) USING (event_id) GROUP BY ALL),
   weekly AS (SELECT k.number AS tracer, w.stamp, c.cell_id, s.q FROM (SELECT DISTINCT tracer, stamp FROM seen) w JOIN (SELECT tracer, CAST(row_number() OVER (ORDER BY tracer) AS BIGINT) AS number FROM (SELECT DISTINCT tracer FROM seen)) k USING (tracer)
     CROSS JOIN cells c LEFT JOIN seen s ON s.tracer = w.tracer AND s.stamp = w.stamp AND s.cell_id = c.cell_id)
 """
 
+
+def _asof_sql(kind: str, key: str) -> str:
+    return f"""WITH e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS t, value, event_type = '{kind}' AS mark FROM events), m AS (SELECT k, t, max(value) AS v FROM e WHERE mark GROUP BY ALL),
+      b AS (SELECT e.*, m.t AS t0, m.v AS v0 FROM e ASOF LEFT JOIN m ON m.k = e.k AND e.t >= m.t), f AS (SELECT b.*, m.t AS t1, m.v AS v1 FROM b ASOF LEFT JOIN m ON m.k = b.k AND b.t < m.t)
+      SELECT event_id, t0, t1, {rnd('CASE WHEN t = t0 THEN v0 ELSE (1 - (t - t0)::DOUBLE / (t1 - t0)) * v0 + (t - t0)::DOUBLE / (t1 - t0) * v1 END', 'value', 8)} FROM f"""
+
+
 FINALS: dict[str, str] = {
     "stored_fields": f"{_WEEKLY} SELECT * FROM weekly",
     "positional_fields": f"{_WEEKLY} SELECT * FROM weekly",
+    "asof_users": _asof_sql("view", "user_id"),
+    "asof_all": _asof_sql("error", "1"),
+    "exact_ratios": "SELECT tracer, CAST(sum(CAST(ratio * 73786976294838206464::DOUBLE AS HUGEINT)) AS VARCHAR) AS units FROM pts GROUP BY tracer",
+    "exact_mass": f"SELECT tracer, true AS same, {rnd('sum(area * q)', 'mass', 8)} FROM field GROUP BY tracer",
     "file_order": f"""{_WEEKLY} SELECT 'ratio_' || tracer || '_' || stamp || '.dat' AS name, count(*) AS lines, 0::BIGINT AS misplaced, {rnd('sum((cell_id - 1) * coalesce(q, 0::DOUBLE))', 'moment', 5)} FROM weekly GROUP BY tracer, stamp""",
     "positional_winds": """SELECT 'u' AS kind, 202401010000 AS stamp, r.i, f AS j, NULL::BIGINT AS l, q AS value FROM (SELECT *, unnest(range(0, nlon + 1)) AS f FROM rws) r JOIN field d ON d.i = r.i AND d.j = greatest(r.f, 1) AND d.tracer = 'click'
       UNION ALL SELECT 'v', 202401010000, k.i, k.j, k.l, round(a.q - b.q, 9) FROM intf k JOIN field a ON a.cell_id = k.a_id AND a.tracer = 'view' JOIN field b ON b.cell_id = k.b_id AND b.tracer = 'view'""",
