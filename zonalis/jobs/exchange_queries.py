@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from zonalis.functions import clock
+from zonalis.functions import clock, spiral
 from zonalis.functions import geometry as G
 from zonalis.jobs import queries as Q
-from zonalis.jobs.oracle import rnd
+from zonalis.jobs.oracle import rnd, sql
+from zonalis.jobs.oracle_queries import FINALS as _SQL
 from zonalis.operators import diagnostics as D
-from zonalis.operators import exact, timeline
+from zonalis.operators import exact, graph, timeline
 from zonalis.operators import overlap as O
 from zonalis.operators import remap as R
-from zonalis.sources import grid, sink, text
+from zonalis.sources import grid, sink, tables, text
 from zonalis.sources.scratch import Scratch, new_path
 
 # Remapping between unrelated grids
@@ -173,13 +174,72 @@ def exact_mass(spark, sf_dir):
     return Q.rounded(one.join(two, "tracer").select("tracer", (F.col("mass") == F.col("again")).alias("same"), "mass"), "mass", digits=8)
 
 
-QUERIES = {"remap_unrelated": remap_unrelated, "remap_mass": remap_mass, "stored_fields": stored_fields, "positional_fields": positional_fields, "file_order": file_order, "positional_winds": positional_winds, "asof_users": _asof("view", ("user_id",)), "asof_all": _asof("error", ()), "exact_ratios": exact_ratios, "exact_mass": exact_mass}
+# Stored tables, the spiral, graphs
+
+
+def error_log(spark, sf_dir):
+    """Errors of stored files in a table with keys: first those of some days, then of all, then of all again.
+
+    ``version`` is the run that a row came with; ``stored`` is how many rows all three runs have written.
+    """
+    keys = ("tracer", "stamp")
+    rows = Scratch(spark).table(Q.stored_errors(spark, sf_dir), "errors")
+    path = new_path(spark, "errors")
+    for part in (rows.filter(F.floor(F.col("stamp") / 10000) % 3 > 0), rows, rows):
+        tables.append_changed(spark, path, part, keys)
+    stored = spark.read.parquet(path).groupBy("tracer").agg(F.count("*").alias("stored"))
+    return tables.current(spark, path, keys).join(stored, "tracer")
+
+
+def spiral_nearest(spark, sf_dir):
+    """Events and their mean ratio by the nearest point of a spiral on the disc that has a point for 24 events."""
+    points = max(12, Q._read(spark, sf_dir, "events").count() // 24)
+    r, angle = F.sqrt(F.lit(points) * (90 - F.col("lat")) / 180), F.radians("lon")
+    placed = Q.observations(spark, sf_dir).select("ratio", (r * F.cos(angle)).alias("x"), (r * F.sin(angle)).alias("y"))
+    near = placed.select("ratio", spiral.nearest_on_spiral(F.col("x"), F.col("y"), points).alias("k"))
+    return Q.rounded(near.groupBy("k").agg(F.count("*").alias("events"), F.avg("ratio").alias("ratio")), "ratio")
+
+
+def _graph_file(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    return text.read_graph(spark, text.write_graph(edges, new_path(spark, "graph")))
+
+
+def damaged_graph(spark, sf_dir):
+    """The stored adjacency after each error event has struck one entry off its cell's list: what is left, what stands on one side only, and whether nothing names the cell."""
+    n = Q.grid_size(spark, sf_dir)
+    whole = _graph_file(spark, grid.edges(spark, n))
+    strikes = R.bin_points(Q.observations(spark, sf_dir).filter("tracer = 'error'"), n).join(whole, "cell_id")
+    struck = strikes.select(F.col("cell_id").alias("a"), F.get("near", (F.col("event_id") % F.size("near")).cast("int")).alias("b")).distinct()
+    left = Scratch(spark).table(graph.entries(whole).join(struck, ["a", "b"], "left_anti"), "left")
+    lonely = graph.isolated(whole, left).withColumn("isolated", F.lit(True))
+    counts = left.groupBy(F.col("a").alias("cell_id")).agg(F.count("*").alias("neighbours"))
+    single = graph.one_sided(left).groupBy(F.col("a").alias("cell_id")).agg(F.count("*").alias("one_sided"))
+    zero = F.lit(0).cast("long")
+    out = whole.select("cell_id").join(counts, "cell_id", "left").join(single, "cell_id", "left").join(lonely, "cell_id", "left")
+    return out.select("cell_id", F.coalesce("neighbours", zero).alias("neighbours"), F.coalesce("one_sided", zero).alias("one_sided"), F.coalesce("isolated", F.lit(False)).alias("isolated"))
+
+
+def observed_parts(spark, sf_dir):
+    """Cells with seven clicks or more, and the connected part of such cells that each lies in, by the stored adjacency."""
+    n = Q.grid_size(spark, sf_dir)
+    clicks = R.bin_points(Q.observations(spark, sf_dir).filter("tracer = 'click'"), n).groupBy("cell_id").agg(F.count("*").alias("clicks")).filter("clicks >= 7")
+    return graph.connected_parts(clicks, graph.entries(_graph_file(spark, grid.edges(spark, n))), Scratch(spark))
+
+
+QUERIES = {
+    "remap_unrelated": remap_unrelated, "remap_mass": remap_mass, "stored_fields": stored_fields, "positional_fields": positional_fields, "file_order": file_order,
+    "positional_winds": positional_winds, "asof_users": _asof("view", ("user_id",)), "asof_all": _asof("error", ()), "exact_ratios": exact_ratios, "exact_mass": exact_mass,
+    "error_log": error_log, "spiral_nearest": spiral_nearest, "damaged_graph": damaged_graph, "observed_parts": observed_parts}
 
 _WEEKLY = """WITH seen AS (SELECT tracer, CAST(strftime(date_trunc('week', ts), '%Y%m%d%H%M') AS BIGINT) AS stamp, cell_id, round(avg(ratio), 9) AS q FROM binned JOIN (SELECT event_id, ts FROM events) USING (event_id) GROUP BY ALL),
   weekly AS (SELECT k.number AS tracer, w.stamp, c.cell_id, s.q FROM (SELECT DISTINCT tracer, stamp FROM seen) w JOIN (SELECT tracer, CAST(row_number() OVER (ORDER BY tracer) AS BIGINT) AS number FROM (SELECT DISTINCT tracer FROM seen)) k USING (tracer)
     CROSS JOIN cells c LEFT JOIN seen s ON s.tracer = w.tracer AND s.stamp = w.stamp AND s.cell_id = c.cell_id)
 """
 
+#: Directed adjacency of the cells.
+_EDGES = """e AS (SELECT a_id AS a, b_id AS b FROM intf UNION SELECT b_id, a_id FROM intf UNION SELECT a.cell_id, b.cell_id FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j % a.nlon + 1 WHERE a.nlon > 1
+    UNION SELECT b.cell_id, a.cell_id FROM cells a JOIN cells b ON b.i = a.i AND b.j = a.j % a.nlon + 1 WHERE a.nlon > 1)"""
+
 
 def _asof_sql(kind: str, key: str) -> str:
     return f"""WITH e AS (SELECT event_id, {key} AS k, epoch_us(ts) AS t, value, event_type = '{kind}' AS mark FROM events), m AS (SELECT k, t, max(value) AS v FROM e WHERE mark GROUP BY ALL),
@@ -190,6 +250,18 @@ def _asof_sql(kind: str, key: str) -> str:
 FINALS: dict[str, str] = {
     "stored_fields": f"{_WEEKLY} SELECT * FROM weekly",
     "positional_fields": f"{_WEEKLY} SELECT * FROM weekly",
+    "error_log": f"SELECT *, CASE WHEN (stamp // 10000) % 3 > 0 THEN 1 ELSE 2 END AS version, count(*) OVER (PARTITION BY tracer) AS stored FROM ({sql(_SQL['stored_errors'])})",
+    "spiral_nearest": f"""WITH s AS (SELECT greatest(12, count(*) // 24) AS points FROM events), k AS (SELECT k, sqrt(k - 0.5::DOUBLE) * cos(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2)) AS px, sqrt(k - 0.5::DOUBLE) * sin(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2)) AS py
+        FROM (SELECT unnest(range(1, points + 1)) AS k FROM s)), d AS (SELECT event_id, ratio, sqrt(points * (90 - lat) / 180) * cos(radians(lon)) AS x, sqrt(points * (90 - lat) / 180) * sin(radians(lon)) AS y FROM pts, s),
+      m AS (SELECT event_id, any_value(ratio) AS ratio, arg_min(k, (px - x) * (px - x) + (py - y) * (py - y)) AS k FROM d, k GROUP BY event_id)
+      SELECT k, count(*) AS events, {rnd('avg(ratio)', 'ratio')} FROM m GROUP BY k""",
+    "damaged_graph": f"""WITH {_EDGES}, near AS (SELECT a, list_sort(list(b)) AS near FROM e GROUP BY a),
+      struck AS (SELECT DISTINCT a, near[1 + event_id % len(near)] AS b FROM binned JOIN near ON a = cell_id WHERE tracer = 'error'), kept AS (SELECT a, b FROM e EXCEPT SELECT a, b FROM struck)
+      SELECT cell_id, (SELECT count(*) FROM kept WHERE a = cell_id) AS neighbours, (SELECT count(*) FROM kept x WHERE x.a = cell_id AND NOT EXISTS (SELECT 1 FROM kept y WHERE y.a = x.b AND y.b = x.a)) AS one_sided,
+        NOT EXISTS (SELECT 1 FROM kept WHERE a = cell_id OR b = cell_id) AS isolated FROM cells""",
+    "observed_parts": f"""WITH RECURSIVE {_EDGES}, hot AS (SELECT cell_id FROM binned WHERE tracer = 'click' GROUP BY cell_id HAVING count(*) >= 7),
+      link AS (SELECT a, b FROM e WHERE a IN (SELECT cell_id FROM hot) AND b IN (SELECT cell_id FROM hot)), reach AS (SELECT cell_id AS a, cell_id AS b FROM hot UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+      SELECT a AS cell_id, min(b) AS part FROM reach GROUP BY a""",
     "asof_users": _asof_sql("view", "user_id"),
     "asof_all": _asof_sql("error", "1"),
     "exact_ratios": "SELECT tracer, CAST(sum(CAST(ratio * 73786976294838206464::DOUBLE AS HUGEINT)) AS VARCHAR) AS units FROM pts GROUP BY tracer",

@@ -108,8 +108,9 @@ def sql(final: str) -> str:
             needed.add(word)
             todo.append(PARTS[word])
     chosen = ",\n".join(f"{k} AS ({q})" for k, q in PARTS.items() if k in needed)
-    if final.startswith("WITH ") and chosen:
-        return f"WITH {chosen},\n{final[5:]}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if final.startswith(head) and chosen:
+            return f"{head}{chosen},\n{final.removeprefix(head)}"
     return f"WITH {chosen}\n{final}" if chosen else final
 
 
