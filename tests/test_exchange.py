@@ -107,8 +107,6 @@ def test_places_in_files_are_those_of_the_tables(spark, n):
 
 
 def test_lines_are_numbered_over_splits_comments_and_parts(spark, tmp_path):
-    from zonalis.sources.scratch import Scratch
-
     n = 5
     lines = [f"{k / 8:23.16f} {0.0:23.16f} {0.0:23.16f}" for k in range(150)]
     (tmp_path / "ratio_1_202401010000.dat").write_text("# first\n" + "\n".join(lines[:70]) + "\n\n # more\n" + "\n".join(lines[70:]) + "\n")
@@ -121,7 +119,7 @@ def test_lines_are_numbered_over_splits_comments_and_parts(spark, tmp_path):
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
-        read = text.scan_positions(spark, str(tmp_path), "ratio", n, Scratch(spark))
+        read = text.scan_positions(spark, str(tmp_path), "ratio", n)
         rows = read.collect()
         assert spark.read.text(f"{tmp_path}/*.dat").rdd.getNumPartitions() > 10
     finally:
@@ -132,7 +130,7 @@ def test_lines_are_numbered_over_splits_comments_and_parts(spark, tmp_path):
         mine = sorted((r.line, r.i, r.j, r.value) for r in rows if (r.tracer, r.stamp) == (tracer, stamp))
         assert mine[:150] == [(k, *places[k + 1], k / 8) for k in range(150)]
         assert mine[150:] == [(150, None, None, 9.0)] * extra
-    only = text.scan_positions(spark, str(tmp_path), "ratio", n, Scratch(spark), stamp="202401020000")
+    only = text.scan_positions(spark, str(tmp_path), "ratio", n, stamp="202401020000")
     assert only.count() == 151
 
 
@@ -184,3 +182,69 @@ def test_commit_takes_only_what_successful_tasks_told(tmp_path):
     again = FieldWriter(str(tmp_path / "out"), True)
     with pytest.raises(ValueError, match="two tasks"):
         again.commit([again.write(iter([row])), again.write(iter([row]))])
+
+
+# Projections and vectors
+
+
+def near_side(lat, lon, lat0, lon0):
+    a, b, c = np.radians(lat), np.radians(lat0), np.radians(lon - lon0)
+    return np.sin(b) * np.sin(a) + np.cos(b) * np.cos(a) * np.cos(c)
+
+
+def test_polygons_are_clipped_at_the_horizon(spark):
+    from zonalis.operators import polygons
+
+    square = lambda lat, lon, s=20.0: [(lat + s, lon - s), (lat + s, lon + s), (lat - s, lon + s), (lat - s, lon - s)]
+    shapes = {1: square(0, 0), 2: square(0, 180), 3: square(0, 90), 4: square(0, 80), 5: [(89.0, 0.0), (89.0, 120.0), (89.0, 240.0)], 6: None}
+    df = spark.createDataFrame([(k, v) for k, v in shapes.items()], "id int, corners array<struct<lat: double, lon: double>>")
+    got = {r.id: (r.polygon, r.area) for r in polygons.clipped_polygons(df, 0.0, 0.0).withColumn("area", polygons.polygon_area("polygon")).collect()}
+    assert got[6][0] is None and got[2][0] == []
+    assert np.allclose([(p.x, p.y) for p in got[1][0]], [(np.cos(np.radians(a)) * np.sin(np.radians(b)), np.sin(np.radians(a))) for a, b in shapes[1]])
+    assert got[1][1] > 0 and len(got[3][0]) == 4 and len(got[4][0]) == 4 and len(got[5][0]) in (3, 4)
+    for k in (3, 4, 5):
+        on_rim = [p for p in got[k][0] if abs(p.x**2 + p.y**2 - 1) < 1e-12]
+        inside = [p for p in got[k][0] if p.x**2 + p.y**2 < 1 - 1e-12]
+        assert len(on_rim) >= 2 - (k == 5) and len(inside) == sum(near_side(a, b, 0, 0) > 1e-12 for a, b in shapes[k])
+
+
+def test_maps(spark):
+    from zonalis.functions import geometry as G
+
+    df = spark.createDataFrame([(0.0, 0.0), (0.0, 270.0), (80.0, 270.0), (-80.0, 0.0), (69.9, 5.0)], "lat double, lon double")
+    lat, lon = F.col("lat"), F.col("lon")
+    rows = df.select(*(c.alias(k) for k, c in zip("abcdef", (*G.miller(lat, lon), *G.polar(lat, lon), *G.polar(lat, lon, -1)), strict=True))).collect()
+    assert tuple(rows[0])[:2] == pytest.approx((0, 0), abs=1e-12) and rows[1].a == pytest.approx(-np.pi / 2)
+    r = 2 * np.tan(np.radians(5))
+    assert (rows[2].c, rows[2].d) == pytest.approx((0, -r), abs=1e-12) and (rows[3].e, rows[3].f) == pytest.approx((r, 0), abs=1e-12)
+    assert rows[2].e is None and rows[4].c is None and rows[4].e is None
+
+
+def test_vectors_turn_with_their_points(spark):
+    from zonalis.functions import geometry as G
+
+    r = random.Random(4)
+    rows = [(r.uniform(-1, 1), r.uniform(-1, 1), r.uniform(-89, 89), r.uniform(0, 360)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "u double, v double, lat double, lon double")
+    u, v, lat, lon = (F.col(c) for c in df.columns)
+    small = 1e-6
+    # a short step along the vector, turned, is a short step along the turned vector
+    stepped = G.rotated(lat + v * small, lon + u * small / F.cos(F.radians(lat)), 30.0, 60.0)
+    here, turned = G.rotated(lat, lon, 30.0, 60.0), G.rotated_vector(u, v, lat, lon, 30.0, 60.0)
+    out = df.select(*(c.alias(k) for k, c in zip("abcdef", (*here, *stepped, *turned), strict=True)), "u", "v").collect()
+    for x in out:
+        east = ((x.d - x.b + 180) % 360 - 180) * np.cos(np.radians(x.a)) / small
+        assert (x.e, x.f) == pytest.approx((east, (x.c - x.a) / small), abs=2e-4)
+        assert x.e**2 + x.f**2 == pytest.approx(x.u**2 + x.v**2)
+
+
+def test_pairs_of_wind_files(spark, tmp_path):
+    lines = lambda values, lon: "".join(f"{q} {k}.5 {lon}\n" for k, q in enumerate(values))
+    (tmp_path / "u_202401010000.dat").write_text("# u\n" + lines([1.0, -9999.0, 3.0], 7))
+    (tmp_path / "v_202401010000.dat").write_text(lines([4.0, 5.0, 6.0], 7))
+    rows = sorted(tuple(r) for r in text.paired_winds(spark, str(tmp_path)).drop("stamp").collect())
+    assert rows == [(0, 1.0, 4.0, 0.5, 7.0), (1, None, 5.0, 1.5, 7.0), (2, 3.0, 6.0, 2.5, 7.0)]
+    for broken in (lines([4.0, 5.0, 6.0], 8), lines([4.0, 5.0], 7), lines([4.0] * 4, 7)):
+        (tmp_path / "v_202401010000.dat").write_text(broken)
+        with pytest.raises(Exception, match="different points"):
+            text.paired_winds(spark, str(tmp_path)).collect()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from zonalis.functions import spiral
 from zonalis.operators import graph
 from zonalis.sources import tables
-from zonalis.sources.scratch import Scratch, new_path
+from zonalis.sources.scratch import new_path
 
 ROWS = "k string, day long, x double, note string"
 
@@ -93,7 +93,7 @@ def test_connected_parts(spark, kind):
         "cycle": [(k, (k + 1) % 240) for k in range(240)], "none": [],
     }[kind]
     table = spark.createDataFrame([(n,) for n in nodes] + [(3,)], "cell_id long")
-    got = {x.cell_id: x.part for x in graph.connected_parts(table, pairs_of(spark, pairs + pairs[:3]), Scratch(spark)).collect()}
+    got = {x.cell_id: x.part for x in graph.connected_parts(table, pairs_of(spark, pairs + pairs[:3])).collect()}
     assert got == plain_parts(nodes, pairs)
 
 

@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalis.operators import exact, timeline
-from zonalis.sources.scratch import Scratch
 
 
 def plain_brackets(points, marks):
@@ -38,7 +37,7 @@ def test_brackets(spark, seed, share, marks_share):
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "17")  # a key's line is cut into several parts
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        got = timeline.bracketed(spark.createDataFrame(points, "name string, k string, t long"), spark.createDataFrame(marks, "k string, t long, value double"), ("k",), Scratch(spark))
+        got = timeline.bracketed(spark.createDataFrame(points, "name string, k string, t long"), spark.createDataFrame(marks, "k string, t long, value double"), ("k",))
         assert got.columns == ["k", "t", "name", "t0", "v0", "t1", "v1"]
         rows = [(x.name, x.k, x.t, x.t0, x.v0, x.t1, x.v1) for x in got.collect()]
     finally:
@@ -49,10 +48,10 @@ def test_brackets(spark, seed, share, marks_share):
 
 def test_brackets_without_keys_or_rows(spark):
     points, marks = spark.createDataFrame([(5,), (7,)], "t long"), spark.createDataFrame([(6, 1.0)], "t long, value double")
-    got = timeline.bracketed(points, marks, (), Scratch(spark)).orderBy("t").collect()
+    got = timeline.bracketed(points, marks, ()).orderBy("t").collect()
     assert [tuple(x) for x in got] == [(5, None, None, 6, 1.0), (7, 6, 1.0, None, None)]
-    assert timeline.bracketed(points.limit(0), marks, (), Scratch(spark)).count() == 0
-    assert [x.t0 for x in timeline.bracketed(points, marks.limit(0), (), Scratch(spark)).collect()] == [None, None]
+    assert timeline.bracketed(points.limit(0), marks, ()).count() == 0
+    assert [x.t0 for x in timeline.bracketed(points, marks.limit(0), ()).collect()] == [None, None]
 
 
 def test_lines_between_marks(spark):

@@ -201,3 +201,30 @@ def interface_place(face: Column, n: int) -> tuple[Column, Column, Column]:
     j = F.when(a == b, k).when(a < b, slow).otherwise(k - slow)
     down = F.when(a == b, k).otherwise(k - j)
     return i, third * a + j + 1, third * b + down + 1
+
+
+def rotated_vector(u: Column, v: Column, lat: Column, lon: Column, alpha: float, beta: float) -> tuple[Column, Column]:
+    """East and north components of a tangent vector after the turns of ``rotated``, at the place that its foot then has.
+
+    A vector at a pole has its components along the meridian ``lon`` there.
+    """
+    a, p = F.radians(lon + F.lit(alpha)), F.radians(lat)
+    x, y, z = -u * F.sin(a) - v * F.sin(p) * F.cos(a), u * F.cos(a) - v * F.sin(p) * F.sin(a), v * F.cos(p)
+    c, s = F.cos(F.radians(F.lit(beta))), F.sin(F.radians(F.lit(beta)))
+    x, z = c * x + s * z, c * z - s * x
+    new_lat, new_lon = (F.radians(w) for w in rotated(lat, lon, alpha, beta))
+    return y * F.cos(new_lon) - x * F.sin(new_lon), z * F.cos(new_lat) - (x * F.cos(new_lon) + y * F.sin(new_lon)) * F.sin(new_lat)
+
+
+def miller(lat: Column, lon: Column, lon0: float = 0.0) -> tuple[Column, Column]:
+    """x and y of the Miller cylindrical projection; x lies from -pi to pi."""
+    x = F.radians(F.pmod(lon - F.lit(lon0) + F.lit(180.0), F.lit(360.0)) - F.lit(180.0))
+    return x, F.lit(1.25) * F.log(F.tan(F.pi() / 4 + F.lit(0.4) * F.radians(lat)))
+
+
+def polar(lat: Column, lon: Column, pole: int = 1, lon0: float = 270.0, bound: float = 70.0) -> tuple[Column, Column]:
+    """x and y of the stereographic projection around the north (1) or south (-1) pole, ``lon0`` downwards; null beyond the latitude ``bound``."""
+    inside = lat * pole >= bound
+    r = F.lit(2.0) * F.tan(F.pi() / 4 - F.radians(lat * pole) / 2)
+    turn = F.radians(lon - F.lit(lon0))
+    return F.when(inside, r * F.sin(turn)), F.when(inside, -r * F.cos(turn) * pole)

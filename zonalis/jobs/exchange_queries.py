@@ -11,7 +11,7 @@ from zonalis.jobs import queries as Q
 from zonalis.jobs.oracle import rnd, sql
 from zonalis.jobs.oracle_queries import FINALS as _SQL
 from zonalis.operators import diagnostics as D
-from zonalis.operators import exact, graph, timeline
+from zonalis.operators import exact, graph, polygons, timeline
 from zonalis.operators import overlap as O
 from zonalis.operators import remap as R
 from zonalis.sources import grid, sink, tables, text
@@ -106,7 +106,7 @@ def positional_fields(spark, sf_dir):
     """The same, written with the coordinates of other places and in parts of 100 lines: cells are told by the place in the file."""
     field, n = _weekly(spark, sf_dir)
     base = sink.write_named(_ratio_lines(field, F.col("cell_id") % 90 * F.lit(1.0), F.lit(7.0)), new_path(spark, "stored"), lines_per_file=100)
-    read = text.scan_positions(spark, base, "ratio", n, Scratch(spark))
+    read = text.scan_positions(spark, base, "ratio", n)
     return read.select(F.col("tracer").cast("long").alias("tracer"), "stamp", G.cell_id(F.col("i"), F.col("j"), n).alias("cell_id"), F.col("value").alias("q"))
 
 
@@ -116,7 +116,7 @@ def file_order(spark, sf_dir):
     i, j = F.col("i"), F.col("j")
     base = sink.write_named(_ratio_lines(field, G.row_latitude(i, n), G.cell_longitude(i, j, n)), new_path(spark, "stored"))
     lines = spark.read.text(text.data_path(base, "ratio")).withColumn("name", F.regexp_extract(F.col("_metadata.file_path"), r"/(ratio_[^/]*\.dat)", 1))
-    read = text.numbers(text.line_numbers(lines, Scratch(spark))).withColumn("i", G.point_row(F.col("lat"), n))
+    read = text.numbers(text.line_numbers(lines)).withColumn("i", G.point_row(F.col("lat"), n))
     cell = G.cell_id(F.col("i"), G.point_column(F.col("i"), F.col("lon"), n), n)
     known = F.when(F.col("value") != D.UNDEFINED, F.col("value")).otherwise(0.0)
     return Q.rounded(read.groupBy("name").agg(F.count("*").alias("lines"), F.count_if(cell != F.col("line") + 1).alias("misplaced"), F.sum(F.col("line") * known).alias("moment")), "moment", digits=5)
@@ -140,7 +140,7 @@ def positional_winds(spark, sf_dir):
     v = grid.interfaces(spark, n).withColumn("place", G.interfaces_above(i, n) + F.row_number().over(order) - 1).join(above, "a_id").join(below, "b_id")
     v = v.select(stamp, F.col("place").cast("long").alias("place"), F.round(F.col("a") - F.col("b"), 9).alias("value"), "lat", F.col("lon_mid").alias("lon"))
     base = sink.write_named(sink.stored_lines(u, "u").unionByName(sink.stored_lines(v, "v")), new_path(spark, "stored"), lines_per_file=1000)
-    read = [text.scan_positions(spark, base, k, n, Scratch(spark)).select(F.lit(k).alias("kind"), "stamp", "i", "j", "l", "value") for k in "uv"]
+    read = [text.scan_positions(spark, base, k, n).select(F.lit(k).alias("kind"), "stamp", "i", "j", "l", "value") for k in "uv"]
     return read[0].unionByName(read[1])
 
 
@@ -152,7 +152,7 @@ def _asof(kind: str, keys: tuple[str, ...]):
         """Values at the times of all events, on the lines between the values of events of one kind, which come at uneven times."""
         events = Q._read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "value")
         marks = events.filter(F.col("event_type") == kind).select(*keys, "t", "value")
-        at = timeline.bracketed(events.select("event_id", *keys, "t"), marks, keys, Scratch(spark))
+        at = timeline.bracketed(events.select("event_id", *keys, "t"), marks, keys)
         value = timeline.interpolated(*(F.col(c) for c in ("t", "t0", "v0", "t1", "v1")))
         return Q.rounded(at.select("event_id", "t0", "t1", value.alias("value")), "value", digits=8)
 
@@ -223,13 +223,57 @@ def observed_parts(spark, sf_dir):
     """Cells with seven clicks or more, and the connected part of such cells that each lies in, by the stored adjacency."""
     n = Q.grid_size(spark, sf_dir)
     clicks = R.bin_points(Q.observations(spark, sf_dir).filter("tracer = 'click'"), n).groupBy("cell_id").agg(F.count("*").alias("clicks")).filter("clicks >= 7")
-    return graph.connected_parts(clicks, graph.entries(_graph_file(spark, grid.edges(spark, n))), Scratch(spark))
+    return graph.connected_parts(clicks, graph.entries(_graph_file(spark, grid.edges(spark, n))))
+
+
+# Projections and vectors
+
+#: Where the registered query looks at the sphere from: no corner of a cell lies on its horizon.
+VIEW = (40.1, 12.3)
+
+
+def clipped_cells(spark, sf_dir):
+    """Cells with the number of their events as polygons seen from one side: corners after clipping, area and extent on the map."""
+    n = Q.grid_size(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    cells = R.bin_points(Q.observations(spark, sf_dir), n).groupBy("cell_id", "i", "j").agg(F.count("*").alias("events"))
+    north, south, west, east = G.north_edge(i, n), G.north_edge(i + 1, n), (j - 1) * G.dlon(i, n), j * G.dlon(i, n)
+    corner = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    cells = cells.withColumn("corners", F.array(corner(north, west), corner(north, east), corner(south, east), corner(south, west)))
+    seen = polygons.clipped_polygons(cells, *VIEW).filter(F.size("polygon") > 0)
+    xs, ys = F.col("polygon.x"), F.col("polygon.y")
+    out = seen.select("cell_id", "events", F.size("polygon").alias("corners"), polygons.polygon_area("polygon").alias("area"), F.array_min(xs).alias("x_min"), F.array_max(xs).alias("x_max"), F.array_min(ys).alias("y_min"), F.array_max(ys).alias("y_max"))
+    return Q.rounded(out, "area", "x_min", "x_max", "y_min", "y_max", digits=7)
+
+
+def projected_points(spark, sf_dir):
+    """Places of the events on the Miller map, and around the poles on the stereographic maps."""
+    at = Q.observations(spark, sf_dir)
+    lat, lon = F.col("lat"), F.col("lon")
+    (mx, my), (nx, ny), (sx, sy) = G.miller(lat, lon), G.polar(lat, lon), G.polar(lat, lon, -1)
+    out = at.select("event_id", mx.alias("miller_x"), my.alias("miller_y"), F.coalesce(nx, sx).alias("polar_x"), F.coalesce(ny, sy).alias("polar_y"))
+    return Q.rounded(out, "miller_x", "miller_y", "polar_x", "polar_y", digits=7)
+
+
+def vector_files(spark, sf_dir):
+    """Vectors of two tracers' fields at the cells' centres, written as files of u and v, read together and turned with the frame."""
+    n = Q.grid_size(spark, sf_dir)
+    i, j = F.col("i"), F.col("j")
+    field = Q.event_field(spark, sf_dir, n)
+    base = new_path(spark, "stored")
+    lines = [field.filter(F.col("tracer") == t).select(F.lit(202401010000).cast("long").alias("stamp"), (F.col("cell_id") - 1).alias("place"), (F.col("q") - 0.3).alias("value"), G.row_latitude(i, n).alias("lat"), G.cell_longitude(i, j, n).alias("lon")) for t in ("click", "view")]
+    sink.write_named(sink.stored_lines(lines[0], "u").unionByName(sink.stored_lines(lines[1], "v")), base, lines_per_file=500)
+    read = text.paired_winds(spark, base)
+    lat, lon = G.rotated(F.col("lat"), F.col("lon"), 30.0, 60.0)
+    u, v = G.rotated_vector(F.col("u"), F.col("v"), F.col("lat"), F.col("lon"), 30.0, 60.0)
+    return Q.rounded(read.select((F.col("line") + 1).alias("cell_id"), lat.alias("lat"), lon.alias("lon"), u.alias("u"), v.alias("v")), "lat", "lon", "u", "v", digits=7)
 
 
 QUERIES = {
     "remap_unrelated": remap_unrelated, "remap_mass": remap_mass, "stored_fields": stored_fields, "positional_fields": positional_fields, "file_order": file_order,
     "positional_winds": positional_winds, "asof_users": _asof("view", ("user_id",)), "asof_all": _asof("error", ()), "exact_ratios": exact_ratios, "exact_mass": exact_mass,
-    "error_log": error_log, "spiral_nearest": spiral_nearest, "damaged_graph": damaged_graph, "observed_parts": observed_parts}
+    "error_log": error_log, "spiral_nearest": spiral_nearest, "damaged_graph": damaged_graph, "observed_parts": observed_parts,
+    "clipped_cells": clipped_cells, "projected_points": projected_points, "vector_files": vector_files}
 
 _WEEKLY = """WITH seen AS (SELECT tracer, CAST(strftime(date_trunc('week', ts), '%Y%m%d%H%M') AS BIGINT) AS stamp, cell_id, round(avg(ratio), 9) AS q FROM binned JOIN (SELECT event_id, ts FROM events) USING (event_id) GROUP BY ALL),
   weekly AS (SELECT k.number AS tracer, w.stamp, c.cell_id, s.q FROM (SELECT DISTINCT tracer, stamp FROM seen) w JOIN (SELECT tracer, CAST(row_number() OVER (ORDER BY tracer) AS BIGINT) AS number FROM (SELECT DISTINCT tracer FROM seen)) k USING (tracer)
@@ -250,6 +294,21 @@ def _asof_sql(kind: str, key: str) -> str:
 FINALS: dict[str, str] = {
     "stored_fields": f"{_WEEKLY} SELECT * FROM weekly",
     "positional_fields": f"{_WEEKLY} SELECT * FROM weekly",
+    "clipped_cells": f"""WITH eye AS (SELECT radians(40.1::DOUBLE) AS p0, radians(12.3::DOUBLE) AS l0), o AS (SELECT cell_id, count(*) AS events FROM binned GROUP BY ALL),
+      c AS (SELECT o.cell_id, o.events, k, CASE WHEN k < 2 THEN north ELSE south END AS la, CASE WHEN k IN (0, 3) THEN (j - 1) * dlon ELSE j * dlon END AS lo FROM o JOIN cells USING (cell_id), (SELECT unnest([0, 1, 2, 3]) AS k)),
+      x AS (SELECT *, cos(radians(la)) * cos(radians(lo)) AS x, cos(radians(la)) * sin(radians(lo)) AS y, sin(radians(la)) AS z FROM c), d AS (SELECT x.*, p0, l0, cos(p0) * cos(l0) * x + cos(p0) * sin(l0) * y + sin(p0) * z AS d FROM x, eye),
+      e AS (SELECT a.*, b.d AS d2, a.d / (a.d - b.d) AS t, b.x AS bx, b.y AS by_, b.z AS bz FROM d a JOIN d b ON b.cell_id = a.cell_id AND b.k = (a.k + 1) % 4),
+      h AS (SELECT cell_id, events, 2 * k AS o, x, y, z, p0, l0 FROM e WHERE d >= 0 UNION ALL SELECT cell_id, events, 2 * k + 1, hx / s, hy / s, hz / s, p0, l0 FROM (SELECT *, sqrt(hx * hx + hy * hy + hz * hz) AS s FROM (
+        SELECT *, x + t * (bx - x) AS hx, y + t * (by_ - y) AS hy, z + t * (bz - z) AS hz FROM e WHERE (d >= 0) <> (d2 >= 0)))),
+      m AS (SELECT cell_id, events, o, cos(l0) * y - sin(l0) * x AS px, cos(p0) * z - sin(p0) * (cos(l0) * x + sin(l0) * y) AS py FROM h),
+      w AS (SELECT *, coalesce(lead(px) OVER g, first_value(px) OVER g) AS qx, coalesce(lead(py) OVER g, first_value(py) OVER g) AS qy FROM m WINDOW g AS (PARTITION BY cell_id ORDER BY o))
+      SELECT cell_id, events, count(*) AS corners, {rnd('sum(qx * py - px * qy) / 2', 'area', 7)}, {rnd('min(px)', 'x_min', 7)}, {rnd('max(px)', 'x_max', 7)}, {rnd('min(py)', 'y_min', 7)}, {rnd('max(py)', 'y_max', 7)} FROM w GROUP BY cell_id, events""",
+    "projected_points": f"""SELECT event_id, {rnd('radians(CASE WHEN lon >= 180 THEN lon - 360 ELSE lon END)', 'miller_x', 7)}, {rnd('1.25::DOUBLE * ln(tan(pi() / 4 + 0.4::DOUBLE * radians(lat)))', 'miller_y', 7)},
+      {rnd('CASE WHEN abs(lat) >= 70 THEN 2 * tan(radians((90 - abs(lat)) / 2)) * sin(radians(lon - 270)) END', 'polar_x', 7)}, {rnd('CASE WHEN abs(lat) >= 70 THEN -sign(lat) * 2 * tan(radians((90 - abs(lat)) / 2)) * cos(radians(lon - 270)) END', 'polar_y', 7)} FROM pts""",
+    "vector_files": f"""WITH w AS (SELECT a.cell_id, radians(a.lat) AS p, radians(a.lon + 30) AS l, a.q - 0.3::DOUBLE AS u, b.q - 0.3::DOUBLE AS v FROM field a JOIN field b USING (cell_id) WHERE a.tracer = 'click' AND b.tracer = 'view'),
+      t AS (SELECT *, cos(p) * cos(l) AS x, cos(p) * sin(l) AS y, sin(p) AS z, -u * sin(l) - v * sin(p) * cos(l) AS a, u * cos(l) - v * sin(p) * sin(l) AS b, v * cos(p) AS c FROM w),
+      r AS (SELECT cell_id, cos(radians(60)) * x + sin(radians(60)) * z AS x, y, cos(radians(60)) * z - sin(radians(60)) * x AS z, cos(radians(60)) * a + sin(radians(60)) * c AS a, b, cos(radians(60)) * c - sin(radians(60)) * a AS c FROM t)
+      SELECT cell_id, {rnd('degrees(asin(z))', 'lat', 7)}, {rnd('(degrees(atan2(y, x)) + 360) % 360', 'lon', 7)}, {rnd('(x * b - y * a) / sqrt(x * x + y * y)', 'u', 7)}, {rnd('(c * (x * x + y * y) - z * (x * a + y * b)) / sqrt(x * x + y * y)', 'v', 7)} FROM r""",
     "error_log": f"SELECT *, CASE WHEN (stamp // 10000) % 3 > 0 THEN 1 ELSE 2 END AS version, count(*) OVER (PARTITION BY tracer) AS stored FROM ({sql(_SQL['stored_errors'])})",
     "spiral_nearest": f"""WITH s AS (SELECT greatest(12, count(*) // 24) AS points FROM events), k AS (SELECT k, sqrt(k - 0.5::DOUBLE) * cos(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2)) AS px, sqrt(k - 0.5::DOUBLE) * sin(2 * pi() * k / ((1 + sqrt(5::DOUBLE)) / 2)) AS py
         FROM (SELECT unnest(range(1, points + 1)) AS k FROM s)), d AS (SELECT event_id, ratio, sqrt(points * (90 - lat) / 180) * cos(radians(lon)) AS x, sqrt(points * (90 - lat) / 180) * sin(radians(lon)) AS y FROM pts, s),

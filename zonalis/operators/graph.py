@@ -25,13 +25,14 @@ def isolated(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("cell_id").join(named, "cell_id", "left_anti")
 
 
-def connected_parts(nodes: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_parts(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(cell_id, part): the least node of the connected part of each node; pairs count both ways, those with other nodes don't.
 
     In each round a node whose hash is the least among its neighbours takes in all neighbours that have no lesser such node beside them;
     what is left of the edges links the nodes taken in. A constant share of the nodes goes in each round, whatever the shape of the
     graph, so a long chain takes no more rounds than a star. Rounds are written to the shared folder; groups are pre-aggregated.
     """
+    scratch = Scratch(nodes.sparkSession)
     known = scratch.table(nodes.select("cell_id").distinct(), "nodes")
     ends = known.withColumnRenamed("cell_id", "a"), known.withColumnRenamed("cell_id", "b")
     both = pairs.filter("a <> b").select("a", "b").join(ends[0], "a", "left_semi").join(ends[1], "b", "left_semi")

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from zonalis.sources.scratch import Scratch
 
 
-def bracketed(points: DataFrame, marks: DataFrame, keys: tuple[str, ...], scratch: Scratch, time: str = "t") -> DataFrame:
+def bracketed(points: DataFrame, marks: DataFrame, keys: tuple[str, ...], time: str = "t") -> DataFrame:
     """``points`` with (t0, v0) and (t1, v1), the marks (*keys, t, value) around their time; null where there is none.
 
     A mark at the time of a point is before it. Of marks of one key and time the one of the largest value counts. Points and marks
     of a null time or with a null value are no marks; null keys are keys like others. Points are given once each, repeats too.
     """
+    scratch = Scratch(points.sparkSession)
     spare = [c for c in points.columns if c not in (*keys, time)]
     known = marks.filter(F.col(time).isNotNull() & F.col("value").isNotNull()).groupBy(*keys, time).agg(F.max("value").alias("_value"))
     own = F.struct(*(F.col(c) for c in spare)) if spare else F.struct(F.lit(0).alias("_none"))

@@ -169,14 +169,14 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
     return x.select(F.col("x")[0].cast("long").alias("cell_id"), F.col("x")[1].cast("int").alias("mask"), *(F.col("x")[k].alias(c) for c, k in names))
 
 
-def line_numbers(lines: DataFrame, scratch: Scratch) -> DataFrame:
+def line_numbers(lines: DataFrame) -> DataFrame:
     """Lines (name, value) with their number in the dataset, from 0, as a column ``line``; ``lines`` comes straight from files.
 
     A line's place in its split is the row's own; splits are counted and the counts of those before added, a row a split. So no task sees
     more than a split, and files of any length are numbered. The splits are seen once: what is read is written first.
     """
     seen = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_mark", F.monotonically_increasing_id())
-    seen = scratch.table(seen, "numbered")
+    seen = Scratch(lines.sparkSession).table(seen, "numbered")
     before = Window.partitionBy("name").orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = seen.groupBy("name", "_file", "_start").agg(F.count("*").alias("_lines"), F.min("_mark").alias("_first"))
     splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0))).drop("_lines", "name")
@@ -184,7 +184,7 @@ def line_numbers(lines: DataFrame, scratch: Scratch) -> DataFrame:
     return joined.withColumn("line", (F.col("_before") + F.col("_mark") - F.col("_first")).cast("long")).drop("_file", "_start", "_mark", "_first", "_before")
 
 
-def scan_positions(spark: SparkSession, base: str, kind: str, n: int, scratch: Scratch, stamp: str = "*", tracer: str = "*") -> DataFrame:
+def scan_positions(spark: SparkSession, base: str, kind: str, n: int, stamp: str = "*", tracer: str = "*") -> DataFrame:
     """(tracer, stamp, line, i, j, l, value) of stored data, placed by the number of the line: only the first field is read.
 
     ``ratio`` has cells (i, j), ``u`` zonal faces (i, j from 0), ``v`` interfaces of (i, j) and (i + 1, l). Comments and blank lines don't count. Lines past
@@ -195,10 +195,29 @@ def scan_positions(spark: SparkSession, base: str, kind: str, n: int, scratch: S
     name = F.regexp_extract(F.col("_metadata.file_path"), r"/((?:ratio_|u_|v_)[^/]*)\.dat(?:/[^/]*)?$", 1)
     kept = lines.filter(~F.col("value").contains("#") & (text != "")).withColumn("name", name)
     kept = kept.withColumn("value", F.nullif(F.split(text, r"\s+", 2)[0].cast("double"), F.lit(UNDEFINED)))
-    read = line_numbers(kept, scratch)
+    read = line_numbers(kept)
     size = totals(n)[{"ratio": "cells", "u": "zonal_faces", "v": "interfaces"}[kind]]
     at = F.when(F.col("line") < size, F.col("line"))
     place = {"ratio": lambda: G.cell_place(at + 1, n), "u": lambda: G.face_place(at, n), "v": lambda: G.interface_place(at, n)}[kind]()
     place = [*place, F.lit(None).cast("long")][:3]
     which = F.nullif(F.regexp_extract("name", "^ratio_(.*)_[0-9]+$", 1), F.lit("")).alias("tracer"), F.regexp_extract("name", "_([0-9]+)$", 1).cast("long").alias("stamp")
     return read.select(*which, "line", *(c.alias(k) for c, k in zip(place, "ijl", strict=True)), "value")
+
+
+def paired_winds(spark: SparkSession, base: str, stamp: str = "*") -> DataFrame:
+    """(stamp, line, u, v, lat, lon) of the files ``u_<stamp>.dat`` and ``v_<stamp>.dat`` that hold both components at the same points.
+
+    Lines of one number belong together; an error if their coordinates differ or if one file has a line that the other lacks.
+    """
+
+    def component(kind: str) -> DataFrame:
+        lines = spark.read.text(data_path(base, kind, stamp))
+        name = F.regexp_extract(F.col("_metadata.file_path"), rf"/{kind}_([0-9]+)\.dat(?:/[^/]*)?$", 1)
+        kept = lines.filter(~F.col("value").contains("#") & (F.trim("value") != "")).withColumn("name", name)
+        read = numbers(line_numbers(kept))
+        return read.select("name", "line", F.struct(F.nullif("value", F.lit(UNDEFINED)).alias("value"), "lat", "lon").alias(kind))
+
+    both = component("u").join(component("v"), ["name", "line"], "full")
+    apart = F.coalesce((F.col("u.lat") != F.col("v.lat")) | (F.col("u.lon") != F.col("v.lon")), F.lit(True))
+    told = F.raise_error(F.concat(F.lit("components at different points: "), F.col("name"), F.lit(", line "), F.col("line").cast("string")))
+    return both.select(F.col("name").cast("long").alias("stamp"), "line", F.when(apart, told.cast("double")).otherwise(F.col("u.value")).alias("u"), F.col("v.value").alias("v"), F.col("u.lat").alias("lat"), F.col("u.lon").alias("lon"))
