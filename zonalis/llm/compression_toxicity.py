@@ -1,16 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text, of which those passages count that hold
-byte strings far more common in toxic than in ordinary documents. A text is cut into windows; each is compressed once with
-the ordinary dictionary and once with the ordinary and the toxic one together. The bytes that the toxic dictionary saves
-are the window's distance, and a logistic function, calibrated on documents that the dictionaries haven't seen, turns the
-distances of a document into its score.
+Two zstandard dictionaries are trained on labelled texts: one on ordinary text, one on toxic wording. A text is cut into overlapping
+windows; each is compressed once with the ordinary dictionary and once with the toxic one before the ordinary one, so that both know
+ordinary text alike. The bytes that the toxic wording saves are the window's distance, and a logistic function, calibrated on
+documents whose toxic texts the dictionary hasn't seen, turns the distances of a document into its score.
+
+Most of a toxic text is ordinary prose. Its wording is the words that stand in toxic texts more than chance allows among all words of the
+sample, each counted once for each pair of neighbours that it has, so that copies and shared passages count once; all of them come
+into the dictionary, rare ones like common ones.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,18 +28,16 @@ from zonalis.llm.common import keyed_text, labelled_sample, remainder, slices
 #: of their ids; longer texts than MAX_FIT_CHARS are left out of the fit.
 TOXIC_ROWS, ORDINARY_ROWS = 3_000, 6_000
 MAX_FIT_CHARS = 20_000
-WINDOW_BYTES = 64
-ORDINARY_DICT, TOXIC_DICT = 8_192, 2_048
-LEVEL, MIN_MATCH = 6, 5
-#: Byte strings of this length are compared between the classes.
-GRAM, GRAM_BITS = 5, 20
-#: A string marks toxic passages if it stands in this share of the toxic documents at least, and its share there is
-#: e ** LOG_ODDS times that in ordinary documents.
-LEAST_SHARE, LOG_ODDS = 0.005, 4.0
-#: Strings of a run that are less common than this share of its commonest are its surroundings.
-CORE = 0.5
+WINDOW_BYTES, STRIDE = 48, 24
+#: Bytes of the dictionaries (the first is the library's own default), and of a sample that the ordinary one is trained on.
+ORDINARY_DICT, TOXIC_DICT, SAMPLE_BYTES = 112_640, 8_192, 128
+LEVEL, MIN_MATCH = 12, 5
+#: Least number of different surroundings that a toxic word has been seen in.
+LEAST_SEEN = 3
+#: Parts of the sample: what calibrates is scored with the wording of the others.
+FOLDS = 5
 #: Savings of 1, 2, ... bytes that are counted apart.
-SAVINGS = 8
+SAVINGS = 12
 
 
 def plain(text: str | None) -> bytes:
@@ -45,44 +45,49 @@ def plain(text: str | None) -> bytes:
     return b" " + b" ".join((text or "").encode().lower().split()) + b" "
 
 
-def _grams(text: bytes) -> np.ndarray:
-    a = np.frombuffer(text, np.uint8).astype(np.uint64)
-    size = len(a) - GRAM + 1
-    if size <= 0:
-        return np.zeros(0, np.int64)
-    h = np.zeros(size, np.uint64)
-    for k in range(GRAM):
-        h = h * np.uint64(257) + a[k : k + size]
-    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
+class Wording:
+    """The words of labelled texts with their surroundings; every text is read once, whatever the number of folds."""
 
+    def __init__(self, texts: list[bytes], toxic: list[bool]):
+        self.ids: dict[bytes, int] = {}
+        self.toxic = np.array(toxic, bool)
+        self.found = [self._words(t) for t in texts]
 
-def marked_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[list[bytes]]:
-    """For each toxic text its passages that strings of the toxic class cover.
+    def _words(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words of a text, and a number for each with the words around its first place."""
+        a = np.array([0, *(self.ids.setdefault(w, len(self.ids) + 1) for w in text.split()), 0], np.int64)
+        words, at = np.unique(a[1:-1], return_index=True)
+        with np.errstate(over="ignore"):
+            around = (words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (a[at].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (a[at + 2].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return words, around
+
+    def _seen(self, rows: np.ndarray) -> np.ndarray:
+        """In how many different surroundings each word stands in some of the texts."""
+        if not len(rows):
+            return np.zeros(len(self.ids) + 1)
+        words, around = (np.concatenate([self.found[r][k] for r in rows]) for k in (0, 1))
+        _, first = np.unique(around, return_index=True)
+        return np.bincount(words[first], minlength=len(self.ids) + 1).astype(float)
+
+    def marked(self, rows: np.ndarray) -> list[bytes]:
+        """Words that are in toxic texts more often than chance allows, the commonest last.
+
+        By the bound of Chernoff on the binomial tail fewer than one of all words is expected here if no word told the classes apart.
+        """
+        a, b = self._seen(rows[self.toxic[rows]]), self._seen(rows[~self.toxic[rows]])
+        n, share = a + b, max(a.sum(), 1e-9) / max(a.sum() + b.sum(), 1e-9)
+        if share >= 1:
+            return []
+        k = np.clip(a / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+        chance = n * (k * np.log(k / share) + (1 - k) * np.log((1 - k) / (1 - share)))
+        good = (a >= LEAST_SEEN) & (k > share) & (chance >= np.log(max(1, np.count_nonzero(a))))
+        return sorted((w for w, i in self.ids.items() if good[i]), key=lambda w: (a[self.ids[w]], w))
 
-    Of a run of such strings only those count that are nearly as common as its commonest: the rest is its surroundings.
-    """
-    share = np.zeros((2, 1 << GRAM_BITS))
-    for k, texts in enumerate((ordinary, toxic)):
-        for t in texts:
-            share[k, np.unique(_grams(t))] += 1
-    odds = np.log((share[1] + 0.5) / (len(toxic) + 1)) - np.log((share[0] + 0.5) / (len(ordinary) + 1))
-    marks = np.where((share[1] >= max(3, LEAST_SHARE * len(toxic))) & (odds > LOG_ODDS), share[1], 0)
-    out = []
-    for t in toxic:
-        common = marks[_grams(t)]
-        hit = np.zeros(len(common), np.int8)
-        for a, b in _runs(common > 0):
-            hit[a:b] = common[a:b] >= CORE * common[a:b].max()
-        cover = np.zeros(len(t), np.int8)
-        for k in range(GRAM):
-            cover[k : k + len(hit)] |= hit
-        out.append([t[a:b] for a, b in _runs(cover > 0)])
-    return out
-
-
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
-    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+def toxic_dictionary(words: list[bytes]) -> bytes:
+    """The words, blanks between them; where they are too many, trained on them."""
+    content = b" " + b" ".join(words) + b" "
+    return content if len(content) <= TOXIC_DICT else train_dictionary([b" %b " % w for w in words], TOXIC_DICT)
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
@@ -113,7 +118,8 @@ class Distances:
 def distance_features(text: bytes, compressors: tuple) -> np.ndarray:
     """Of all windows of a text: shares of windows by bytes saved, the largest saving, the mean one, and the length."""
     ordinary, toxic = compressors
-    saved = [len(ordinary(w)) - len(toxic(w)) for w in (text[a : a + WINDOW_BYTES] for a in range(0, len(text), WINDOW_BYTES))]
+    windows = (text[a : a + WINDOW_BYTES] for a in range(0, max(1, len(text) - WINDOW_BYTES + STRIDE), STRIDE))
+    saved = [len(ordinary(w)) - len(toxic(w)) for w in windows]
     counts = np.bincount(np.clip(saved, 0, SAVINGS), minlength=SAVINGS + 1)[1:]
     n = len(saved)
     return np.array([*np.log1p(counts * 20 / n), *np.minimum(counts, 3), min(max(saved), SAVINGS), sum(saved) / n, np.log(n)], float)
@@ -150,29 +156,31 @@ def calibrate(distances: Distances, x: np.ndarray, y: np.ndarray, l2: float = 0.
 def fit_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
     """Learn from ``labels.toxic`` of documents whose crc32(id) mod ``modulus`` is not ``held_out``.
 
-    The ids of the bounded sample are broadcast, and its distinct texts (each under MAX_FIT_CHARS) come to the driver: half
-    of them train the dictionaries, the others the calibration. With a class missing all scores are those of the other
-    class.
+    The ids of the bounded sample are broadcast, and its distinct texts (each under MAX_FIT_CHARS) come to the driver. With a class missing
+    all scores are those of the other class. Null and empty texts of the sample count as texts without words.
     """
     sample = labelled_sample(labels, "toxic", {0: ordinary_rows, 1: toxic_rows}, remainder("doc_id", modulus) != held_out, id_col)
     known = keyed_text(docs, id_col, text_col).filter(F.length("text") <= MAX_FIT_CHARS).join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("label").alias("label"))
     rows = sorted((plain(r.text), r.label) for r in known.collect())
-    toxic, ordinary = [t for t, y in rows if y == 1], [t for t, y in rows if y == 0]
-    if not toxic or not ordinary:
+    return fit_texts([t for t, _ in rows], [y == 1 for _, y in rows])
+
+
+def fit_texts(texts: list[bytes], toxic: list[bool]) -> ToxicityModel:
+    """The model of some normal texts: the wording of all for the dictionary, that of the other folds for each fold's calibration."""
+    if all(toxic) or not any(toxic):
         zero = np.zeros(2 * SAVINGS + 3)
-        return ToxicityModel(Distances(b" ", b" "), zero, zero + 1, zero, 3.0 if toxic else -3.0)
-    distances = fit_distances(toxic[::2], ordinary[::2])
-    own = distances.compressors()
-    unseen = [(t, 1) for t in toxic[1::2] or toxic] + [(t, 0) for t in ordinary[1::2] or ordinary]
-    return calibrate(distances, np.array([distance_features(t, own) for t, _ in unseen]), np.array([y for _, y in unseen], float))
-
-
-def fit_distances(toxic: list[bytes], ordinary: list[bytes]) -> Distances:
-    passages = marked_passages(toxic, ordinary)
-    common = Counter(p for own in passages for p in own)
-    samples = [b"".join(sorted(own, key=lambda p: (common[p], p))) for own in passages]
-    everyday = [t[a : a + 128] for t in ordinary for a in range(0, len(t), 1024)]
-    return Distances(train_dictionary(everyday, ORDINARY_DICT), train_dictionary([s for s in samples if len(s) >= 8], TOXIC_DICT))
+        return ToxicityModel(Distances(b" ", b" "), zero, zero + 1, zero, 3.0 if toxic and all(toxic) else -3.0)
+    wording, flags = Wording(texts, toxic), np.array(toxic, bool)
+    ordinary = train_dictionary([t[a : a + SAMPLE_BYTES] for t, y in zip(texts, toxic, strict=True) if not y for a in range(0, len(t), SAMPLE_BYTES)], ORDINARY_DICT)
+    fold = np.zeros(len(texts), int)
+    for y in (False, True):
+        fold[flags == y] = np.arange(np.count_nonzero(flags == y)) % FOLDS
+    x = np.zeros((len(texts), 2 * SAVINGS + 3))
+    for f in range(FOLDS):
+        own = Distances(ordinary, toxic_dictionary(wording.marked(np.flatnonzero(fold != f)))).compressors()
+        for r in np.flatnonzero(fold == f):
+            x[r] = distance_features(texts[r], own)
+    return calibrate(Distances(ordinary, toxic_dictionary(wording.marked(np.arange(len(texts))))), x, flags.astype(float))
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
