@@ -181,3 +181,20 @@ def test_passages_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = [tuple(r) for r in U.repeated_passages(spark, docs).collect()]
     assert sorted(got) == plain_passages([(r.doc_id, r.text) for r in docs.collect()], U.MIN_WORDS)
+
+
+# Benchmark items
+
+
+def test_items_in_blocks_and_given_twice(spark):
+    from zonalis.llm import decontaminate as D
+
+    words = [f"word{k}" for k in range(400)]
+    texts = {k: " ".join(words[20 * k : 20 * k + 20]) for k in range(20)}
+    items = spark.createDataFrame([(k, t) for k, t in texts.items() for _ in range(2)] + [(50, texts[3]), (None, texts[4]), (51, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {texts[3]} y {texts[7]}"), (2, "clean"), (None, texts[5]), (4, None), (5, texts[19]), (5, texts[19])], "doc_id long, text string")
+    whole = sorted(map(str, D.contaminated(spark, docs, items).collect()))
+    assert sorted(map(str, D.contaminated(spark, docs, items, block_chars=300).collect())) == whole
+    assert [(r.doc_id, r.item_id) for r in D.contaminated(spark, docs, items, block_chars=300).orderBy("doc_id", "item_id").collect()] == [(None, 5), (1, 3), (1, 7), (1, 50), (5, 19), (5, 19)]
+    for size in (300, 10**6):
+        assert sorted(str(r.doc_id) for r in D.drop_contaminated(spark, docs, items, block_chars=size).collect()) == ["2", "4"]

@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm.common import WORD_TABLE, keyed_text, slices, small_batches, utf8
+from zonalis.llm.common import Scratch, WORD_TABLE, keyed_text, slices, small_batches, utf8
 
 ERROR_RATE = 0.05
 #: Characters of item text that one automaton holds; a larger benchmark is matched block by block.
@@ -119,7 +119,7 @@ def _windows(starts: list[int], m: int, errors: int, size: int) -> list[tuple[in
 
 def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    for item_id, text in keyed_text(items, id_col, text_col).toLocalIterator():
+    for item_id, text in keyed_text(items, id_col, text_col).distinct().toLocalIterator():
         text = normal(text.encode()) if text else ""
         if item_id is None or not text:
             continue
@@ -159,15 +159,21 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: f
 
     Items are broadcast in blocks of at most ``block_chars`` characters (a single longer item is a block), each matched
     against all documents in one map: nothing is shuffled and the result's size is that of the matches. Items without
-    words or with a null id match nothing; equal items with different ids are all reported; documents with a null id
-    are reported with it.
+    words or with a null id match nothing; an item's row given twice counts once, and equal items with different ids are all reported; documents with a null id
+    are reported with it. The matches of a block are written before the next is broadcast, so one block is live at a time.
     """
-    out = spark.createDataFrame([], SCHEMA)
+    out, last, scratch = None, None, Scratch(spark)
     texts = keyed_text(docs, id_col, text_col)
     for k, block in enumerate(_blocks(items, item_id_col, item_text_col, block_chars)):
-        found = texts.mapInArrow(_runner(_Shared(spark.sparkContext.broadcast((k, block)), f"{id(block)}-{k}-{hash(tuple(block))}"), rate), SCHEMA)
-        out = found if k == 0 else out.unionByName(found)
-    return out
+        if last is not None:
+            written = scratch.table(found, f"matches-{k}")
+            out = written if out is None else out.unionByName(written)
+            last.unpersist()
+        last = spark.sparkContext.broadcast((k, block))
+        found = texts.mapInArrow(_runner(_Shared(last, f"{id(block)}-{k}-{hash(tuple(block))}"), rate), SCHEMA)
+    if last is None:
+        return spark.createDataFrame([], SCHEMA)
+    return found if out is None else out.unionByName(found)
 
 
 def _runner(block: _Shared, rate: float):
@@ -187,10 +193,19 @@ def _runner(block: _Shared, rate: float):
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item stands. Rows are judged where they lie: nothing is shuffled."""
+    """The rows of ``docs``, all columns, in which no item stands. Rows are judged where they lie: nothing is shuffled.
+
+    Null and empty texts hold no item and stay; null ids and repeated rows are judged like others. Items without words or with a null id match
+    nothing, items given twice count once. What is left after a block of items is written before the next is broadcast.
+    """
     docs = small_batches(docs)
+    scratch, last = Scratch(spark), None
     for k, block in enumerate(_blocks(items, item_id_col, item_text_col, block_chars)):
-        docs = docs.mapInArrow(_filter(_Shared(spark.sparkContext.broadcast((k, block)), f"{id(block)}-{k}-{hash(tuple(block))}"), rate, docs.columns.index(text_col)), docs.schema)
+        if last is not None:
+            docs = scratch.table(docs, "left-clean")
+            last.unpersist()
+        last = spark.sparkContext.broadcast((k, block))
+        docs = docs.mapInArrow(_filter(_Shared(last, f"{id(block)}-{k}-{hash(tuple(block))}"), rate, docs.columns.index(text_col)), docs.schema)
     return docs
 
 

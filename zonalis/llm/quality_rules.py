@@ -224,7 +224,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, model: RatioModel, id_co
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, model: RatioModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, all columns; nothing is shuffled."""
+    """The rows of ``docs`` that ``quality_rules`` keeps, all columns; nothing is shuffled.
+
+    A row is judged by its text alone: null and empty texts go, null ids and repeated rows are judged like others.
+    """
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
