@@ -20,29 +20,29 @@ from zonalis.llm.simhash import drop_near_copies
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the n-gram ratio keep."""
+    """Documents that the base rules and the n-gram ratio keep: a row is judged by its text, so repeated rows and null ids like others; null and empty texts go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(spark, docs, fit_ratios(docs, labels))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the least id; of rows of one id and text one; null ids stay, null and empty texts are copies of each other."""
     return drop_near_copies(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands."""
+    """Documents in which no benchmark item stands; null and empty texts stay, repeated rows and null ids are judged like others."""
     return drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by surrogates; ``n_chars`` follows the new text."""
+    """Personal data replaced by surrogates; ``n_chars`` follows the new text. Null texts stay null, every row stays, equal texts stay equal."""
     out = surrogate_documents(spark, docs, SURROGATE_KEY)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids): the texts as ids of sentence pieces."""
+    """(doc_id, ids): the texts as ids of sentence pieces, a row each; none for null and empty texts."""
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -59,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; an empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage-{k + 1}")

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder of its own where that is unset."""
+    """``spark.checkpoint.dir`` of the session; in local mode a folder of its own where that is unset, on a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: driver and executors share no other folder")
         base = "file://" + tempfile.mkdtemp(prefix="zonalis-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
