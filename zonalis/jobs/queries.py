@@ -597,13 +597,13 @@ QUERIES = {
 
 
 def queries() -> dict:
-    from zonalis.jobs import exchange_queries
+    from zonalis.jobs import bound_queries, exchange_queries
 
-    return QUERIES | exchange_queries.QUERIES
+    return QUERIES | exchange_queries.QUERIES | bound_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from zonalis.jobs import exchange_queries
+    from zonalis.jobs import bound_queries, exchange_queries
     from zonalis.jobs.oracle_queries import FINALS
 
-    return {k: sql(q) for k, q in (FINALS | exchange_queries.FINALS).items()}
+    return {k: sql(q) for k, q in (FINALS | exchange_queries.FINALS | bound_queries.FINALS).items()}
