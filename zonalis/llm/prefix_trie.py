@@ -346,3 +346,32 @@ def prefix_trie(spark: SparkSession, conversations: DataFrame, segment_turns: in
     scratch = Scratch(spark)
     turns = coded_turns(spark, conversations, scratch, **columns)
     return trie_nodes(*rebuilt(turns, scratch), scratch, segment_turns, chunk_turns)
+
+
+#: The same nodes in DuckDB SQL, sequences as lists; crc32 from its table of 256 remainders.
+ORACLE_SQL = f"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), ids AS (
+  SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % {SHARED} AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]))) % 6 AS h
+  FROM ids, bits
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS pos, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS v FROM conversations WHERE conv_id IS NOT NULL
+), parts AS (
+  SELECT c.conv_id, 0 AS side, pos, v FROM convs c JOIN turns t ON t.conv_id = c.base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, v FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND pos >= h
+), seqs AS (
+  SELECT conv_id, coalesce(list(v ORDER BY side, pos) FILTER (v IS NOT NULL), []) AS s FROM convs LEFT JOIN parts USING (conv_id) GROUP BY conv_id
+), nodes AS (
+  SELECT s[1:d] AS k, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM seqs) GROUP BY ALL
+), children AS (
+  SELECT k[1:d - 1] AS k, count(*) AS children FROM nodes WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT k[1:j] AS k, sum(leaf) AS leaves, sum(own) AS saved FROM (
+    SELECT n.k, unnest(range(0, d + 1)) AS j, CASE WHEN children IS NULL THEN 1 ELSE 0 END AS leaf, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * length(n.k[d].x) END AS own FROM nodes n LEFT JOIN children USING (k)) GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n JOIN below USING (k) LEFT JOIN children USING (k) LEFT JOIN nodes p ON n.d > 0 AND p.d = n.d - 1 AND p.k = n.k[1:n.d - 1]
+"""

@@ -5,14 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import unit_dedup, url_cascade
+from zonalis.llm import prefix_trie, unit_dedup, url_cascade
 from zonalis.llm.compression_toxicity import fit_toxicity, score_toxicity
 from zonalis.llm.decontaminate import contaminated
 from zonalis.llm.license_scan import scan_licenses
 from zonalis.llm.piece_codec import round_trip
 from zonalis.llm.periodic_runs import periodic_runs
 from zonalis.llm.pii_surrogates import surrogate_texts
-from zonalis.llm.prefix_trie import prefix_trie
 from zonalis.llm.quality_ranking import fit_ranking, rank_quality
 from zonalis.llm.quality_rules import fit_ratios, quality_rules
 from zonalis.llm.simhash import simhash_components
@@ -84,7 +83,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prefix_trie(spark, _table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(spark, _table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
@@ -107,4 +106,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_repeated_units": unit_dedup.ORACLE_SQL, "op12_url_cascade": url_cascade.ORACLE_SQL}
+    return {"op5_repeated_units": unit_dedup.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL, "op12_url_cascade": url_cascade.ORACLE_SQL}
