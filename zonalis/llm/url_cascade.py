@@ -56,7 +56,8 @@ class Level:
     def __init__(self, number: int, keys: int, rate: float):
         want = max(1.0, keys * -log(rate) / log(2) ** 2)
         self.number, self.bits = number, min(MOST_BITS, max(LEAST_BITS, 1 << ceil(log2(want))))
-        self.hashes = max(1, min(24, round(-log2(rate))))
+        # where the bound on bits leaves fewer for a key, fewer places are best
+        self.hashes = max(1, min(24, round(-log2(rate)), round(self.bits / max(1, keys) * log(2))))
         self.words = None
 
     def places(self, key: Column) -> list[Column]:
