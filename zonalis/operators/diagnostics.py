@@ -65,6 +65,7 @@ def mixing(pairs: DataFrame, area: Column, low: float = 0.1, high: float = 1.0)
     """
     x, y = F.col("q0"), F.col("q")
     top, bottom = 0.9 - 0.8 * low * low, 0.9 - 0.8 * high * high
+    # fixed values: the coefficients of the closed form of the cubic's root
     inside = -1687296.0 + 12168000.0 * y - 29250000.0 * y * y + 23437500.0 * y * y * y + 29648025.0 * x * x
     c = F.pow(65340.0 * x + 12.0 * F.sqrt(F.greatest(inside, F.lit(0.0))), F.lit(1 / 3)) / 60.0
     root = F.least(F.lit(high), F.greatest(F.lit(low), c + F.try_divide(F.lit(13.0 / 75.0) - 5.0 / 12.0 * y, c)))
