@@ -39,9 +39,11 @@ def small_batches(docs: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches; what Arrow has freed goes back after each, or else workers, idle ones too, keep it beside the memory of others."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+            pa.default_memory_pool().release_unused()
 
 
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:

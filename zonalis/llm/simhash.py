@@ -212,6 +212,14 @@ def _small(table: DataFrame, most: int) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table
 
 
+def _released(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``rows``; what Arrow has freed goes back after each batch: workers, idle ones too, would keep it beside the memory of others."""
+    for batch in rows:
+        yield batch
+        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+
+
 class _NearCopies:
     """The search for near copies among the distinct normal forms of a table; its tables are in the shared folder."""
 
@@ -234,7 +242,7 @@ class _NearCopies:
                 columns, kinds = zip(*rows, strict=True), [pa.binary(), pa.int32(), *[pa.int64()] * (SKETCH_WORDS + 1), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "digest", "size", *(f"s{k}" for k in range(SKETCH_WORDS)), "fp", "bands"])
 
-        return self.texts.mapInArrow(run, f"doc_id long, digest binary, size int, {', '.join(f'{s} long' for s in self.sketch)}, fp long, bands array<long>")
+        return self.texts.mapInArrow(lambda batches: _released(run(batches)), f"doc_id long, digest binary, size int, {', '.join(f'{s} long' for s in self.sketch)}, fp long, bands array<long>")
 
     def sets(self, ids: DataFrame) -> DataFrame:
         """(digest, shingles) of the rows of ``ids`` (doc_id), and of others that their bitmap lets pass."""
@@ -246,7 +254,7 @@ class _NearCopies:
                 words = [normal_words(t) for t in utf8(part, "text")]
                 yield pa.RecordBatch.from_arrays([pa.array([digest_of(w) for w in words], pa.binary()), pa.array([shingle_set(w, width) for w in words], pa.list_(pa.int32()))], names=["digest", "shingles"])
 
-        return self.texts.withColumn("place", id_hash(F.col("doc_id"))).mapInArrow(run, "digest binary, shingles array<int>")
+        return self.texts.withColumn("place", id_hash(F.col("doc_id"))).mapInArrow(lambda batches: _released(run(batches)), "digest binary, shingles array<int>")
 
     def verified(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
         """The rows of ``pairs`` (a, b, ...) whose shingle sets, counted in full, are alike."""
@@ -400,7 +408,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, similarity: float = S
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
         more = T.StructType([*schema.fields, T.StructField(own_id, T.LongType()), T.StructField(digest, T.BinaryType())]) if doubtful else schema
-        return keyed.mapInArrow(run, more)
+        return keyed.mapInArrow(lambda batches: _released(run(batches)), more)
 
     doubtful = side(True)
     kept = doubtful.join(gone, (doubtful[own_id] == gone.doc_id) & (doubtful[digest] == gone.digest), "left_anti")
