@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from zonalis.sources.scratch import Scratch, new_path, remove_path, shared_folder
 
-__all__ = ["Scratch", "fresh_names", "id_bitmap", "id_hash", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "small_batches", "utf8"]
+__all__ = ["Scratch", "fresh_names", "id_bitmap", "id_hash", "in_bitmap", "keyed_text", "labelled_sample", "new_path", "remainder", "remove_path", "shared_folder", "slices", "small_batches", "utf8", "worker_cache"]
 
 #: Rows that a Python stage holds as Python objects at a time.
 SLICE_ROWS = 256
@@ -38,8 +38,23 @@ def small_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches; what Arrow has freed goes back after each, or else workers, idle ones too, keep it beside the memory of others."""
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """What a Python worker keeps under ``name`` for its later tasks. Call it from a function of a module: a task's own function would
+    get a copy of a dictionary that it names, empty for each task."""
+    return _caches.setdefault(name, {})
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Parts of the batches; what Arrow has freed goes back after each, or else workers, idle ones too, keep it beside the memory of others.
+
+    A worker serves one stage after another: what it has cached for others than ``keep`` is dropped first.
+    """
+    for name, held in _caches.items():
+        if name != keep:
+            held.clear()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

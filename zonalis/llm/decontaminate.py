@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm.common import Scratch, WORD_TABLE, keyed_text, slices, small_batches, utf8
+from zonalis.llm.common import Scratch, WORD_TABLE, keyed_text, slices, small_batches, utf8, worker_cache
 
 ERROR_RATE = 0.05
 #: Characters of item text that one automaton holds; a larger benchmark is matched block by block.
@@ -132,15 +132,13 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> I
         yield block
 
 
-_matchers: dict[int, Matcher] = {}
-
-
 def _matcher(block, rate: float) -> Matcher:
     """One automaton a worker: that of the broadcast block it met last."""
-    if block.bid not in _matchers:
-        _matchers.clear()
-        _matchers[block.bid] = Matcher(block.value[1], rate)
-    return _matchers[block.bid]
+    held = worker_cache("matchers")
+    if block.bid not in held:
+        held.clear()
+        held[block.bid] = Matcher(block.value[1], rate)
+    return held[block.bid]
 
 
 class _Shared:
@@ -179,7 +177,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, rate: f
 def _runner(block: _Shared, rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(block, rate)
-        for part in slices(batches):
+        for part in slices(batches, keep="matchers"):
             rows = []
             for doc_id, text in zip(part.column(0).to_pylist(), utf8(part, "text"), strict=True):
                 rows += [(doc_id, *m) for m in matcher.match(normal(text))]
@@ -212,7 +210,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, ra
 def _filter(block: _Shared, rate: float, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(block, rate)
-        for part in slices(batches):
+        for part in slices(batches, keep="matchers"):
             values = part.column(text_at)
             texts = values.cast(pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()).to_pylist()
             yield part.filter(pa.array([not matcher.match(normal(t)) for t in texts], pa.bool_()))

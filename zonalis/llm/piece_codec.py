@@ -21,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from zonalis.llm.common import keyed_text, slices
+from zonalis.llm.common import keyed_text, slices, worker_cache
 
 BLANK = "▁"
 #: Piece types and fields of the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Parts that a worker's cache holds at most; then it starts anew.
-CACHE_PARTS = 400_000
+#: Parts that each cache of a worker holds at most, and pairs of pieces. Workers outlive their stage, so what they hold stands beside the memory of later ones.
+CACHE_PARTS, CACHE_JOINS = 240_000, 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -112,7 +112,7 @@ class PieceModel:
     def _may_follow(self, a: int, b: int) -> bool:
         ok = self.joins.get((a, b))
         if ok is None:
-            if len(self.joins) > 4 * CACHE_PARTS:
+            if len(self.joins) >= CACHE_JOINS:
                 self.joins.clear()
             ok = self.joins[a, b] = self._merge(self.pieces[a] + self.pieces[b]) == [self.pieces[a], self.pieces[b]]
         return ok
@@ -155,6 +155,19 @@ class PieceModel:
         return out
 
 
+class Recent:
+    """Parts and their ids in two halves: when the newer one is full it becomes the older one, of which only those parts stay that are met again."""
+
+    def __init__(self):
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def put(self, key: str, ids: bytes) -> None:
+        if len(self.newer) >= CACHE_PARTS // 2:
+            self.newer, self.older = {}, self.newer
+        self.newer[key] = ids
+
+
 class Codec:
     """Encodes and decodes with caches that a worker keeps."""
 
@@ -162,8 +175,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Recent(), Recent()
         self.surface = [
             bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(BLANK, " ").encode()
             for p, t in zip(self.model.pieces, self.model.types, strict=True)
@@ -178,19 +190,19 @@ class Codec:
             plain = (BLANK if model.dummy_prefix else "") + text.replace(" ", BLANK)
             return b"".join(self._part(p, p, self.parts) for p in ([plain] if model.crossing else self._parts.findall(plain)))
         words = text.split(" ")
-        found = list(map(self.words.get, words))
+        found = list(map(self.words.newer.get, words))
         if None in found:
             found = [f if f is not None else self._part(w, BLANK + w, self.words) for f, w in zip(found, words, strict=True)]
         return b"".join(found)
 
-    def _part(self, key: str, part: str, cache: dict[str, bytes]) -> bytes:
-        ids = cache.get(key)
+    def _part(self, key: str, part: str, cache: Recent) -> bytes:
+        ids = cache.newer.get(key)
         if ids is None:
-            if len(cache) >= CACHE_PARTS:
-                cache.clear()
-            ids = np.array(self.model.encode_part(part), "<u4").tobytes()
+            ids = cache.older.get(key)
+            if ids is None:
+                ids = np.array(self.model.encode_part(part), "<u4").tobytes()
             if len(part) <= 64:  # long parts hardly recur
-                cache[key] = ids
+                cache.put(key, ids)
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -200,13 +212,11 @@ class Codec:
         return text.decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    held = worker_cache("pieces")
+    if path not in held:
+        held[path] = Codec(path)
+    return held[path]
 
 
 def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,7 +227,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for part in slices(batches):
+        for part in slices(batches, keep="pieces"):
             ids = [own.encode(t or "") for t in part.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
@@ -231,7 +241,7 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for part in slices(batches):
+        for part in slices(batches, keep="pieces"):
             texts = [None if i is None else own.decode(i) for i in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -248,7 +258,7 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for part in slices(batches):
+        for part in slices(batches, keep="pieces"):
             rows = []
             for text in part.column(1).to_pylist():
                 ids = own.encode(text or "")
