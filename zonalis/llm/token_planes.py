@@ -18,25 +18,32 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm.common import keyed_text, new_path, slices
+from zonalis.llm.common import keyed_text, new_path, slices, worker_cache
 
 MAGIC = b"ZTP1"
 FOOTER = struct.Struct("<IIIQQ4s")
 BIT, BYTE = 1, 8
 BLOCK_IDS = 1 << 16
-#: Words that a worker's cache holds at most; then it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words that a worker's cache holds, about; of the older half only those that were met again stay.
+CACHE_WORDS = 800_000
+#: Documents that are cut into words at a time.
+CUT_ROWS = 2000
+#: Words whose ids are put in their places at a time.
+PLACED_WORDS = 1 << 17
+#: Letters, then a mark that is none: the pre-tokenizer always cuts between them.
+STEM = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~].*)", re.DOTALL)
 
 
 #: Ids (those of the document that passes the limit included) and documents of a shard file at most.
@@ -44,12 +51,13 @@ SHARD_IDS, SHARD_DOCS = 1 << 28, 1 << 20
 
 
 class WordCache:
-    """Encodes texts with the tokenizers library, each distinct word of a text once.
+    """Encodes texts with the tokenizers library, each distinct word of a batch once.
 
     The byte-level pre-tokenizer never joins characters across a blank that stands before a non-space, so a text may
-    be cut there: the ids of the parts, one after another, are the ids of the text. New words are encoded together, as one
-    text, whose ids are told apart by the bytes that they stand for. Texts with other blanks, and those that hold the
-    string of an added token, which the library takes for that token, are encoded whole.
+    be cut there: the ids of the parts, one after another, are the ids of the text. Arrow cuts a batch and tells its distinct
+    words; only these are looked up. New words are encoded together, as one text, whose ids are told apart by the bytes that
+    they stand for; a mark and what follows it, behind a word's first letters, is a part of its own. Texts with other blanks,
+    and those that hold the string of an added token, which the library takes for that token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -57,56 +65,95 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self._odd = re.compile("|".join([r" (?!\S)", *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)  # one character a byte
-        self.heads: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {"": b""}
         self.words: dict[str, bytes] = {}  # after a blank
+        self.older: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}  # after a blank, before a mark
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _odd(self, texts: pa.Array) -> np.ndarray:
+        """Which texts can't be cut at blanks: one before white space (any that Python or the library knows) or at the end, or an added token."""
+        odd = pc.match_substring_regex(texts, r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{180e}\p{Z}]|\z)")
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        return odd.to_numpy(zero_copy_only=False)
+
+    def _spelled(self, words: list[str]) -> list[bytes]:
+        """The ids of words after a blank, encoded as one text."""
+        if not words:
+            return []
+        text = " " + " ".join(words)
+        ids, letters = self._ids(text), np.frombuffer(text.encode(), np.uint8)
+        ends = np.append(np.flatnonzero(letters == 32)[1:], len(letters))
+        cuts = ((np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
     def _learn(self, words: list[str]) -> None:
-        ids = self._ids(" " + " ".join(words))
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + 1)
-        cuts = (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4
-        data, at = ids.tobytes(), 0
-        for word, cut in zip(words, cuts.tolist(), strict=True):
-            self.words[word] = data[at:cut]
-            at = cut
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [m.groups() if (m := STEM.fullmatch(w)) else (w, None) for w in words]
+        known = self.stems
+        new = list(dict.fromkeys(stem for stem, rest in cut if rest is not None and stem not in known))
+        whole = [w for w, rest in cut if rest is None]
+        made = self._spelled(whole + new)
+        self.words.update(zip(whole, made, strict=False))
+        known.update(zip(new, made[len(whole) :], strict=True))
+        self._begin(rest for _, rest in cut if rest is not None)
+        for word, (stem, rest) in zip(words, cut, strict=True):
+            if rest is not None:
+                self.words[word] = known[stem] + self.heads[rest]
+
+    def _begin(self, words: Iterable[str]) -> None:
+        """Learns words that stand before no blank."""
+        new = [w for w in dict.fromkeys(words) if w not in self.heads]
+        for word, made in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.heads[word] = np.array(made.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.heads.clear()
-        out: list = []
-        holes, new, get = [], set(), self.words.get
-        for text in texts:
-            if not text or self._odd.search(text):
-                out.append([self._ids(text).tobytes()] if text else [])
-                continue
-            words = text.split(" ")
-            parts = list(map(get, words))
-            head = self.heads.get(words[0])
-            if head is None:
-                head = self.heads[words[0]] = self._ids(words[0]).tobytes() if words[0] else b""
-            parts[0] = head
-            missing = [k for k, p in enumerate(parts) if p is None]
-            if missing:
-                new.update(words[k] for k in missing)
-                holes.append((parts, words, missing))
-            out.append(parts)
-        if new:
-            self._learn(list(new))
-            known = self.words
-            for parts, words, missing in holes:
-                for k in missing:
-                    parts[k] = known[words[k]]
-        return [b"".join(parts) for parts in out]
+        if len(self.words) > CACHE_WORDS // 2:
+            self.words, self.older = {}, self.words
+        if max(len(self.heads), len(self.stems)) > CACHE_WORDS // 2:
+            self.heads, self.stems = {"": b""}, {}
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return []
+        odd = self._odd(texts)
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        told = lists.flatten().dictionary_encode()
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        first = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        codes, words = told.indices.to_numpy(zero_copy_only=False).astype(np.int64), told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        heads = [words[c] for c in codes[first].tolist()]
+        self._begin(heads)
+        codes[first] = len(words) + np.arange(len(first))
+        found = list(map(self.words.get, words))
+        missing = [k for k, f in enumerate(found) if f is None]
+        if missing:  # what only begins texts among them
+            known = self.older
+            self.words.update((words[k], known[words[k]]) for k in missing if words[k] in known)
+            self._learn([words[k] for k in missing if words[k] not in known])
+            for k in missing:
+                found[k] = self.words[words[k]]
+        found += [self.heads[h] for h in heads]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, lengths = np.cumsum(sizes) - sizes, sizes[codes]
+        placed = []
+        for at in range(0, len(codes), PLACED_WORDS):
+            own = lengths[at : at + PLACED_WORDS]
+            shift = np.repeat(starts[codes[at : at + PLACED_WORDS]] - (np.cumsum(own) - own), own)
+            placed.append(pool[shift + np.arange(len(shift))].tobytes())
+        data = memoryview(b"".join(placed))
+        cuts = [0, *(np.concatenate(([0], np.cumsum(lengths)))[ends] * 4).tolist()]
+        plain = iter([data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        return [self._ids(texts[k].as_py()).tobytes() if o else bytes(next(plain)) for k, o in enumerate(odd.tolist())]
 
 
 def to_planes(ids: np.ndarray, kind: int) -> list[bytes]:
@@ -224,7 +271,12 @@ class ShardReader:
             yield doc_id, n, crc
 
 
-_caches: dict[str, WordCache] = {}
+def word_cache(path: str) -> WordCache:
+    """The worker's own, kept for its later tasks."""
+    held = worker_cache("words")
+    if path not in held:
+        held[path] = WordCache(path)
+    return held[path]
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", planes: str = "byte", block_ids: int = BLOCK_IDS, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -239,17 +291,15 @@ def write_shards(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: s
     tail = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _caches:  # kept by the worker for its later tasks
-            _caches[tokenizer] = WordCache(tokenizer)
-        cache = _caches[tokenizer]
+        cache = word_cache(tokenizer)
         context, writer, files, total = TaskContext.get(), None, 0, 0
 
         def closed() -> pa.RecordBatch:
             writer.close()
             return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([writer.path]), pa.array([len(writer.docs)]), pa.array([total])], names=["shard", "path", "n_docs", "n_ids"])
 
-        for part in slices(batches, 64):
-            ids = cache.encode([t or "" for t in part.column(1).to_pylist()])
+        for part in slices(batches, CUT_ROWS, "words"):
+            ids = cache.encode(part.column(1))
             for doc_id, own in zip(part.column(0).to_pylist(), ids, strict=True):
                 if writer is None:
                     shard, total = context.partitionId() << 32 | files, 0
